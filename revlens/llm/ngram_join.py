@@ -13,8 +13,8 @@ whose bound cannot be reached are never formed:
   shared columns; pairs below the bound are discarded, as are sizes too far
   apart.
 
-Column lists are taken as stars: the first document of a list is
-multiplied with the others.  The full rows of a star's partners come in
+Column lists are taken as stars around their first document; a document is
+multiplied with the hub it shares most leading columns with.  The full rows of a star's partners come in
 blocks of bounded size to their hub's row, and the overlap accumulates over
 blocks of columns; a pair is discarded as soon as what it has and what is left
 fall short.  Verified pairs and equal sets (found by digest) give
@@ -51,7 +51,6 @@ COLUMN_BLOCKS = 4
 
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, cell int, cell_count long"
 _LEADING = "shingle long, doc_id long, n int, place int"
-_ROWS = "hub long, block int, partner long, is_hub boolean, n int, columns binary"
 _PRODUCT = "hub long, partner long, overlap long, n_hub long, n_partner long"
 
 
@@ -70,6 +69,10 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return names[new], np.bincount(owner[new], minlength=len(texts))
 
 
+def _split(names: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(names, np.cumsum(sizes)[:-1])
+
+
 def _each(pdf: pd.DataFrame, k: int):
     texts, ids = encoded(pdf["text"]), pdf["doc_id"].to_numpy(np.int64)
     for a, b in slices(texts):
@@ -115,30 +118,16 @@ def _leading(batches: Iterator[pd.DataFrame], k: int, level: np.ndarray, thresho
             yield pd.DataFrame({"shingle": names[at].view(np.int64), "doc_id": np.repeat(ids, lead), "n": np.repeat(sizes, lead).astype(np.int32), "place": place.astype(np.int32)})
 
 
-def _rows(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """A document's whole row for each block that it takes part in."""
-    for pdf in batches:
-        parts, at = list(pdf["parts"]), 0
-        for ids, names, sizes in _each(pdf, k):
-            first = np.cumsum(sizes) - sizes
-            out = []
-            for i, doc in enumerate(ids):
-                data = names[first[i] : first[i] + sizes[i]].tobytes()
-                out += [(p["hub"], p["block"], int(doc), p["is_hub"], int(sizes[i]), data) for p in parts[at + i]]
-            at += len(ids)
-            if out:
-                yield pd.DataFrame(out, columns=["hub", "block", "partner", "is_hub", "n", "columns"])
-
-
-def _product(batches: Iterator[pd.DataFrame], threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
+def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """Overlaps of hubs with their partners, a block of columns at a time; rows come sorted, hubs first."""
     t, of = threshold
     edges = [np.uint64((i << 64) // COLUMN_BLOCKS) for i in range(1, COLUMN_BLOCKS)]
     key, hub, hub_cuts = None, np.zeros(0, np.uint64), []
     for pdf in batches:
         out = []
-        for h, block, partner, is_hub, data in zip(pdf["hub"], pdf["block"], pdf["partner"], pdf["is_hub"], pdf["columns"], strict=True):
-            row = np.frombuffer(data, np.uint64)
+        texts = encoded(pdf["text"])
+        rows = (row for a, b in slices(texts) for row in _split(*shingle_sets(texts[a:b], k)))
+        for h, block, partner, is_hub, row in zip(pdf["hub"], pdf["block"], pdf["partner"], pdf["is_hub"], rows, strict=True):
             if is_hub:
                 key, hub = (h, block), row
                 hub_cuts = [0, *np.searchsorted(hub, edges), len(hub)]
@@ -167,10 +156,9 @@ def _multiply(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, i
     width = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = pairs.join(width, "hub").select("hub", F.col("partner").alias("doc_id"), F.pmod(F.xxhash64("partner"), "blocks").cast("int").alias("block"), F.lit(False).alias("is_hub"))
     hubs = width.select("hub", F.col("hub").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
-    parts = dealt.unionByName(hubs).groupBy("doc_id").agg(F.collect_set(F.struct("hub", "block", "is_hub")).alias("parts"))
-    rows = docs.dropna(subset=["doc_id"]).join(parts, "doc_id").select("doc_id", "text", "parts").mapInPandas(lambda it: _rows(it, k), _ROWS)
-    ordered = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
-    return ordered.mapInPandas(lambda it: _product(it, threshold), _PRODUCT).select(F.col("hub").alias("a"), F.col("partner").alias("b"))
+    rows = docs.join(dealt.unionByName(hubs), "doc_id")
+    ordered = rows.select("hub", "block", F.col("doc_id").alias("partner"), "is_hub", "text").repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+    return ordered.mapInPandas(lambda it: _product(it, k, threshold), _PRODUCT).select(F.col("hub").alias("a"), F.col("partner").alias("b"))
 
 
 def _bounded(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -201,7 +189,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, in
     hub = F.first(F.struct("doc_id", "n", "place")).over(by_column)
     lists = cut(leading.select("*", hub.alias("hub"), F.lead("doc_id").over(by_column).alias("next")).where("next is not null or hub.doc_id <> doc_id").drop("next"))
     stars = lists.where("hub.doc_id <> doc_id").select(F.col("hub.doc_id").alias("hub"), F.col("doc_id").alias("partner"), F.col("hub.n").alias("n_a"), F.col("hub.place").alias("place_a"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    stars = cut(_bounded(stars, threshold).select("hub", "partner").distinct())
+    # each partner with the hub that it shares most leading columns with
+    stars = _bounded(stars, threshold).groupBy("partner", "hub").agg(F.count("*").alias("n"))
+    stars = cut(stars.groupBy("partner").agg(F.max(F.struct("n", F.negate("hub").alias("h"))).alias("best")).select(F.negate("best.h").alias("hub"), "partner"))
     links = cut(_multiply(docs, stars, k, threshold).union(equal))
     near = cut(components(links))
 

@@ -137,7 +137,7 @@ def filed_windows(words: np.ndarray, counts: np.ndarray, width: int = WIDTH, rou
 # --- Spark ----------------------------------------------------------------
 
 _ANCHORS = "key long, doc_id long"
-_WINDOWS = "key long, digest long, doc_id long, start int"
+_WINDOWS = "key long, digest long, doc_id long, start int, more binary"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -184,7 +184,16 @@ def _windows(batches: Iterator[pd.DataFrame], width: int, rounds: int) -> Iterat
             at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
             digest = span_hashes(words, at, at + width, _SECOND)
             text_at = np.repeat(text_of, size)
-            yield pd.DataFrame({"key": _signed(np.repeat(key, size)), "digest": _signed(digest), "doc_id": ids[text_at], "start": (at - first[text_at - a]).astype(np.int32)})
+            key, at = np.repeat(key, size), (at - first[text_at - a]).astype(np.int32)
+            # one row for all places of a window in its document
+            order = np.lexsort((at, digest, text_at))
+            key, digest, text_at, at = key[order], digest[order], text_at[order], at[order]
+            new = np.flatnonzero(np.concatenate(([True], (digest[1:] != digest[:-1]) | (key[1:] != key[:-1]) | (text_at[1:] != text_at[:-1]))))
+            stop = np.concatenate((new[1:], [len(at)]))
+            more = np.full(len(new), None, object)
+            for i in np.flatnonzero(stop - new > 1):
+                more[i] = at[new[i] + 1 : stop[i]].tobytes()
+            yield pd.DataFrame({"key": _signed(key[new]), "digest": _signed(digest[new]), "doc_id": ids[text_at[new]], "start": at[new], "more": more})
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -197,14 +206,14 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pd.DataFrame], width: int, keep_text: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for text, starts, copy in zip(encoded(pdf["text"]), pdf["starts"], pdf["copy"], strict=True):
+        for text, starts, more, copy in zip(encoded(pdf["text"]), pdf["starts"], pdf["more"], pdf["copy"], strict=True):
             words = text.split()
             n = len(words)
             gone = np.zeros(n + 1, np.int64)
             if copy and n >= width:
                 gone[0], gone[n] = 1, -1
             elif starts is not None and len(starts):
-                at = np.asarray(starts, np.int64)
+                at = np.unique(np.concatenate((np.asarray(starts, np.int64), *(np.frombuffer(m, np.int32) for m in more))))
                 at = at[at + width <= n]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + width, -1)
@@ -225,6 +234,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS,
     ``keep_text`` the kept text itself (unchanged where nothing was removed).
     """
     docs = doc_texts(docs)
+    known = docs.where("doc_id is not null")  # shuffled once for both joins
     symbols = docs.mapInPandas(lambda it: _symbols(it, width, rounds), _ANCHORS)
     by_key = Window.partitionBy("key").orderBy("doc_id")
     shared = (
@@ -234,10 +244,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS,
     )
     copies = cut(exact_copies(docs))
     wanted = shared.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    windows = docs.join(wanted, "doc_id").select("doc_id", "text", "keys").mapInPandas(lambda it: _windows(it, width, rounds), _WINDOWS)
+    windows = known.join(wanted, "doc_id").select("doc_id", "text", "keys").mapInPandas(lambda it: _windows(it, width, rounds), _WINDOWS)
     by_name = Window.partitionBy("key", "digest").orderBy("doc_id")
-    repeats = windows.select("doc_id", "start", F.first("doc_id").over(by_name).alias("first_id")).where("first_id < doc_id")
-    starts = repeats.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    marked = docs.join(starts, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    repeats = windows.select("doc_id", "start", "more", F.first("doc_id").over(by_name).alias("first_id")).where("first_id < doc_id")
+    starts = repeats.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
+    marked = known.join(starts, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return marked.select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(lambda it: _cut(it, width, keep_text), schema)
+    return marked.select("doc_id", "text", "starts", "more", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(lambda it: _cut(it, width, keep_text), schema)

@@ -41,11 +41,11 @@ from .recompression import exact_copies
 
 WIDTH = 100
 GRAM = 24
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 96 << 10
 HOT_ANCHOR = 20_000
 
 _KEYS = "key long, doc_id long, many boolean"
-_PIECES = "key long, doc_id long, start long, data binary"
+_PIECES = "key long, doc_id long, start long, size int, data binary"
 _RANGES = "doc_id long, start long, stop long"
 
 
@@ -115,6 +115,7 @@ def _pieces(batches: Iterator[pd.DataFrame], width: int, gram: int) -> Iterator[
     for pdf in batches:
         ids, keys, hot = pdf["doc_id"].to_numpy(np.int64), list(pdf["keys"]), list(pdf["hot"])
         texts = encoded(pdf["text"])
+        before: set[tuple[int, bytes]] = set()
         for data, key, text, start, size, offset in _batches_of(texts, width, gram):
             edges = np.searchsorted(text, np.arange(len(texts) + 1))
             out = []
@@ -126,13 +127,18 @@ def _pieces(batches: Iterator[pd.DataFrame], width: int, gram: int) -> Iterator[
                 for j in lo + np.flatnonzero(np.isin(key[lo:hi], wanted)):
                     s, n, o = int(start[j]), int(size[j]), int(offset[j])
                     if len(hot[i]) and key[j] in hot[i]:
-                        at = np.arange(s, s + n)
-                        names = span_hashes(_BYTE[data[s : s + n + width - 1]], at - s, at - s + width).view(np.int64)
-                        out += [(int(names[k]), int(ids[i]), o + k, data[s + k : s + k + width].tobytes()) for k in range(n)]
+                        at = np.arange(n)
+                        names = span_hashes(_BYTE[data[s : s + n + width - 1]], at, at + width).view(np.int64)
+                        made = [(int(names[k]), o + k, data[s + k : s + k + width].tobytes()) for k in range(n)]
                     else:
-                        out.append((int(key[j]), int(ids[i]), o, data[s : s + n + width - 1].tobytes()))
+                        made = [(int(key[j]), o, data[s : s + n + width - 1].tobytes())]
+                    for name, place, piece in made:
+                        # a piece that this text had before is decided here; its row goes anywhere
+                        again = (i, piece) in before
+                        before.add((i, piece))
+                        out.append((name ^ (place * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF), int(ids[i]), place, len(piece), None) if again else (name, int(ids[i]), place, len(piece), piece))
             if out:
-                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "data"])
+                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "size", "data"])
 
 
 def column_wise_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,27 +157,27 @@ def column_wise_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     stops = np.cumsum(sizes)
     active = np.arange(m)
     bwt = np.where(sizes > 0, flat[np.maximum(stops - 1, 0)], 0).astype(flat.dtype) if len(flat) else np.zeros(m, np.uint8)
-    piece, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
+    suffix = np.arange(m) << 32  # piece, and length of the suffix
     place = np.arange(m)
     for column in range(1, int(sizes.max(initial=0)) + 1):
         going = sizes[active] >= column
         active, place = active[going], place[going]
         live = np.flatnonzero(bwt)
         behind = live[np.argsort(bwt[live], kind="stable")]
-        to = np.empty(len(bwt), np.int64)
-        to[behind] = m + np.arange(len(behind))
+        to = np.empty(len(bwt), np.int32)
+        to[behind] = np.arange(m, m + len(behind), dtype=np.int32)
         place = to[place]
         before = np.where(sizes[active] > column, flat[np.maximum(stops[active] - column - 1, 0)], 0)
         old = np.ones(len(bwt) + len(active), bool)
         old[place] = False
         grown = []
-        for have, new in ((bwt, before), (piece, active), (length, column)):
+        for have, new in ((bwt, before), (suffix, (active << 32) + column)):
             both = np.empty(len(old), have.dtype)
             both[old] = have
             both[place] = new
             grown.append(both)
-        bwt, piece, length = grown
-    return piece, length
+        bwt, suffix = grown
+    return suffix >> 32, suffix & 0xFFFFFFFF
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
@@ -212,7 +218,10 @@ def _resolve(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFra
 
     for pdf in batches:
         out = []
-        for k, doc, start, data in zip(pdf["key"], pdf["doc_id"], pdf["start"], pdf["data"], strict=True):
+        for k, doc, start, size, data in zip(pdf["key"], pdf["doc_id"], pdf["start"], pdf["size"], pdf["data"], strict=True):
+            if data is None:
+                out.append((doc, start, start + size))
+                continue
             if k != key:
                 if len(last) > 1:
                     groups.append(last)
@@ -263,6 +272,7 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_an
     (maximal removed runs), kept_sha256.
     """
     docs = doc_texts(docs)
+    known = docs.where("doc_id is not null")  # shuffled once for both joins
     anchors = docs.mapInPandas(lambda it: _anchors(it, width, gram), _KEYS)
     by_key = Window.partitionBy("key").orderBy("doc_id")
     shared = (
@@ -274,8 +284,9 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_an
     shared = cut(shared.join(copies, "doc_id", "left_anti"))
     hot = shared.where(F.col("n") > hot_anchor).select("key").distinct().withColumn("is_hot", F.lit(True))
     wanted = shared.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
-    pieces = docs.join(wanted, "doc_id").select("doc_id", "text", "keys", "hot").mapInPandas(lambda it: _pieces(it, width, gram), _PIECES)
+    pieces = known.join(wanted, "doc_id").select("doc_id", "text", "keys", "hot").mapInPandas(lambda it: _pieces(it, width, gram), _PIECES)
     ordered = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "start")
     ranges = ordered.mapInPandas(lambda it: _resolve(it, width), _RANGES).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    marked = docs.join(ranges, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    marked = known.join(ranges, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     return marked.select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(lambda it: _cut(it, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
