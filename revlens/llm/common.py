@@ -95,12 +95,12 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES):
         yield first, len(texts)
 
 
-def split_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all texts, word starts, word ends, number of words of each text)."""
+def split_words(texts: list[bytes], lower: bool = False, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, word starts, word ends, number of words of each text); ``gap`` marks the bytes between words."""
     data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
     if lower:
         data = _LOWER[data]
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], gap[data], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     stops = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(start, stops))))

@@ -218,23 +218,23 @@ def _cut(batches: Iterator[pd.DataFrame], width: int, keep_text: bool) -> Iterat
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + width, -1)
             removed = np.cumsum(gone[:n]) > 0
+            if keep_text and not removed.any():
+                out.append(text.decode("utf-8", "surrogatepass"))
+                continue
             left = [w for w, r in zip(words, removed, strict=True) if not r] if removed.any() else words
             kept = b" ".join(left)
-            row = (n, int(removed.sum()), hashlib.sha256(kept).hexdigest())
-            out.append((*row, text.decode("utf-8", "surrogatepass") if len(left) == n else kept.decode("utf-8", "surrogatepass")) if keep_text else row)
-        made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", *["kept"] * keep_text])
-        yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), made], axis=1)
-
+            out.append(kept.decode("utf-8", "surrogatepass") if keep_text else (n, int(removed.sum()), hashlib.sha256(kept).hexdigest()))
+        if keep_text:
+            yield pdf.drop(columns=["starts", "more", "copy"]).assign(text=out)
+        else:
+            made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
+            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), made], axis=1)
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
-    """Remove every word covered by ``width`` words that also start in a document with a smaller id.
 
-    Returns one row per row of ``docs``: doc_id, n_words, n_removed,
-    kept_sha256 (of the kept words joined by one space), and with
-    ``keep_text`` the kept text itself (unchanged where nothing was removed).
-    """
-    docs = doc_texts(docs)
-    known = docs.where("doc_id is not null")  # shuffled once for both joins
+def _marked(rows: DataFrame, width: int, rounds: int) -> DataFrame:
+    """``rows`` (doc_id, text and others) with the first words of the windows to remove: starts, more, copy."""
+    docs = rows.select("doc_id", "text")
+    known = docs.where("doc_id is not null")
     symbols = docs.mapInPandas(lambda it: _symbols(it, width, rounds), _ANCHORS)
     by_key = Window.partitionBy("key").orderBy("doc_id")
     shared = (
@@ -248,7 +248,24 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS,
     by_name = Window.partitionBy("key", "digest").orderBy("doc_id")
     repeats = windows.select("doc_id", "start", "more", F.first("doc_id").over(by_name).alias("first_id")).where("first_id < doc_id")
     starts = repeats.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
-    marked = known.join(starts, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return marked.select("doc_id", "text", "starts", "more", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(lambda it: _cut(it, width, keep_text), schema)
+    marked = rows.where("doc_id is not null").join(starts, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    marked = marked.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    return marked.withColumn("copy", F.coalesce("copy", F.lit(False)))
+
+
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+    """Remove every word covered by ``width`` words that also start in a document with a smaller id.
+
+    Returns one row per row of ``docs``: doc_id, n_words, n_removed and
+    kept_sha256 (of the kept words joined by one space).
+    """
+    marked = _marked(doc_texts(docs), width, rounds).select("doc_id", "text", "starts", "more", "copy")
+    return marked.mapInPandas(lambda it: _cut(it, width, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with the repeated words removed from ``text`` (kept words joined by one space; texts without any are unchanged)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
+    cut_rows = _marked(rows, width, rounds).select(*rows.columns, "starts", "more", "copy").mapInPandas(lambda it: _cut(it, width, True), rows.schema)
+    return cut_rows.select("doc_id", "text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)]).select(docs.columns)
