@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from .common import doc_texts
 CAPACITY = 4096
 END = 2
 BLOCK = 256
-#: Words whose ids a Python worker keeps.
+#: Words after which a Python worker forgets their ids and starts anew.
 CACHE_WORDS = 400_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,8 +48,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Index(dict):
+    """Numbers for words; new ones are noted."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
-    """Token ids of whole texts, one word at a time with a bounded cache."""
+    """Token ids of whole texts; each distinct word is encoded once and its ids kept in one array."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,51 +70,72 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[bytes, list[int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index = _Index()
+        self.cores: dict[str, list[int]] = {}
+        self.store, self.first, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _keep(self, words: list[bytes]) -> None:
+        found = self._encode_new(words)
+        lists = [found[w] for w in words]
+        sizes = np.array([len(x) for x in lists])
+        flat = np.array([i for x in lists for i in x], "<u4")
+        at = len(self.index) - len(words)
+        for name, need in (("store", self.used + len(flat)), ("first", len(self.index)), ("size", len(self.index))):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate((have, np.zeros(need, have.dtype))))
+        self.store[self.used : self.used + len(flat)] = flat
+        self.first[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(words)] = sizes
+        self.used += len(flat)
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Plain words, all letters, are encoded as one text: each is one pre-token, which the token with a word end closes."""
-        plain, rest = [], []
+        """Plain words, all letters and perhaps one stop, share the ids of their lower-case core.
+
+        Cores are encoded as one text: each is one pre-token, which the token with a word end closes.
+        """
+        plain, rest, new = [], [], {}
+        cores = self.cores
         for w in words:
             t = w.decode("utf-8", "surrogatepass")
-            core = t[:-1] if t[-1:] in ".,!?;:" else t
-            (plain if len(core) < 100 and core.isalpha() and core.lower().isalpha() else rest).append((w, t, 1 + (core is not t)))
-        found = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t, _ in plain)], add_special_tokens=False)[0].ids)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            counts = np.array([n for _, _, n in plain])
-            if len(stops) == counts.sum() and stops[-1] == len(ids):
-                edge = [0, *stops[np.cumsum(counts) - 1].tolist()]
-                flat = ids.tolist()
-                found = {w: flat[a:b] for (w, _, _), a, b in zip(plain, edge, edge[1:], strict=False)}
+            stop = t[-1] if t[-1] in ".,!?;:" else ""
+            core = (t[:-1] if stop else t).lower()
+            if len(core) < 100 and core.isalpha():
+                plain.append((w, core, stop))
+                new.update((x, None) for x in (core, stop) if x and x not in cores)
+            else:
+                rest.append((w, t))
+        if new:
+            flat = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+            stops = np.flatnonzero(self.ends[np.array(flat)]) + 1
+            if len(stops) == len(new) and stops[-1] == len(flat):
+                edge = [0, *stops.tolist()]
+                cores.update((x, flat[a:b]) for x, a, b in zip(new, edge, edge[1:], strict=False))
             else:
-                rest += plain
-        if rest:
-            for (w, _, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t, _ in rest], add_special_tokens=False), strict=True):
-                found[w] = e.ids
+                cores.update((x, e.ids) for x, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False), strict=True))
+        found = {w: cores[core] + cores[stop] if stop else cores[core] for w, core, stop in plain}
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            found[w] = e.ids
         return found
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.index) > CACHE_WORDS:
+            self._clear()
         split = [t.split() for t in texts]
-        cache = self.cache
-        new = {w for ws in split for w in ws if w not in cache}
-        found = self._encode_new(list(new)) if new else {}
-        if len(cache) + len(found) <= CACHE_WORDS:
-            cache.update(found)
-            found = cache
-        elif found:
-            for w in {w for ws in split for w in ws} - new:
-                found[w] = cache[w]
-        else:
-            found = cache
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += found[w]
-            out.append(ids)
-        return out
+        counts = np.array([len(ws) for ws in split])
+        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.index.new:
+            self._keep(self.index.new)
+            self.index.new = []
+        sizes = self.size[words]
+        stops = np.cumsum(sizes)
+        flat = self.store[np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.first[words] - stops + sizes, sizes)]
+        edge = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))]
+        return [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -202,7 +236,7 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, capacity: int, block: int)
         for a in range(0, len(texts), 500):
             out = []
             for doc, ids in zip(docs[a : a + 500], encode(texts[a : a + 500]), strict=True):
-                ids = np.array([*ids, END], "<u4")
+                ids = np.append(ids, np.uint32(END)).astype("<u4", copy=False)
                 full = len(ids) // capacity * capacity
                 for at in range(0, full, capacity):
                     out.append(piece(doc, at, ids[at : at + capacity], len(ids), number, 0))
