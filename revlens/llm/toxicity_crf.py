@@ -23,6 +23,7 @@ there are no spans.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +35,7 @@ from .common import _BYTE, _LOWER, encoded, mix, slices, span_hashes, split_word
 
 FOLDS = 5
 #: The training sample: documents of each label, and their greatest length.
-MAX_DOCS, MAX_CHARS = 2_000, 20_000
+MAX_DOCS, MAX_CHARS = 1_000, 20_000
 #: Features in fewer documents are left out; a telling one has at least these log-odds, two standard errors below its estimate.
 MIN_DOCS, MIN_LOG_ODDS = 3, 1.5
 PREFIXES = (4, 5, 6, 7)
@@ -54,10 +55,10 @@ class Model(NamedTuple):
 
 
 class Tokens(NamedTuple):
-    data: np.ndarray
+    data: np.ndarray  # the texts' bytes, with the places of the tokens
     start: np.ndarray
     end: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # tokens of each text
     words: np.ndarray  # distinct words by their features (words x features)
     which: np.ndarray  # the word of each token
 
@@ -76,6 +77,21 @@ def tokens_of(texts: list[bytes]) -> Tokens:
     return Tokens(data, start, end, counts, np.stack(columns, axis=1), which)
 
 
+def _sample(texts: list[bytes]) -> Tokens:
+    """The tokens of the training sample, made a slice at a time, without the texts."""
+    words, which, counts, n = [], [], [], 0
+    for a, b in slices(texts):
+        t = tokens_of(texts[a:b])
+        words.append(t.words)
+        which.append((t.which + n).astype(np.int32))
+        counts.append(t.counts)
+        n += len(t.words)
+    every = np.concatenate(words)
+    _, first, same = np.unique(every[:, 0], return_index=True, return_inverse=True)
+    none = np.zeros(0, np.int64)
+    return Tokens(none, none, none, np.concatenate(counts), every[first], same[np.concatenate(which)].astype(np.int32))
+
+
 def _recursion(start: np.ndarray, at_start: float, step: np.ndarray, gain_before: np.ndarray, gain_after: np.ndarray) -> np.ndarray:
     """x[t] = gain_after[t] * (s01 + s11 y) / (s00 + s10 y), y = gain_before[t] * x[t-1]; at ``start`` the fraction is ``at_start``.
 
@@ -146,7 +162,7 @@ def train(texts: list[bytes], toxic: np.ndarray, totals: tuple[int, int]) -> Mod
     if not len(texts) or toxic.all() or not toxic.any():
         share = (totals[1] + 0.5) / (totals[0] + totals[1] + 1)
         return Model(none, np.zeros(0), np.ones((2, 2)), 1.0, np.array([np.log(share / (1 - share)), 0, 0]))
-    t = tokens_of(texts)
+    t = _sample(texts)
     doc = np.repeat(np.arange(len(texts)), t.counts)
     # document frequency of each feature among the two labels
     pair = np.unique(doc * len(t.words) + t.which)
@@ -224,10 +240,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("int(toxic > 0)")).alias("toxic"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = []
-    for value in (0, 1):
-        rows = docs.where(F.length("text") <= MAX_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked.where(F.col("toxic") == value), "doc_id")
-        picked += rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MAX_DOCS).select("text", "toxic").collect()
+    ids = docs.where(F.length("text") <= MAX_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"))
+    present = marked.join(ids, "doc_id", "left_semi")
+    sample = reduce(DataFrame.union, (present.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS) for v in (0, 1)))
+    # at most 2 * MAX_DOCS ids, so the texts need no exchange
+    rows = docs.where(F.length("text") <= MAX_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    picked = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     return train(encoded([r["text"] for r in picked]), np.array([r["toxic"] for r in picked], np.int64), (totals.get(0, 0), totals.get(1, 0)))
 
 
