@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text hashed at a time; bounds the temporary arrays to about ten times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows in one Arrow batch of texts.
+BATCH_ROWS = 2_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -30,9 +32,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_texts(docs: DataFrame) -> DataFrame:
     """The two columns most operators need; a null text is an empty one."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session small: a batch of texts is in memory several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

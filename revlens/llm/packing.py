@@ -70,9 +70,9 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index = _Index()
         self.cores: dict[str, list[int]] = {}
         self.store, self.first, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -124,7 +124,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         split = [t.split() for t in texts]
         counts = np.array([len(ws) for ws in split])
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
@@ -250,6 +250,8 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, capacity: int, block: int)
                 yield _frame(out)
     if rests:
         yield _frame(list(packed(rests, True)))
+    if len(encoder(path).index) > CACHE_WORDS // 2:
+        encoder(path).clear()  # workers are reused by other stages
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, encoded, slices, span_hashes, split_words, window_hashes
+from .common import _BYTE, _LOWER, encoded, slices, small_batches, span_hashes, split_words, window_hashes
 
 MIN_WORDS = 50
 #: Base rule: at most this share (in hundredths) of words in repeated three-word windows.
@@ -224,5 +224,6 @@ def _kept(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
+    small_batches(docs.sparkSession)
     known = references(docs)
     return docs.mapInPandas(lambda it: _kept(it, known), docs.schema)

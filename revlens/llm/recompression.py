@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_texts, encoded, mix, slices, span_hashes, word_hashes
+from .common import cut, doc_texts, encoded, mix, slices, small_batches, span_hashes, word_hashes
 
 WIDTH = 13
 ROUNDS = 2
@@ -265,6 +265,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS)
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with the repeated words removed from ``text`` (kept words joined by one space; texts without any are unchanged)."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
     cut_rows = _marked(rows, width, rounds).select(*rows.columns, "starts", "more", "copy").mapInPandas(lambda it: _cut(it, width, True), rows.schema)
