@@ -138,10 +138,19 @@ def encoded(column) -> list[bytes]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder, and go on from what was written."""
+    """Write ``df`` as Parquet in the shared checkpoint folder, and go on from what was written.
+
+    What led to it is then garbage; collecting it lets Spark's cleaner delete
+    the shuffle files, which would else stay on the executors' disks.
+    """
+    import gc
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -9,6 +9,8 @@ whose bound cannot be reached are never formed:
   over all documents; only the order depends on it, not the result) and by
   name.  A linked pair shares a column among the first ``n - ceil(t n) + 1``
   of either row, so only these *leading* columns seed the product.
+* Two rows that are no star but share leading columns must share enough of
+  them: what lies behind the shorter lead cannot make up for the rest.
 * A seed at places i and j leaves at most ``1 + min(n_a - i, n_b - j)``
   shared columns; pairs below the bound are discarded, as are sizes too far
   apart.
@@ -50,7 +52,7 @@ BLOCK_ROWS = 500
 COLUMN_BLOCKS = 4
 
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, cell int, cell_count long"
-_LEADING = "shingle long, doc_id long, n int, place int"
+_LEADING = "shingle long, doc_id long, size_place long"
 _PRODUCT = "hub long, partner long, overlap long, n_hub long, n_partner long"
 
 
@@ -115,7 +117,7 @@ def _leading(batches: Iterator[pd.DataFrame], k: int, level: np.ndarray, thresho
             total = int(lead.sum())
             place = np.arange(total) - np.repeat(np.cumsum(lead) - lead, lead)
             at = np.repeat(first, lead) + place
-            yield pd.DataFrame({"shingle": names[at].view(np.int64), "doc_id": np.repeat(ids, lead), "n": np.repeat(sizes, lead).astype(np.int32), "place": place.astype(np.int32)})
+            yield pd.DataFrame({"shingle": names[at].view(np.int64), "doc_id": np.repeat(ids, lead), "size_place": (np.repeat(sizes, lead).astype(np.int64) << 32) + place})
 
 
 def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
@@ -186,8 +188,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, in
 
     leading = docs.mapInPandas(lambda it: _leading(it, k, level, threshold), _LEADING)
     by_column = Window.partitionBy("shingle").orderBy("doc_id")
-    hub = F.first(F.struct("doc_id", "n", "place")).over(by_column)
-    lists = cut(leading.select("*", hub.alias("hub"), F.lead("doc_id").over(by_column).alias("next")).where("next is not null or hub.doc_id <> doc_id").drop("next"))
+    hub = F.first(F.struct("doc_id", "size_place")).over(by_column)
+    shared = leading.select("*", hub.alias("hub"), F.lead("doc_id").over(by_column).alias("next")).where("next is not null or hub.doc_id <> doc_id")
+    unpacked = lambda c: (F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
+    lists = cut(shared.select("shingle", "doc_id", *unpacked("size_place"), F.struct("hub.doc_id", *unpacked("hub.size_place")).alias("hub")))
     stars = lists.where("hub.doc_id <> doc_id").select(F.col("hub.doc_id").alias("hub"), F.col("doc_id").alias("partner"), F.col("hub.n").alias("n_a"), F.col("hub.place").alias("place_a"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
     # each partner with the hub that it shares most leading columns with
     stars = _bounded(stars, threshold).groupBy("partner", "hub").agg(F.count("*").alias("n"))
@@ -201,8 +205,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, in
     open_lists = held.join(mixed, "shingle")
     a = open_lists.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("doc_id", "n", "place", "c")])
     b = open_lists.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("doc_id", "n", "place", "c")])
-    across = _bounded(a.join(b, "shingle").where("c_a <> c_b and doc_id_a < doc_id_b"), threshold)
-    across = across.select(F.col("doc_id_a").alias("hub"), F.col("doc_id_b").alias("partner")).distinct()
+    t, of = threshold
+    # every shared column before the first end of the two leads is counted; behind it lie at most n - lead columns
+    behind = F.greatest(*[F.ceil(F.col(n) * t / of) - 1 for n in ("n_a", "n_b")])
+    near_size = of * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")
+    pairs = a.join(b, "shingle").where("c_a <> c_b and doc_id_a < doc_id_b").where(near_size).groupBy(F.col("doc_id_a").alias("hub"), F.col("doc_id_b").alias("partner"), "n_a", "n_b")
+    across = pairs.agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
+    across = _bounded(across, threshold).where((of + t) * (F.col("shared") + behind) >= t * (F.col("n_a") + F.col("n_b"))).select("hub", "partner")
     across = cut(across.join(stars, ["hub", "partner"], "left_anti"))
     if not across.isEmpty():
         more = cut(_multiply(docs, across, k, threshold))
