@@ -15,12 +15,15 @@ whose bound cannot be reached are never formed:
   shared columns; pairs below the bound are discarded, as are sizes too far
   apart.
 
-Column lists are taken as stars around their first document; a document is
-multiplied with the hub it shares most leading columns with.  The full rows of a star's partners come in
+Equal rows form a class, named by a digest; one document of each class is
+multiplied.  Column lists are taken as stars around their first class; a class
+is multiplied with the hub it shares most leading columns with.  A bitmap of
+some four bits for each column of a row goes before the row itself: bits that
+only one row has count columns that it does not share, and pairs that this
+bounds too low are discarded.  The full rows of a star's partners then come in
 blocks of bounded size to their hub's row, and the overlap accumulates over
 blocks of columns; a pair is discarded as soon as what it has and what is left
-fall short.  Verified pairs and equal sets (found by digest) give
-components.  A column whose documents then lie in one component is done;
+fall short.  Verified pairs give components of classes.  A column whose classes then lie in one component is done;
 the remaining pairs of the other columns, those across components, are
 multiplied in the same way.  So every pair of different components that could link has
 been counted, while a group of copies never expands into all its pairs.
@@ -51,9 +54,10 @@ CELLS = 1 << 16
 BLOCK_ROWS = 500
 COLUMN_BLOCKS = 4
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, cell int, cell_count long"
-_LEADING = "shingle long, doc_id long, size_place long"
-_PRODUCT = "hub long, partner long, overlap long, n_hub long, n_partner long"
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, bits binary, cell int, cell_count long"
+_LEADING = "shingle long, cls long, size_place long"
+_REACHED = "hub long, partner long"
+_PRODUCT = "a long, b long, overlap long, n_a long, n_b long"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +86,20 @@ def _each(pdf: pd.DataFrame, k: int):
         yield ids[a:b], names, sizes
 
 
+def _bitmap(row: np.ndarray) -> bytes:
+    """A bit for each hash of ``row`` by its low end; the length is a power of two of four to eight bits a hash."""
+    bits = np.zeros(max(64, 1 << (4 * len(row) - 1).bit_length()), np.uint8)
+    bits[(row & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _most_shared(bits_a: np.ndarray, n_a: int, bits_b: np.ndarray, n_b: int) -> int:
+    """An upper bound of the columns that two rows share, from their bitmaps."""
+    size = min(len(bits_a), len(bits_b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (bits_a, bits_b))
+    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     cells = np.zeros(CELLS, np.int64)
     for pdf in batches:
@@ -91,15 +109,15 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names)))
             twice = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(names ^ np.uint64(0x5851F42D4C957F2D)))))
             d1, d2 = sums[first + sizes] - sums[first], twice[first + sizes] - twice[first]
-            yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "cell": pd.array([None] * len(ids), "Int32"), "cell_count": pd.array([None] * len(ids), "Int64")})
+            yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "bits": [_bitmap(row) if len(row) else None for row in _split(names, sizes)], "cell": pd.array([None] * len(ids), "Int32"), "cell_count": pd.array([None] * len(ids), "Int64")})
     used = np.flatnonzero(cells)
     none = pd.array([None] * len(used), "Int64")
-    yield pd.DataFrame({"doc_id": none, "n_shingles": none, "d1": none, "d2": none, "cell": pd.array(used, "Int32"), "cell_count": pd.array(cells[used], "Int64")})
+    yield pd.DataFrame({"doc_id": none, "n_shingles": none, "d1": none, "d2": none, "bits": [None] * len(used), "cell": pd.array(used, "Int32"), "cell_count": pd.array(cells[used], "Int64")})
 
 
 def _leading(batches: Iterator[pd.DataFrame], k: int, level: np.ndarray, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """The first columns of each row in the common order; a task emits equal rows once."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     t, of = threshold
     for pdf in batches:
         for ids, names, sizes in _each(pdf[pdf["doc_id"].notna()], k):
@@ -108,30 +126,51 @@ def _leading(batches: Iterator[pd.DataFrame], k: int, level: np.ndarray, thresho
             names = names[order]
             first = np.cumsum(sizes) - sizes
             lead = np.where(sizes > 0, sizes - (t * sizes + of - 1) // of + 1, 0)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names)))
+            classes = (sums[first + sizes] - sums[first]).view(np.int64)
             for i in np.flatnonzero(sizes):
-                digest = names[first[i] : first[i] + sizes[i]].tobytes()
-                digest = hash(digest).to_bytes(8, "little", signed=True) + digest[:8]
-                if digest in seen:
+                if classes[i] in seen:
                     lead[i] = 0
-                seen.add(digest)
+                seen.add(int(classes[i]))
             total = int(lead.sum())
             place = np.arange(total) - np.repeat(np.cumsum(lead) - lead, lead)
             at = np.repeat(first, lead) + place
-            yield pd.DataFrame({"shingle": names[at].view(np.int64), "doc_id": np.repeat(ids, lead), "size_place": (np.repeat(sizes, lead).astype(np.int64) << 32) + place})
+            yield pd.DataFrame({"shingle": names[at].view(np.int64), "cls": np.repeat(classes, lead), "size_place": (np.repeat(sizes, lead).astype(np.int64) << 32) + place})
+
+
+def _reached(batches: Iterator[pd.DataFrame], threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """The pairs that their bitmaps leave; rows come sorted, hubs first."""
+    t, of = threshold
+    key, hub, n_hub = None, np.zeros(0, np.uint8), 0
+    for pdf in batches:
+        out = []
+        for h, block, cls, is_hub, n, bits in zip(pdf["hub"], pdf["block"], pdf["cls"], pdf["is_hub"], pdf["n_shingles"], pdf["bits"], strict=True):
+            row = np.frombuffer(bits, np.uint8)
+            if is_hub:
+                key, hub, n_hub = (h, block), row, n
+                continue
+            if key != (h, block):
+                raise ValueError(f"block {(h, block)} came without its hub")
+            if (of + t) * _most_shared(hub, n_hub, row, n) >= t * (n_hub + n):
+                out.append((h, cls))
+        if out:
+            yield pd.DataFrame(out, columns=["hub", "partner"])
 
 
 def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """Overlaps of hubs with their partners, a block of columns at a time; rows come sorted, hubs first."""
     t, of = threshold
     edges = [np.uint64((i << 64) // COLUMN_BLOCKS) for i in range(1, COLUMN_BLOCKS)]
-    key, hub, hub_cuts = None, np.zeros(0, np.uint64), []
+    key, hub_id, hub, hub_cuts = None, None, np.zeros(0, np.uint64), []
     for pdf in batches:
         out = []
         texts = encoded(pdf["text"])
         rows = (row for a, b in slices(texts) for row in _split(*shingle_sets(texts[a:b], k)))
-        for h, block, partner, is_hub, row in zip(pdf["hub"], pdf["block"], pdf["partner"], pdf["is_hub"], rows, strict=True):
+        for h, block, cls, doc_id, is_hub, row in zip(pdf["hub"], pdf["block"], pdf["cls"], pdf["doc_id"], pdf["is_hub"], rows, strict=True):
+            if int(row.sum().view(np.int64)) != cls:
+                continue  # another text under a repeated id
             if is_hub:
-                key, hub = (h, block), row
+                key, hub_id, hub = (h, block), doc_id, row
                 hub_cuts = [0, *np.searchsorted(hub, edges), len(hub)]
                 continue
             if key != (h, block):
@@ -148,19 +187,30 @@ def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]
                 if of * reach < t * (len(row) + len(hub) - reach):
                     break
             else:
-                out.append((h, partner, overlap, len(hub), len(row)))
+                out.append((hub_id, doc_id, overlap, len(hub), len(row)))
         if out:
-            yield pd.DataFrame(out, columns=["hub", "partner", "overlap", "n_hub", "n_partner"])
+            yield pd.DataFrame(out, columns=["a", "b", "overlap", "n_a", "n_b"])
 
 
-def _multiply(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (hub, partner) that link."""
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Each pair's partner in a block of its hub, and the hub once in each of its blocks."""
     width = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = pairs.join(width, "hub").select("hub", F.col("partner").alias("doc_id"), F.pmod(F.xxhash64("partner"), "blocks").cast("int").alias("block"), F.lit(False).alias("is_hub"))
-    hubs = width.select("hub", F.col("hub").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
-    rows = docs.join(dealt.unionByName(hubs), "doc_id")
-    ordered = rows.select("hub", "block", F.col("doc_id").alias("partner"), "is_hub", "text").repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
-    return ordered.mapInPandas(lambda it: _product(it, k, threshold), _PRODUCT).select(F.col("hub").alias("a"), F.col("partner").alias("b"))
+    partners = pairs.join(width, "hub").select("hub", F.col("partner").alias("cls"), F.pmod(F.xxhash64("partner"), "blocks").cast("int").alias("block"), F.lit(False).alias("is_hub"))
+    hubs = width.select("hub", F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
+    return partners.unionByName(hubs)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+
+
+def _multiply(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """Of the pairs (hub, partner) of classes the links (a, b) of their documents."""
+    maps = reps.select("cls", "n_shingles", "bits").join(_dealt(pairs), "cls").select("hub", "block", "cls", "is_hub", "n_shingles", "bits")
+    left = cut(_blocks(maps).mapInPandas(lambda it: _reached(it, threshold), _REACHED))
+    named = reps.select("cls", "doc_id").join(_dealt(left), "cls")
+    rows = docs.join(named, "doc_id").select("hub", "block", "cls", "doc_id", "is_hub", "text")
+    return _blocks(rows).mapInPandas(lambda it: _product(it, k, threshold), _PRODUCT).select("a", "b")
 
 
 def _bounded(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -182,41 +232,47 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, in
     for cell, count in found.where("cell is not null").groupBy("cell").agg(F.sum("cell_count")).collect():  # CELLS rows at most
         sketch[cell] = count
     level = np.floor(np.log2(np.maximum(sketch / max(sketch.mean(), 1e-9), 1))).astype(np.int8)
-    sets = found.where("doc_id is not null").select("doc_id", "n_shingles", "d1", "d2")
-    first = sets.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("a"))
-    equal = sets.join(first, ["n_shingles", "d1", "d2"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    sets = found.where("doc_id is not null and n_shingles > 0")
+    reps = cut(sets.groupBy("n_shingles", F.col("d1").alias("cls"), "d2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
+    classes = sets.select("doc_id", "n_shingles", F.col("d1").alias("cls"), "d2").join(reps.select("n_shingles", "cls", "d2", F.col("doc_id").alias("a")), ["n_shingles", "cls", "d2"])
+    # an id that repeats with other texts joins their classes
+    repeated = classes.groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.collect_set("a").alias("all")).where("lo <> hi").select(F.explode("all").alias("a"), "b")
 
     leading = docs.mapInPandas(lambda it: _leading(it, k, level, threshold), _LEADING)
-    by_column = Window.partitionBy("shingle").orderBy("doc_id")
-    hub = F.first(F.struct("doc_id", "size_place")).over(by_column)
-    shared = leading.select("*", hub.alias("hub"), F.lead("doc_id").over(by_column).alias("next")).where("next is not null or hub.doc_id <> doc_id")
+    by_column = Window.partitionBy("shingle").orderBy("cls")
+    hub = F.first(F.struct("cls", "size_place")).over(by_column)
+    walked = leading.select("*", hub.alias("hub"), F.lag("cls").over(by_column).alias("last"), F.lead("cls").over(by_column).alias("next"))
+    # every class once, and no column that has only one
+    shared = walked.where("(hub.cls <> cls and last <> cls) or (hub.cls = cls and next <> cls)")
     unpacked = lambda c: (F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
-    lists = cut(shared.select("shingle", "doc_id", *unpacked("size_place"), F.struct("hub.doc_id", *unpacked("hub.size_place")).alias("hub")))
-    stars = lists.where("hub.doc_id <> doc_id").select(F.col("hub.doc_id").alias("hub"), F.col("doc_id").alias("partner"), F.col("hub.n").alias("n_a"), F.col("hub.place").alias("place_a"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    lists = cut(shared.select("shingle", "cls", *unpacked("size_place"), F.struct("hub.cls", *unpacked("hub.size_place")).alias("hub")))
+    stars = lists.where("hub.cls <> cls").select(F.col("hub.cls").alias("hub"), F.col("cls").alias("partner"), F.col("hub.n").alias("n_a"), F.col("hub.place").alias("place_a"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
     # each partner with the hub that it shares most leading columns with
     stars = _bounded(stars, threshold).groupBy("partner", "hub").agg(F.count("*").alias("n"))
-    stars = cut(stars.groupBy("partner").agg(F.max(F.struct("n", F.negate("hub").alias("h"))).alias("best")).select(F.negate("best.h").alias("hub"), "partner"))
-    links = cut(_multiply(docs, stars, k, threshold).union(equal))
+    stars = cut(stars.groupBy("partner").agg(F.max(F.struct("n", F.col("hub").alias("h"))).alias("best")).select(F.col("best.h").alias("hub"), "partner"))
+    links = cut(_multiply(docs, reps, stars, k, threshold).union(repeated.select("a", "b")))
     near = cut(components(links))
 
     # columns that still join two components
-    held = lists.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
+    placed = reps.select("cls", "doc_id").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cls", F.coalesce("component", "doc_id").alias("c"))
+    held = lists.select("shingle", "cls", "n", "place").join(placed, "cls")
     mixed = held.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
-    open_lists = held.join(mixed, "shingle")
-    a = open_lists.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("doc_id", "n", "place", "c")])
-    b = open_lists.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("doc_id", "n", "place", "c")])
+    open_lists = cut(held.join(mixed, "shingle"))
+    a = open_lists.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("cls", "n", "place", "c")])
+    b = open_lists.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("cls", "n", "place", "c")])
     t, of = threshold
     # every shared column before the first end of the two leads is counted; behind it lie at most n - lead columns
     behind = F.greatest(*[F.ceil(F.col(n) * t / of) - 1 for n in ("n_a", "n_b")])
     near_size = of * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")
-    pairs = a.join(b, "shingle").where("c_a <> c_b and doc_id_a < doc_id_b").where(near_size).groupBy(F.col("doc_id_a").alias("hub"), F.col("doc_id_b").alias("partner"), "n_a", "n_b")
+    pairs = a.join(b, "shingle").where("c_a <> c_b and cls_a < cls_b").where(near_size).groupBy(F.col("cls_a").alias("hub"), F.col("cls_b").alias("partner"), "n_a", "n_b")
     across = pairs.agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
     across = _bounded(across, threshold).where((of + t) * (F.col("shared") + behind) >= t * (F.col("n_a") + F.col("n_b"))).select("hub", "partner")
     across = cut(across.join(stars, ["hub", "partner"], "left_anti"))
     if not across.isEmpty():
-        more = cut(_multiply(docs, across, k, threshold))
+        more = cut(_multiply(docs, reps, across, k, threshold))
         if not more.isEmpty():
             near = cut(components(links.union(more)))
-    sized = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    known = sized.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "component_id")
+    member = near.withColumnRenamed("node", "a")
+    known = classes.join(member, "a", "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "a")).alias("component_id"))
+    known = found.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left")
+    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
