@@ -54,3 +54,14 @@ def revision_sizes(revs: DataFrame, page: str, author: str, text: str, order: li
     latest = Window.partitionBy(page).orderBy(*[F.desc(c) for c in order])
     marked = revs.select(page, F.length(text).alias("_l"), F.coalesce((F.lag(author).over(w) != F.col(author)).cast("int"), F.lit(1)).alias("_new"), F.row_number().over(latest).alias("_n"))
     return marked.groupBy(page).agg(F.sum("_new").alias("n_revisions"), F.sum("_l").alias("total_size"), F.sum(F.when(F.col("_n") <= last, F.col("_l"))).alias("last_size"))
+
+
+def closest(pairs: DataFrame, key: str, distance: str, candidate: str) -> DataFrame:
+    """Of each key's candidates the one at the least distance; of equals the first."""
+    least = F.min(F.struct(F.col(distance).alias("d"), F.col(candidate).alias("c")))
+    return pairs.groupBy(key).agg(least.alias("_m")).select(key, F.col("_m.c").alias("closest"), F.col("_m.d").alias("distance"))
+
+
+def merged_lists(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The revisions of both lists, each once."""
+    return a.unionByName(b).dropDuplicates(key)

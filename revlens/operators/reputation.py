@@ -37,3 +37,15 @@ def high_median(histogram: DataFrame, share: float) -> DataFrame:
 def specific_quality(d01: Column, d02: Column, d12: Column) -> Column:
     """min(1, (d02 - d12) / d01); an edit that changed nothing is good."""
     return F.coalesce(F.least(F.lit(1.0), F.try_divide(d02 - d12, d01)), F.lit(1.0))
+
+
+def work_histogram(rows: DataFrame, weight: Column, work: Column, slots: int = 10) -> DataFrame:
+    """Work by the slot of its author's weight; partial sums merge by addition."""
+    slot = F.least(F.lit(slots - 1), F.greatest(F.lit(0), weight.cast("int")))
+    return rows.groupBy(slot.alias("slot")).agg(F.sum(work).alias("work"))
+
+
+def nixed_ratio(rows: DataFrame, key: str, nixes: Column) -> DataFrame:
+    """How many revisions some judgement nixes; each revision counts once."""
+    each = rows.groupBy(key).agg(F.bool_or(nixes).alias("_nixed"))
+    return each.agg(F.count("*").alias("n_revisions"), F.count_if("_nixed").alias("n_nixed")).withColumn("ratio", F.try_divide("n_nixed", "n_revisions"))

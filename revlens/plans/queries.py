@@ -17,6 +17,9 @@ from ..functions import text as T
 from ..operators import history as H
 from ..operators import reputation as R
 from ..operators import stats as S
+from ..sources import dumps as D
+from ..sources import lines as L
+from ..streaming import feed as E
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -320,6 +323,111 @@ def trust_css_class(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.trust_css_class(F.col("l_quantity") / 6, F.lit(7.5)).alias("class"))
 
 
+@_query("""
+SELECT doc_id, rev_id, text FROM (
+  SELECT doc_id, unnest([1, 2]) AS rev_id, unnest([substr(text, 1, 40), substr(text, 41, 60)]) AS text FROM documents WHERE text IS NOT NULL)""")
+def blob_round_trip(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    parts = F.array(F.struct(F.lit(1).alias("r"), F.substring("text", 1, 40).alias("t")), F.struct(F.lit(2).alias("r"), F.substring("text", 41, 60).alias("t")))
+    revs = docs.select("doc_id", F.inline(parts))
+    return L.revisions_of_blob(L.blob_of_revisions(revs, "doc_id", "r", "t"), "doc_id", "blob")
+
+
+@_query("""
+SELECT floor(epoch(ts)) AS time, event_id AS rev0, user_id AS uid0, 'u"' || event_type AS uname0, (event_id % 7)::INT AS "NJudges", round(value, 2) AS delta FROM events""")
+def statistics_round_trip(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    rows = e.select(
+        F.unix_timestamp("ts").cast("double").alias("time"), F.col("event_id").alias("PageId"), F.col("event_id").alias("rev0"), F.col("user_id").alias("uid0"),
+        F.concat(F.lit('u"'), "event_type").alias("uname0"), (F.col("event_id") % 7).cast("int").alias("NJudges"), F.round("value", 2).alias("Delta"), F.lit(0.5).alias("AvgSpecQ"),
+    )
+    back = L.parse_statistics(L.statistics_lines(rows, "EditLife"), "EditLife")
+    return back.select("time", "rev0", "uid0", "uname0", "NJudges", F.round("Delta", 2).alias("delta"))
+
+
+@_query("""
+SELECT event_id, user_id, bin FROM (SELECT event_id, user_id, trunc(ln(1 + greatest(value, 0)))::INT AS bin FROM events)""")
+def reputation_history_round_trip(spark, sf_dir):
+    lines = _table(spark, sf_dir, "events").select(F.format_string('%d %d 0 %d %f "a b"', "event_id", "user_id", R.reputation_bin(F.col("value")), "value").alias("value"))
+    return L.parse_reputations(lines).select(F.col("time").cast("long").alias("event_id"), "user_id", F.col("new_bin").alias("bin"))
+
+
+@_query("SELECT c_custkey, c_name AS robot FROM customer")
+def robots_of_markup(spark, sf_dir):
+    listed = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("x {{BotS|"), "c_name", F.lit("|12|a}}")).alias("text"))
+    return L.robots_of_markup(listed, "text").select("c_custkey", "robot")
+
+
+@_query("""
+SELECT user_id, event_id, kind_rank, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind_rank, event_id) AS place
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS kind_rank FROM events)""")
+def event_feed_merge(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    feed = E.merged(e.where("event_type <> 'click'"), e.where("event_type = 'click'"))
+    return E.feed_order(feed, "user_id", "ts", "event_id").select("user_id", "event_id", "kind_rank", "place")
+
+
+@_query("SELECT event_type, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def time_buckets(spark, sf_dir):
+    return E.time_buckets(_table(spark, sf_dir, "events"), "event_type", "ts")
+
+
+@_query("""
+SELECT event_id, round(sum(value) OVER w, 4) AS in_horizon, count(*) OVER w AS n_horizon FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+def revision_horizon(spark, sf_dir):
+    kept = E.horizon(_table(spark, sf_dir, "events"), "user_id", ORDER, "value")
+    return kept.select("event_id", F.round("in_horizon", 4).alias("in_horizon"), "n_horizon")
+
+
+@_query("""
+SELECT conv_id, count(*) AS n_turns, chunk FROM conversations
+JOIN (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 10 AS chunk FROM (SELECT DISTINCT conv_id FROM conversations)) USING (conv_id)
+GROUP BY conv_id, chunk""")
+def page_chunks(spark, sf_dir):
+    return D.chunked(_table(spark, sf_dir, "conversations"), "conv_id", 10).groupBy("conv_id", "chunk").agg(F.count("*").alias("n_turns"))
+
+
+@_query("""
+SELECT user_id, event_id FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT e.user_id, e.event_id FROM events e
+JOIN (SELECT user_id, max(ts) AS upto FROM events WHERE event_id % 3 = 0 GROUP BY user_id) USING (user_id) WHERE event_id % 3 <> 0 AND ts > upto""")
+def dump_with_updates(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return D.with_updates(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), "user_id", "ts").select("user_id", "event_id")
+
+
+@_query("""
+SELECT l_orderkey, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS closest, min(l_quantity) AS distance FROM lineitem GROUP BY l_orderkey""")
+def closest_revision(spark, sf_dir):
+    return H.closest(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber")
+
+
+@_query("""
+SELECT event_type, event_id, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n
+  FROM (SELECT DISTINCT event_type, event_id, ts FROM events WHERE value > 1 OR event_id % 2 = 0)) WHERE n <= 20""")
+def merge_revision_lists(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    both = H.merged_lists(e.where("value > 1").drop("value"), e.where("event_id % 2 = 0").drop("value"), ["event_type", "event_id", "ts"])
+    return H.last_revisions(both, "event_type", ORDER, 20)
+
+
+@_query("""
+SELECT slot, round(sum(w), 4) AS work FROM (
+  SELECT least(9, greatest(0, trunc(ln(1.2 + l_quantity))))::INT AS slot, l_extendedprice AS w FROM lineitem) GROUP BY slot""")
+def work_histogram(spark, sf_dir):
+    return R.work_histogram(_table(spark, sf_dir, "lineitem"), F.ln(1.2 + F.col("l_quantity")), F.col("l_extendedprice")).select("slot", F.round("work", 4).alias("work"))
+
+
+@_query("""
+SELECT count(*) AS n_revisions, count(*) FILTER (nixed) AS n_nixed, round(count(*) FILTER (nixed) / count(*), 8) AS ratio FROM (
+  SELECT l_orderkey, bool_or(l_discount < 0.02 AND l_quantity < 5) AS nixed FROM lineitem GROUP BY l_orderkey)""")
+def nixed_ratio(spark, sf_dir):
+    n = R.nixed_ratio(_table(spark, sf_dir, "lineitem"), "l_orderkey", (F.col("l_discount") < 0.02) & (F.col("l_quantity") < 5))
+    return n.select("n_revisions", "n_nixed", F.round("ratio", 8).alias("ratio"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
