@@ -333,6 +333,19 @@ def blob_round_trip(spark, sf_dir):
     return L.revisions_of_blob(L.blob_of_revisions(revs, "doc_id", "r", "t"), "doc_id", "blob")
 
 
+@_query("""
+SELECT doc_id // 1000 AS page_id, 2 * doc_id + half AS rev_id, CASE half WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS text
+FROM documents, (SELECT unnest([0, 1]) AS half) WHERE text IS NOT NULL""")
+def blob_packing(spark, sf_dir):
+    # both halves of each document as revisions of a page of a thousand documents: pages of several blobs
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    middle = F.floor(F.length("text") / 2).cast("int")
+    halves = [F.struct((2 * F.col("doc_id") + i).alias("r"), t.alias("t")) for i, t in enumerate((F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.length("text"))))]
+    revs = docs.select(F.expr("doc_id div 1000").alias("page_id"), F.inline(F.array(*halves)))
+    blobs = L.blob_of_revisions(L.packed(revs, "page_id", "r", "t"), ["page_id", "blob_id"], "r", "t")
+    return L.revisions_of_blob(blobs, "page_id", "blob")
+
+
 @_query("""
 SELECT floor(epoch(ts)) AS time, event_id AS rev0, user_id AS uid0, 'u"' || event_type AS uname0, (event_id % 7)::INT AS "NJudges", round(value, 2) AS delta FROM events""")
 def statistics_round_trip(spark, sf_dir):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The kinds of statistics lines and the labels of their fields, in the order of the format.
@@ -17,6 +21,9 @@ FIELDS = {
 }
 #: Lines of this many characters or fewer hold nothing.
 SHORTEST = 7
+#: A blob is full at so many bytes, or at so many bytes and revisions.
+MAX_BLOB, MIN_BLOB, MANY_REVISIONS = 10_000_000, 1_000_000, 20
+_ENTRY = re.compile(r"\((\d+) (\d+) (\d+)\)")
 
 
 def field(line: Column, label: str, kind: str) -> Column:
@@ -79,18 +86,57 @@ def robots_of_markup(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("*", F.explode(F.regexp_extract_all(text, F.lit(r"\{\{BotS\|(.*?)\|(.*)\}\}"), F.lit(1))).alias("robot"))
 
 
-def revisions_of_blob(blobs: DataFrame, key: str, blob: str) -> DataFrame:
+def packed(revs: DataFrame, key: str, rev_id: str, text: str, least: int = MIN_BLOB, most: int = MAX_BLOB, many: int = MANY_REVISIONS) -> DataFrame:
+    """``revs`` with ``blob_id``: a key's revisions, by id, go on to its next blob when the open one has ``most`` bytes, or ``least`` bytes and ``many`` revisions.
+
+    The rule is a fold over ids and sizes, which stream by; no key's history is held in one row.  Ids are
+    unique within a key, and neither they nor the texts are null.
+    """
+    kinds = dict(revs.dtypes)
+
+    def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, first, size, n = None, [], 0, 0
+        for pdf in batches:
+            done = []
+            for k, r, x in zip(pdf["k"].tolist(), pdf["r"].tolist(), pdf["x"].tolist()):
+                if not first or k != at:
+                    done += [(at, first)] if first else []
+                    at, first, size, n = k, [r], 0, 0
+                elif size >= most or (size >= least and n >= many):
+                    first.append(r)
+                    size, n = 0, 0
+                size, n = size + x, n + 1
+            yield pd.DataFrame(done, columns=["_k", "_first"])
+        if first:
+            yield pd.DataFrame([(at, first)], columns=["_k", "_first"])
+
+    sizes = revs.select(F.col(key).alias("k"), F.col(rev_id).alias("r"), F.octet_length(text).cast("long").alias("x"))
+    blobs = sizes.repartition("k").sortWithinPartitions("k", "r").mapInPandas(firsts, f"_k {kinds[key]}, _first array<{kinds[rev_id]}>")
+    begun = F.size(F.filter("_first", lambda f: f <= F.col(rev_id)))
+    return revs.join(blobs, F.col(key) == F.col("_k")).select(*revs.columns, (begun - 1).alias("blob_id"))
+
+
+def revisions_of_blob(blobs: DataFrame, key: str | list[str], blob: str) -> DataFrame:
     """The revisions in blobs ``(id start length)...:texts``; starts count from behind the colon."""
-    head = F.substring_index(blob, ":", 1)
-    entry = r"\((\d+) (\d+) (\d+)\)"
-    part = lambda i: F.transform(F.regexp_extract_all(head, F.lit(entry), F.lit(i)), lambda x: x.cast("long"))
-    listed = blobs.select(key, F.col(blob).alias("_blob"), F.length(head).alias("_head"), F.inline(F.arrays_zip(part(1).alias("rev_id"), part(2).alias("start"), part(3).alias("len"))))
-    return listed.select(key, "rev_id", F.substring(F.col("_blob"), (F.col("_head") + 2 + F.col("start")).cast("int"), F.col("len").cast("int")).alias("text"))
-
-
-def blob_of_revisions(revs: DataFrame, key: str, rev_id: str, text: str) -> DataFrame:
-    """The texts of each ``key`` in one blob, by revision id; a key holds a bounded number of revisions (see ``packed``)."""
-    kept = revs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rev_id).alias("r"), F.col(text).alias("t")))).alias("_all"))
-    start = F.struct(F.lit("").alias("head"), F.lit(0).cast("long").alias("at"))
-    head = F.aggregate("_all", start, lambda a, x: F.struct(F.concat(a["head"], F.format_string("(%d %d %d)", x["r"], a["at"], F.length(x["t"]))).alias("head"), (a["at"] + F.length(x["t"])).alias("at")), lambda a: a["head"])
-    return kept.select(key, F.concat(head, F.lit(":"), F.array_join(F.transform("_all", lambda x: x["t"]), "")).alias("blob"))
+    keys = [key] if isinstance(key, str) else key
+    kinds = dict(blobs.dtypes)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a slice costs its own length here, not its offset in the blob as in SQL
+        for pdf in batches:
+            for *of, whole in pdf.itertuples(index=False, name=None):
+                head, _, body = whole.partition(":")
+                rows = [(*of, r, body[at : at + n]) for r, at, n in (map(int, x) for x in _ENTRY.findall(head))]
+                yield pd.DataFrame(rows, columns=[*keys, "rev_id", "text"])
+
+    return blobs.select(*keys, blob).where(F.col(blob).isNotNull()).mapInPandas(cut, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "rev_id long, text string"]))
+
+
+def blob_of_revisions(revs: DataFrame, key: str | list[str], rev_id: str, text: str) -> DataFrame:
+    """The texts of each ``key`` in one blob, by revision id; ``packed`` bounds what a key holds, with ``blob_id`` as part of it."""
+    keys = [key] if isinstance(key, str) else key
+    before = Window.partitionBy(*keys).orderBy("r", "t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = revs.select(*keys, F.col(rev_id).alias("r"), F.col(text).alias("t")).withColumn("at", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
+    kept = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "at", "t"))).alias("_all"))
+    head = F.transform("_all", lambda x: F.format_string("(%d %d %d)", x["r"], x["at"], F.length(x["t"])))
+    return kept.select(*keys, F.concat(F.array_join(head, ""), F.lit(":"), F.array_join(F.transform("_all", lambda x: x["t"]), "")).alias("blob"))

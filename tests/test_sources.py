@@ -57,3 +57,19 @@ def test_stream_of_buckets(spark, tmp_path):
     query = feed.time_buckets(rows, "page", "ts", late="1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.n for r in spark.table(name).collect()) == [11, 19]
+
+
+def test_packed_blobs_hold_whole_texts(spark):
+    sizes = [40, 5, 5, 0, 5, 5, 5, 5, 60, 1, 1, 1, 1, 1, 30, 9] * 3
+    revs = [(k, 2 * i, chr(0xE4) * (n * (k + 1) // 2)) for k in range(3) for i, n in enumerate(sizes)]
+    want, state = {}, {}
+    for k, r, t in revs:
+        blob, size, n = state.get(k, (0, 0, 0))
+        if size >= 60 or (size >= 20 and n >= 4):
+            blob, size, n = blob + 1, 0, 0
+        state[k] = (blob, size + len(t.encode()), n + 1)
+        want[k, r] = blob
+    df = lines.packed(spark.createDataFrame(revs, "k long, r long, t string"), "k", "r", "t", least=20, most=60, many=4)
+    assert {(x.k, x.r): x.blob_id for x in df.collect()} == want and max(want.values()) > 2
+    back = lines.revisions_of_blob(lines.blob_of_revisions(df, ["k", "blob_id"], "r", "t"), "k", "blob")
+    assert sorted(tuple(x) for x in back.collect()) == revs
