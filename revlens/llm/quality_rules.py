@@ -5,11 +5,13 @@ which common word they are.  The reference of a language pools the
 histograms of all documents that are filed under it, each document with
 weight one, so that long ones do not decide.  A document fails if its
 Jensen-Shannon distance (square root of the divergence in bits) from every
-language exceeds the limits.  Distances of short texts are mostly noise, so
+language that it may be in exceeds the limits: those of ``COMMON``, and its own
+if ``MIN_REFERENCE`` documents or more are filed under that.  Distances of short texts are mostly noise, so
 each test has a least length below which it does not speak.
 
-Null and empty texts have no words and fail the base rule.  Unknown or null
-languages add to no reference but are judged like any other.  Without any
+Null and empty texts have no words and fail the base rule.  A document whose
+language has no reference is judged by the base rule alone; one without a
+language is held against all references and adds to none.  Without any
 reference only the base rule speaks.  Rows that repeat are judged each for
 itself; other columns are passed through untouched.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BYTE, _LOWER, encoded, slices, small_batches, span_hashes, split_words, window_hashes
@@ -31,6 +33,10 @@ MAX_REPEATED = 50
 #: Least bytes and words for the two distances to speak, and the distances that fail.
 MIN_BYTES, MAX_CLASS_DISTANCE = 300, 0.30
 MIN_COMMON_WORDS, MAX_WORD_DISTANCE = 120, 0.30
+#: Documents (of ``MIN_WORDS`` or more) that a language not in ``COMMON`` needs for a reference.
+MIN_REFERENCE = 20
+#: Languages that a task sums up before it passes the sums on.
+POOLED = 1000
 
 # Frequent words of each language.
 COMMON = {
@@ -147,9 +153,13 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((left + right) / 2, 0))
 
 
+def _sums(total: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    for lang, sums in total.items():
+        yield pd.DataFrame({"lang": lang, "bin": np.arange(len(sums)), "share": sums})
+
+
 def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    width = len(_CLASSES) + len(_WORDS) + 1
-    total = {lang: np.zeros(width + 1) for lang in LANGUAGES}
+    total: dict[str, np.ndarray] = {}
     for pdf in batches:
         texts = encoded(pdf["text"])
         for a, b in slices(texts):
@@ -157,20 +167,23 @@ def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             classes, common = histograms(texts[a:b], data, start, end, counts)
             langs = pdf["lang"].to_numpy()[a:b]
             long = counts >= MIN_WORDS
-            for lang in LANGUAGES:
+            for lang in pd.unique(langs[long & pd.notna(langs)]):
                 own = long & (langs == lang)
-                total[lang][:-1] += np.concatenate((_shares(classes[own]).sum(axis=0), _shares(common[own]).sum(axis=0)))
-                total[lang][-1] += own.sum()
-    for lang, sums in total.items():
-        if sums[-1]:
-            yield pd.DataFrame({"lang": lang, "bin": np.arange(width + 1), "share": sums})
+                sums = np.concatenate((_shares(classes[own]).sum(axis=0), _shares(common[own]).sum(axis=0), [own.sum()]))
+                total[lang] = total.get(lang, 0) + sums
+            if len(total) > POOLED:
+                yield from _sums(total)
+                total = {}
+    yield from _sums(total)
 
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(character classes, common words) of each language of ``LANGUAGES`` that has documents: a few hundred numbers."""
-    pooled = docs.select("text", "lang").mapInPandas(_pooled, "lang string, bin int, share double")
+    """(character classes, common words) of each language that has enough documents: a few hundred numbers."""
+    last = len(_CLASSES) + len(_WORDS) + 1
+    pooled = docs.select("text", "lang").mapInPandas(_pooled, "lang string, bin int, share double").groupBy("lang", "bin").agg(F.sum("share").alias("share"))
+    n = F.max(F.when(F.col("bin") == last, F.col("share"))).over(Window.partitionBy("lang"))
     found: dict[str, dict[int, float]] = {}
-    for lang, at, share in pooled.groupBy("lang", "bin").agg(F.sum("share")).collect():  # one row per language and bin
+    for lang, at, share, _ in pooled.withColumn("n", n).where(F.col("lang").isin(*LANGUAGES) | (F.col("n") >= MIN_REFERENCE)).collect():  # one row per language and bin
         found.setdefault(lang, {})[at] = share
     out = {}
     for lang, shares in found.items():
@@ -189,12 +202,19 @@ def _judged(batches: Iterator[pd.DataFrame], known: dict[str, tuple[np.ndarray,
             far = np.zeros(len(n), bool)
             nearest_class, nearest_word = np.full(len(n), np.nan), np.full(len(n), np.nan)
             if known:
-                by_class = np.stack([distance(_shares(classes), c) for c, _ in known.values()])
-                by_word = np.stack([distance(_shares(common), w) for _, w in known.values()])
+                langs = pdf["lang"].to_numpy()[a:b]
+                unnamed = pd.isna(langs)
+                by_class, by_word = np.full((2, len(known), len(n)), np.inf)
+                for k, (lang, (c, w)) in enumerate(known.items()):
+                    near = np.flatnonzero((lang in COMMON) | unnamed | (langs == lang))
+                    by_class[k, near] = distance(_shares(classes[near]), c)
+                    by_word[k, near] = distance(_shares(common[near]), w)
                 bad = (by_class > MAX_CLASS_DISTANCE) & (classes.sum(axis=1) >= MIN_BYTES)
                 bad |= (by_word > MAX_WORD_DISTANCE) & (n >= MIN_COMMON_WORDS)
-                far = bad.all(axis=0)
-                nearest_class, nearest_word = by_class.min(axis=0), by_word.min(axis=0)
+                named = unnamed | np.isin(langs.astype(str), list(known))
+                bad |= np.isinf(by_class)  # another language's own reference
+                far = bad.all(axis=0) & named
+                nearest_class, nearest_word = (np.where(np.isinf(x), np.nan, x) for x in (by_class.min(axis=0), by_word.min(axis=0)))
             made = pd.DataFrame({**counted, "base_failed": base, "kept": ~base & ~far, "class_distance": nearest_class, "word_distance": nearest_word})
             yield pd.concat([pdf.iloc[a:b].reset_index(drop=True), made], axis=1)
 
@@ -207,17 +227,17 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = references(docs)
     schema = f"doc_id long, text string, {_MEASURES}, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return docs.select("doc_id", "text").mapInPandas(lambda it: _without_text(_judged(it, known)), schema.replace(" text string,", ""))
+    return docs.mapInPandas(lambda it: _without_text(_judged(it, known)), schema.replace(" text string,", ""))
 
 
 def _without_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.drop(columns="text")
+        yield pdf.drop(columns=["text", "lang"])
 
 
 def _kept(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        kept = [made["kept"] for made in _judged(iter([pdf[["text"]]]), known)]
+        kept = [made["kept"] for made in _judged(iter([pdf[["text", "lang"]]]), known)]
         if kept:
             yield pdf[pd.concat(kept).to_numpy()]
 

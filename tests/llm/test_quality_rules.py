@@ -55,3 +55,14 @@ def test_no_reference_leaves_the_base_rule(spark):
 def test_distance_bounds():
     assert np.allclose(distance(np.array([[0.5, 0.5], [1.0, 0.0]]), np.array([0.5, 0.5]))[0], 0)
     assert np.allclose(distance(np.array([[1.0, 0.0]]), np.array([0.0, 1.0])), 1)
+
+
+def test_other_languages_have_their_own_reference(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, lang, 200), lang) for i, lang in enumerate(r.choices(list(COMMON), k=40))]
+    script = lambda low: " ".join("".join(chr(low + r.randrange(25)) for _ in range(r.randint(2, 9))) for _ in range(200))
+    rows += [(100 + i, script(0x430), "ru") for i in range(30)] + [(200, script(0x3B1), "el"), (201, script(0x430), None)]
+    junk = [(300, " | ".join(prose(r, "en", 1) for _ in range(300)), "ru"), (301, script(0x430), "en")]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {x["doc_id"]: x["kept"] for x in judge_quality(df).collect()}
+    assert {d for d, ok in kept.items() if not ok} == {300, 301}
