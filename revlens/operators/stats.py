@@ -29,5 +29,19 @@ def precision_recall(matrix: DataFrame, low_bin: int, bad_col: int) -> DataFrame
     return sums.select(F.try_divide("hit", "low").alias("precision"), F.try_divide("hit", "bad").alias("recall"), F.try_divide(F.col("hit") * F.col("all"), F.col("low") * F.col("bad")).alias("boost"))
 
 
+def information(matrix: DataFrame, low_bin: int, bad_col: int) -> DataFrame:
+    """What a low bin tells of bad columns, in bits: the mutual information, the entropies of both, and the former as a share of the bins' entropy."""
+    low, bad = F.col("bin") < low_bin, F.col("col") >= bad_col
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0)) / F.sum("weight")
+    cells = {"bad_low": low & bad, "bad_high": ~low & bad, "good_low": low & ~bad, "good_high": ~low & ~bad}
+    p = matrix.agg(*[share(c).alias(name) for name, c in cells.items()])
+    p = p.select("*", *[sum((F.col(c) for c in cells if side in c.split("_")), F.lit(0.0)).alias(side) for side in ("bad", "good", "low", "high")])
+    told = lambda c, against: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / against)).otherwise(0.0)
+    both = sum((told(c, F.col(c.split("_")[0]) * F.col(c.split("_")[1])) for c in cells), F.lit(0.0))
+    entropy = lambda *sides: -sum((told(c, F.lit(1.0)) for c in sides), F.lit(0.0))
+    out = p.select(both.alias("mutual_information"), entropy("bad", "good").alias("entropy_bad"), entropy("low", "high").alias("entropy_low"))
+    return out.withColumn("constraint_coefficient", F.try_divide("mutual_information", "entropy_low"))
+
+
 def judgements(rows: DataFrame, key: str, q: Column, weight: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n_judges"), F.sum(weight).alias("judge_weight"), F.sum(q * weight).alias("total_quality"), F.min(q).alias("min_quality"))

@@ -204,6 +204,23 @@ def precision_recall_mi(spark, sf_dir):
     return S.precision_recall(_matrix(spark, sf_dir), 2, 7).select(*[F.round(c, 8).alias(c) for c in ("precision", "recall", "boost")])
 
 
+def _plogp(p: str, against: str = "1") -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * log2({p} / ({against})) ELSE 0 END"
+
+
+@_query(f"""
+WITH w AS (
+  SELECT coalesce(sum(weight) FILTER (bin < 2 AND col >= 7), 0) / sum(weight) AS bl, coalesce(sum(weight) FILTER (bin >= 2 AND col >= 7), 0) / sum(weight) AS bh,
+    coalesce(sum(weight) FILTER (bin < 2 AND col < 7), 0) / sum(weight) AS gl, coalesce(sum(weight) FILTER (bin >= 2 AND col < 7), 0) / sum(weight) AS gh FROM ({_MATRIX})),
+p AS (SELECT *, bl + bh AS bad, gl + gh AS good, bl + gl AS low, bh + gh AS high FROM w),
+i AS (SELECT {" + ".join(_plogp(a + b, f"{x} * {y}") for a, x in (("b", "bad"), ("g", "good")) for b, y in (("l", "low"), ("h", "high")))} AS mi,
+  -({_plogp("bad")} + {_plogp("good")}) AS e_bad, -({_plogp("low")} + {_plogp("high")}) AS e_low FROM p)
+SELECT round(mi, 8) AS mutual_information, round(e_bad, 8) AS entropy_bad, round(e_low, 8) AS entropy_low, round(mi / nullif(e_low, 0), 8) AS constraint_coefficient FROM i""")
+def reputation_information(spark, sf_dir):
+    told = S.information(_matrix(spark, sf_dir), 2, 7)
+    return told.select(*[F.round(c, 8).alias(c) for c in told.columns])
+
+
 @_query("SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def monthly_stats(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
