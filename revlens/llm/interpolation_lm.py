@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, encoded, mix, span_hashes, word_hashes
 
-ORDER = 2
+ORDER = 3
 HELD_FOLDS = 10
 SHARD_BYTES = 4 << 20
 #: Tokens of the corpus for each bucket of names.

@@ -55,3 +55,11 @@ def test_weights_sum_to_one_and_follow_the_cells():
     weights = learn_weights(np.array([good]), np.array([1000]), 2, 99)
     assert np.allclose(weights.sum(axis=2), 1)
     assert weights[2, 3, 2] > 0.95 and (weights[2, 3] > 0).all()
+
+
+def test_contexts_of_two_words_count(spark):
+    r = random.Random(6)
+    rows = [(d, " ".join(r.choice(["a x b", "c x d"]) for _ in range(30))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = lambda scored: sum(x["score"] for x in scored.where("held_out").collect())
+    assert total(score_texts(df)) > total(score_texts(df, 2)) + 1
