@@ -7,7 +7,11 @@ texts are split and hashed as one byte array with numpy.
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +52,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if the cluster names one; else a folder for local tests."""
+    """``spark.checkpoint.dir``; where it is unset, as in local tests, a folder of this machine if all tasks run on it."""
     import tempfile
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -85,12 +91,70 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each span; equal contents give equal hashes."""
+    """Polynomial hash of ``values[start:end]`` for each span: cheap at every byte, for candidates that are compared afterwards.
+
+    Texts can be built whose spans collide; what must tell contents apart takes ``byte_names`` and ``range_names``.
+    """
     n = len(values)
     up, down = _powers(base, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _SIZE)
+
+
+_SIZE, _FIRST = np.uint64(0x632BE59BD9B4E019), np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def byte_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of spans of bytes: every eight bytes are mixed with their place, then all of them with the length."""
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix((lanes[start] & _MASKS[np.minimum(size, 8)]) ^ _FIRST)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # lanes behind the first
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[long], more) + 8 * place
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        h[long] += np.add.reduceat(mix((lanes[at] & _MASKS[left]) ^ mix(place.astype(np.uint64) * _SIZE)), first)
+    return mix(h + size.astype(np.uint64) * _SIZE)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def run_names(names: np.ndarray, k: int) -> np.ndarray:
+    """The name of ``names[i : i + k]`` for every i, put together from runs of 1, 2, 4 ... names."""
+    n, taken, size, rest = len(names) - k + 1, 0, 1, k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, level = np.full(n, k, np.uint64), names
+    while True:
+        if rest & 1:
+            out = _joined(out, level[taken : taken + n])
+            taken += size
+        rest >>= 1
+        if not rest:
+            return out
+        level = _joined(level[:-size], level[size:])
+        size *= 2
+
+
+def range_names(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The name of ``names[start:end]`` for spans of at least one: two runs of a power of two that cover it, and its length."""
+    length = end - start
+    step = np.frexp(length.astype(np.float64))[1] - 1
+    out, level, size = np.zeros(len(start), np.uint64), names, 1
+    for k in range(int(step.max(initial=0)) + 1):
+        own = np.flatnonzero(step == k)
+        out[own] = _joined(_joined(level[start[own]], level[end[own] - size]), length[own].astype(np.uint64))
+        level = _joined(level[:-size], level[size:])
+        size *= 2
+    return out
 
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES):
@@ -118,19 +182,19 @@ def split_words(texts: list[bytes], lower: bool = False, gap: np.ndarray = _SPAC
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, number of words of each text)."""
+    """(64-bit name of every word, number of words of each text)."""
     data, start, end, counts = split_words(texts, lower)
-    return span_hashes(_BYTE[data], start, end), counts
+    return byte_names(data, start, end), counts
 
 
-def window_hashes(words: np.ndarray, counts: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first word) of every window of ``k`` words within one text."""
+def window_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(name, index of the first word) of every window of ``k`` words within one text."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
     at = np.flatnonzero(owner[:n] == owner[k - 1 :])
-    return span_hashes(words, at, at + k, base), at
+    return run_names(words, k)[at], at
 
 
 def encoded(column) -> list[bytes]:
@@ -153,4 +217,83 @@ def cut(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing that is still to be computed reads them."""
+    for df in frames:
+        ref, path = _WRITTEN.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# --- texts in shards ---------------------------------------------------------
+
+SHARD_BYTES, SHARD_TEXTS = 4 << 20, 1 << 16
+SHARDS = "shard long, n_tokens long, ids array<long>, sizes array<int>, texts binary"
+
+
+def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 20
+    press = zstandard.ZstdCompressor(level=4)
+    ids, texts, size, tokens = [], [], 0, 0
+
+    def row():
+        return pd.DataFrame({"shard": [number], "n_tokens": [tokens], "ids": [ids], "sizes": [[len(t) for t in texts]], "texts": [press.compress(b"".join(texts))]})
+
+    for pdf in batches:
+        for d, t in zip(pdf["doc_id"], encoded(pdf["text"]), strict=True):
+            ids.append(None if pd.isna(d) else int(d))
+            texts.append(t)
+            size += len(t)
+            tokens += t.count(b" ") + 2
+            if size >= SHARD_BYTES or len(texts) >= SHARD_TEXTS:
+                yield row()
+                ids, texts, size, tokens, number = [], [], 0, 0, number + 1
+    if texts:
+        yield row()
+
+
+def sharded(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) packed some megabytes to a row; a text's number is ``shard * SHARD_TEXTS`` and its place."""
+    return docs.select("doc_id", "text").mapInPandas(_sharded, SHARDS)
+
+
+def unpacked(sizes, packed: bytes) -> list[bytes]:
+    """The texts of a shard."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    stops = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def pressed(a: np.ndarray) -> bytes:
+    """Unsigned values as planes of bytes, compressed; small and alike values cost little."""
+    import zstandard
+
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = a.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def restored(b: bytes, n: int) -> np.ndarray:
+    """The ``n`` values that ``pressed`` packed, as unsigned 64-bit numbers."""
+    import zstandard
+
+    out = np.zeros((n, 8), "u1")
+    if n:
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "u1").reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()

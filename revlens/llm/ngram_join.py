@@ -3,174 +3,174 @@
 Rows of the incidence matrix are documents, columns their distinct word
 shingles.  An entry of its product with its transpose counts shared
 shingles; a link needs ``overlap >= t / (1 + t) * (n_a + n_b)``, so entries
-whose bound cannot be reached are never formed:
-
-* Columns are ordered by how often they occur (a fixed-size count sketch
-  over all documents; only the order depends on it, not the result) and by
-  name.  A linked pair shares a column among the first ``n - ceil(t n) + 1``
-  of either row, so only these *leading* columns seed the product.
-* Two rows that are no star but share leading columns must share enough of
-  them: what lies behind the shorter lead cannot make up for the rest.
-* A seed at places i and j leaves at most ``1 + min(n_a - i, n_b - j)``
-  shared columns; pairs below the bound are discarded, as are sizes too far
-  apart.
-
-Equal rows form a class, named by a digest; one document of each class is
-multiplied.  Column lists are taken as stars around their first class; a class
-is multiplied with the hub it shares most leading columns with.  A bitmap of
-some four bits for each column of a row goes before the row itself: bits that
-only one row has count columns that it does not share, and pairs that this
-bounds too low are discarded.  The full rows of a star's partners then come in
-blocks of bounded size to their hub's row, and the overlap accumulates over
-blocks of columns; a pair is discarded as soon as what it has and what is left
-fall short.  Verified pairs give components of classes.  A column whose classes then lie in one component is done;
-the remaining pairs of the other columns, those across components, are
-multiplied in the same way.  So every pair of different components that could link has
-been counted, while a group of copies never expands into all its pairs.
+whose bound cannot be reached are never formed.
+
+1. Equal rows form a class, found by digests; one document of each class
+   goes on.
+2. Every column is counted over all classes.  The names of a shard of texts go to
+   buckets of names and their counts come back, so a frequent column costs one
+   entry per shard.  A row with fewer than ``t n`` columns that another class
+   has can link with nothing and ends here.
+3. The columns of the other rows are ordered by count, rarest first.  A linked pair shares a column
+   among the first ``n - ceil(t n) + 1`` of either row, so only these *leading*
+   columns list their rows.  A row that has a column at place p shares at most
+   ``n - p`` columns with any row of that list, so its partners have at most
+   ``reach = ((1 + t)(n - p) - t n) / t`` columns, and it has at most theirs.
+4. In every list the row of greatest reach for its size is the hub, and the others are multiplied
+   with it, each with the hub that it shares most lists with.  Links give
+   components; a row stays in a list only if a row of another component, in reach
+   of it, is there too.  As long as long lists remain, further rounds multiply
+   their rows with more hubs, all of them; at last the few pairs left are formed.
+
+The product takes blocks: a hub's row meets the rows of its partners in blocks of
+bounded size, the overlap accumulates over blocks of columns, and a pair is
+discarded as soon as what it has and what is left fall short.  A group of copies never expands into all its
+pairs, yet every pair of different components that could link has been
+multiplied or bounded.
 
 Null or empty texts and rows without a doc_id have an empty set and link
 with nothing.  ``doc_id`` is the key; rows that repeat an id come back once
-each, with the component of that id.  Extra columns are ignored.
+each, with the component of that id, and join what any of them links with.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_texts, encoded, mix, slices, span_hashes, window_hashes, word_hashes
+from .common import SHARD_TEXTS, cut, doc_texts, encoded, free, mix, pressed, restored, run_names, sharded, slices, unpacked, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
 THRESHOLD = (75, 100)
-#: Counters of the column sketch, whatever the size of the corpus.
-CELLS = 1 << 16
+#: Columns for each bucket of names, and bits of a name within its bucket.  Columns that share these bits are
+#: counted together, which can only keep a row for longer.
+BUCKET_COLUMNS, NAME_BITS = 1 << 20, 25
 #: Partners of one hub that are multiplied in one block.
 BLOCK_ROWS = 500
 COLUMN_BLOCKS = 4
+#: Steps of the counts by which columns are ordered, for each doubling.
+STEPS = 8
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, bits binary, cell int, cell_count long"
-_LEADING = "shingle long, cls long, size_place long"
-_REACHED = "hub long, partner long"
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long"
+_REQUESTS = "bucket long, shard long, n int, names binary, counts binary"
+_REPLIES = "bucket long, shard long, n int, levels binary"
+_ROWS = "node long, doc_id long, n long, names array<long>"
 _PRODUCT = "a long, b long, overlap long, n_a long, n_b long"
+_DIGEST = ["n_shingles", "d1", "d2"]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all texts in turn, number of each text)."""
+    """(sorted distinct shingle names of all texts in turn, number of each text)."""
     words, counts = word_hashes(texts, lower=True)
     owner = np.repeat(np.arange(len(texts)), counts)
     names, at = window_hashes(words, counts, k)
-    stops = np.cumsum(counts)
-    short = np.flatnonzero((counts > 0) & (counts < k))
-    whole = span_hashes(words, (stops - counts)[short], stops[short])
-    names, owner = np.concatenate((names, whole)), np.concatenate((owner[at], short))
+    parts, owners = [names], [owner[at]]
+    first = np.cumsum(counts) - counts
+    for size in range(1, k):
+        short = np.flatnonzero(counts == size)
+        if len(short):
+            parts.append(run_names(words, size)[first[short]])
+            owners.append(short)
+    names, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.lexsort((names, owner))
     names, owner = names[order], owner[order]
     new = np.concatenate((np.ones(min(1, len(names)), bool), (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
     return names[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def _split(names: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    return np.split(names, np.cumsum(sizes)[:-1])
-
-
-def _each(pdf: pd.DataFrame, k: int):
-    texts, ids = encoded(pdf["text"]), pdf["doc_id"].to_numpy(np.int64)
-    for a, b in slices(texts):
-        names, sizes = shingle_sets(texts[a:b], k)
-        yield ids[a:b], names, sizes
-
-
-def _bitmap(row: np.ndarray) -> bytes:
-    """A bit for each hash of ``row`` by its low end; the length is a power of two of four to eight bits a hash."""
-    bits = np.zeros(max(64, 1 << (4 * len(row) - 1).bit_length()), np.uint8)
-    bits[(row & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def _most_shared(bits_a: np.ndarray, n_a: int, bits_b: np.ndarray, n_b: int) -> int:
-    """An upper bound of the columns that two rows share, from their bitmaps."""
-    size = min(len(bits_a), len(bits_b))
-    a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (bits_a, bits_b))
-    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+def _all_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [shingle_sets(texts[a:b], k) for a, b in slices(texts)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    cells = np.zeros(CELLS, np.int64)
+    zero = np.zeros(1, np.uint64)
     for pdf in batches:
-        for ids, names, sizes in _each(pdf[pdf["doc_id"].notna()], k):
-            cells += np.bincount((names >> np.uint64(48)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+        texts = encoded(pdf["text"])
+        for a, b in slices(texts):
+            names, sizes = shingle_sets(texts[a:b], k)
             first = np.cumsum(sizes) - sizes
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names)))
-            twice = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(names ^ np.uint64(0x5851F42D4C957F2D)))))
+            sums = np.concatenate((zero, np.cumsum(names)))
+            twice = np.concatenate((zero, np.cumsum(mix(names ^ np.uint64(0x5851F42D4C957F2D)))))
             d1, d2 = sums[first + sizes] - sums[first], twice[first + sizes] - twice[first]
-            yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "bits": [_bitmap(row) if len(row) else None for row in _split(names, sizes)], "cell": pd.array([None] * len(ids), "Int32"), "cell_count": pd.array([None] * len(ids), "Int64")})
-    used = np.flatnonzero(cells)
-    none = pd.array([None] * len(used), "Int64")
-    yield pd.DataFrame({"doc_id": none, "n_shingles": none, "d1": none, "d2": none, "bits": [None] * len(used), "cell": pd.array(used, "Int32"), "cell_count": pd.array(cells[used], "Int64")})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "n_shingles": sizes, "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
 
 
-def _leading(batches: Iterator[pd.DataFrame], k: int, level: np.ndarray, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    """The first columns of each row in the common order; a task emits equal rows once."""
-    seen: set[int] = set()
-    t, of = threshold
-    for pdf in batches:
-        for ids, names, sizes in _each(pdf[pdf["doc_id"].notna()], k):
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            order = np.lexsort((names, level[(names >> np.uint64(48)).astype(np.int64) & (CELLS - 1)], owner))
-            names = names[order]
-            first = np.cumsum(sizes) - sizes
-            lead = np.where(sizes > 0, sizes - (t * sizes + of - 1) // of + 1, 0)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names)))
-            classes = (sums[first + sizes] - sums[first]).view(np.int64)
-            for i in np.flatnonzero(sizes):
-                if classes[i] in seen:
-                    lead[i] = 0
-                seen.add(int(classes[i]))
-            total = int(lead.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(lead) - lead, lead)
-            at = np.repeat(first, lead) + place
-            yield pd.DataFrame({"shingle": names[at].view(np.int64), "cls": np.repeat(classes, lead), "size_place": (np.repeat(sizes, lead).astype(np.int64) << 32) + place})
-
-
-def _reached(batches: Iterator[pd.DataFrame], threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    """The pairs that their bitmaps leave; rows come sorted, hubs first."""
-    t, of = threshold
-    key, hub, n_hub = None, np.zeros(0, np.uint8), 0
-    for pdf in batches:
-        out = []
-        for h, block, cls, is_hub, n, bits in zip(pdf["hub"], pdf["block"], pdf["cls"], pdf["is_hub"], pdf["n_shingles"], pdf["bits"], strict=True):
-            row = np.frombuffer(bits, np.uint8)
-            if is_hub:
-                key, hub, n_hub = (h, block), row, n
-                continue
-            if key != (h, block):
-                raise ValueError(f"block {(h, block)} came without its hub")
-            if (of + t) * _most_shared(hub, n_hub, row, n) >= t * (n_hub + n):
-                out.append((h, cls))
-        if out:
-            yield pd.DataFrame(out, columns=["hub", "partner"])
+# --- counting columns -------------------------------------------------------------
 
 
-def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
+def _short(names: np.ndarray, log_buckets: int) -> np.ndarray:
+    return names >> np.uint64(64 - NAME_BITS - log_buckets)
+
+
+def _requests(batches: Iterator[pd.DataFrame], k: int, log_buckets: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for shard, sizes, texts in zip(pdf["shard"], pdf["sizes"], pdf["texts"], strict=True):
+            distinct, counts = np.unique(_short(_all_sets(unpacked(sizes, texts), k)[0], log_buckets), return_counts=True)
+            bucket = (distinct >> np.uint64(NAME_BITS)).astype(np.int64)
+            low = distinct & np.uint64((1 << NAME_BITS) - 1)
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+            rows = [(bucket[a], shard, b - a, pressed(np.diff(low[a:b], prepend=np.uint64(0))), pressed(counts[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["bucket", "shard", "n", "names", "counts"])
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each name that a shard sent 0 if a single class has it, else the step of its count."""
+    names = np.concatenate([np.cumsum(restored(x, n)) for x, n in zip(pdf["names"], pdf["n"], strict=True)])
+    counts = np.concatenate([restored(c, n) for c, n in zip(pdf["counts"], pdf["n"], strict=True)])
+    distinct, which = np.unique(names, return_inverse=True)
+    total = np.bincount(which, counts, len(distinct))
+    level = np.where(total > 1, np.floor(STEPS * np.log2(np.maximum(total, 1))), 0).astype(np.int64)[which]
+    stops = np.cumsum([0, *pdf["n"]])
+    return pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "n": pdf["n"], "levels": [pressed(level[a:b]) for a, b in zip(stops, stops[1:], strict=False)]})
+
+
+def _ordered(shards: pd.DataFrame, replies: pd.DataFrame, k: int, log_buckets: int, threshold: tuple[int, int]) -> pd.DataFrame:
+    """The rows that share enough columns to link, with these columns in the common order."""
+    t, of = threshold
+    out = []
+    for shard, ids, sizes, texts in zip(shards["shard"], shards["ids"], shards["sizes"], shards["texts"], strict=True):
+        names, n = _all_sets(unpacked(sizes, texts), k)
+        distinct, which = np.unique(_short(names, log_buckets), return_inverse=True)
+        told = replies.sort_values("bucket")
+        if int(told["n"].sum()) != len(distinct):
+            raise ValueError("a bucket's answer is missing")
+        if not len(distinct):
+            continue
+        level = np.concatenate([restored(b, m) for b, m in zip(told["levels"], told["n"], strict=True)])[which]
+        owner = np.repeat(np.arange(len(n)), n)
+        common = np.bincount(owner, level > 0, len(n)).astype(np.int64)
+        able = (n > 0) & (of * common >= t * n)
+        if not able.any():
+            continue
+        own = (level > 0) & able[owner]
+        order = np.lexsort((names[own], level[own], owner[own]))
+        rows = np.split(names[own][order].view(np.int64), np.cumsum(common[able])[:-1])
+        out += [((shard * SHARD_TEXTS) + i, int(ids[i]), n[i], row) for i, row in zip(np.flatnonzero(able), rows, strict=True)]
+    return pd.DataFrame(out, columns=["node", "doc_id", "n", "names"])
+
+
+# --- the product ------------------------------------------------------------------
+
+
+def _product(batches: Iterator[pd.DataFrame], threshold: tuple[int, int]) -> Iterator[pd.DataFrame]:
     """Overlaps of hubs with their partners, a block of columns at a time; rows come sorted, hubs first."""
     t, of = threshold
     edges = [np.uint64((i << 64) // COLUMN_BLOCKS) for i in range(1, COLUMN_BLOCKS)]
-    key, hub_id, hub, hub_cuts = None, None, np.zeros(0, np.uint64), []
+    key, hub_id, n_hub, hub, hub_cuts = None, None, 0, np.zeros(0, np.uint64), []
     for pdf in batches:
         out = []
-        texts = encoded(pdf["text"])
-        rows = (row for a, b in slices(texts) for row in _split(*shingle_sets(texts[a:b], k)))
-        for h, block, cls, doc_id, is_hub, row in zip(pdf["hub"], pdf["block"], pdf["cls"], pdf["doc_id"], pdf["is_hub"], rows, strict=True):
-            if int(row.sum().view(np.int64)) != cls:
-                continue  # another text under a repeated id
+        for h, block, doc_id, is_hub, n, names in zip(pdf["hub"], pdf["block"], pdf["doc_id"], pdf["is_hub"], pdf["n"], pdf["names"], strict=True):
+            row = np.sort(np.asarray(names, np.int64).view(np.uint64))
             if is_hub:
-                key, hub_id, hub = (h, block), doc_id, row
+                key, hub_id, n_hub, hub = (h, block), doc_id, n, row
                 hub_cuts = [0, *np.searchsorted(hub, edges), len(hub)]
                 continue
             if key != (h, block):
@@ -183,41 +183,106 @@ def _product(batches: Iterator[pd.DataFrame], k: int, threshold: tuple[int, int]
                     place = np.searchsorted(theirs, mine)
                     place[place == len(theirs)] = 0
                     overlap += int((theirs[place] == mine).sum())
-                reach = overlap + min(len(row) - cuts[c + 1], len(hub) - hub_cuts[c + 1])
-                if of * reach < t * (len(row) + len(hub) - reach):
+                most = overlap + min(len(row) - cuts[c + 1], len(hub) - hub_cuts[c + 1])
+                if of * most < t * (n + n_hub - most):
                     break
             else:
-                out.append((hub_id, doc_id, overlap, len(hub), len(row)))
+                out.append((hub_id, doc_id, overlap, n_hub, n))
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "overlap", "n_a", "n_b"])
 
 
-def _dealt(pairs: DataFrame) -> DataFrame:
-    """Each pair's partner in a block of its hub, and the hub once in each of its blocks."""
+def _multiply(rows: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of the pairs (hub, partner) of rows the links (a, b) of their documents."""
     width = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    partners = pairs.join(width, "hub").select("hub", F.col("partner").alias("cls"), F.pmod(F.xxhash64("partner"), "blocks").cast("int").alias("block"), F.lit(False).alias("is_hub"))
-    hubs = width.select("hub", F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
-    return partners.unionByName(hubs)
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+    partners = pairs.join(width, "hub").select("hub", F.col("partner").alias("node"), F.pmod(F.xxhash64("partner"), "blocks").cast("int").alias("block"), F.lit(False).alias("is_hub"))
+    hubs = width.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
+    dealt = rows.join(partners.unionByName(hubs), "node").select("hub", "block", "doc_id", "is_hub", "n", "names")
+    dealt = dealt.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+    return dealt.mapInPandas(lambda it: _product(it, threshold), _PRODUCT).select("a", "b")
 
 
-def _multiply(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """Of the pairs (hub, partner) of classes the links (a, b) of their documents."""
-    maps = reps.select("cls", "n_shingles", "bits").join(_dealt(pairs), "cls").select("hub", "block", "cls", "is_hub", "n_shingles", "bits")
-    left = cut(_blocks(maps).mapInPandas(lambda it: _reached(it, threshold), _REACHED))
-    named = reps.select("cls", "doc_id").join(_dealt(left), "cls")
-    rows = docs.join(named, "doc_id").select("hub", "block", "cls", "doc_id", "is_hub", "text")
-    return _blocks(rows).mapInPandas(lambda it: _product(it, k, threshold), _PRODUCT).select("a", "b")
+# --- lists of rows by leading column ----------------------------------------------
 
 
-def _bounded(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Discard pairs (n_a, place_a, n_b, place_b) below the bounds that their sizes and places give."""
+def _listed(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(column, node, doc_id, n, reach) for each leading column of each row; what only it has stands before all others."""
     t, of = threshold
-    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return pairs.where(of * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")).where((of + t) * reach >= t * (F.col("n_a") + F.col("n_b")))
+    alone = F.col("n") - F.size("names")
+    lead = F.col("n") - F.ceil(F.col("n") * t / of) + 1 - alone
+    at = rows.select("node", "doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("names", 1, F.greatest(lead, F.lit(0)).cast("int"))).alias("place", "shingle"))
+    reach = F.floor(((of + t) * (F.col("n") - F.col("alone") - F.col("place")) - t * F.col("n")) / t)
+    return at.select("shingle", "node", "doc_id", "n", reach.alias("reach")).where("reach > 0")
+
+
+def _placed(lists: DataFrame, near: DataFrame | None) -> DataFrame:
+    """``lists`` with the component of each row as ``c``."""
+    if near is None:
+        return lists.withColumn("c", F.col("doc_id"))
+    return lists.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of lists that another component's row of the list may link with."""
+    by_component = placed.groupBy("shingle", "c").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
+    best = by_component.groupBy("shingle").agg(F.max(F.struct("reach", "c")).alias("far"), F.min(F.struct("n", "c")).alias("small"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    best = best.where("lo <> hi").select("shingle", "far", "small")
+    second = by_component.join(best, "shingle").groupBy("shingle").agg(
+        F.first("far").alias("far"),
+        F.first("small").alias("small"),
+        F.max(F.when(F.col("c") != F.col("far.c"), F.col("reach"))).alias("far2"),
+        F.min(F.when(F.col("c") != F.col("small.c"), F.col("n"))).alias("small2"),
+    )
+    far = F.when(F.col("c") == F.col("far.c"), F.col("far2")).otherwise(F.col("far.reach"))
+    small = F.when(F.col("c") == F.col("small.c"), F.col("small2")).otherwise(F.col("small.n"))
+    return placed.join(second, "shingle").where((far >= F.col("n")) & (small <= F.col("reach"))).select(*placed.columns)
+
+
+def _hubs(placed: DataFrame, each: int) -> DataFrame:
+    """The rows of greatest reach for their size, one of each of ``each`` parts of a list."""
+    strength = F.floor(F.col("reach") * (1 << 20) / F.col("n"))
+    best = placed.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(each)).alias("part")).agg(F.max(F.struct(strength.alias("strength"), "node", "n", "reach", "c")).alias("h"))
+    return best.select("shingle", *[F.col(f"h.{x}").alias(f"{x}_h") for x in ("node", "n", "reach", "c")])
+
+
+def _in_reach(a: str, b: str) -> Column:
+    return (F.col(f"n{a}") <= F.col(f"reach{b}")) & (F.col(f"n{b}") <= F.col(f"reach{a}")) & (F.col(f"c{a}") != F.col(f"c{b}"))
+
+
+def _links(rows: DataFrame, lists: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) of documents, enough of all links to give the components; and these, if they are known."""
+    total = lists.count()
+    pairs = lists.join(_hubs(_placed(lists, None), 1).drop("c_h"), "shingle").where("node <> node_h and n <= reach_h and n_h <= reach")
+    most = pairs.groupBy("node", "node_h").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max(F.struct("shared", "node_h")).alias("best"))
+    tested = cut(most.select(F.col("best.node_h").alias("hub"), F.col("node").alias("partner")))
+    links = cut(_multiply(rows, tested, threshold))
+    each = 1
+    while True:
+        near = cut(components(links))
+        left = cut(_open(_placed(lists, near)))
+        size = left.groupBy("shingle").agg(F.count("*").alias("n"))
+        pairs_left = size.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()[0]
+        if not pairs_left:
+            return links, near
+        last = pairs_left <= total
+        if last:
+            a, b = (left.select("shingle", *[F.col(x).alias(f"{x}{s}") for x in ("node", "n", "reach", "c")]) for s in ("_a", "_b"))
+            pairs = a.join(b, "shingle").where(F.col("node_a") < F.col("node_b")).where(_in_reach("_a", "_b")).select(F.col("node_a").alias("hub"), F.col("node_b").alias("partner"))
+        else:
+            hubs = cut(_hubs(left, each))
+            pairs = left.join(hubs, "shingle").where(F.col("node") != F.col("node_h")).where(_in_reach("", "_h")).select(F.col("node_h").alias("hub"), F.col("node").alias("partner"))
+        known = tested.union(tested.select(F.col("partner").alias("hub"), F.col("hub").alias("partner")))
+        pairs = cut(pairs.distinct().join(known, ["hub", "partner"], "left_anti"))
+        more = cut(_multiply(rows, pairs, threshold))
+        if last and more.isEmpty():
+            return links, near
+        links = links.union(more)
+        if last:
+            return links, None
+        tested = tested.union(pairs)
+        # all that a hub could link with in its list has been multiplied
+        lists = cut(left.drop("c").join(hubs.select("shingle", F.col("node_h").alias("node")), ["shingle", "node"], "left_anti"))
+        each *= 2
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -228,51 +293,25 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: tuple[int, in
     """
     docs = doc_texts(docs)
     found = cut(docs.mapInPandas(lambda it: _sets(it, k), _SETS))
-    sketch = np.zeros(CELLS)
-    for cell, count in found.where("cell is not null").groupBy("cell").agg(F.sum("cell_count")).collect():  # CELLS rows at most
-        sketch[cell] = count
-    level = np.floor(np.log2(np.maximum(sketch / max(sketch.mean(), 1e-9), 1))).astype(np.int8)
-    sets = found.where("doc_id is not null and n_shingles > 0")
-    reps = cut(sets.groupBy("n_shingles", F.col("d1").alias("cls"), "d2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
-    classes = sets.select("doc_id", "n_shingles", F.col("d1").alias("cls"), "d2").join(reps.select("n_shingles", "cls", "d2", F.col("doc_id").alias("a")), ["n_shingles", "cls", "d2"])
+    known = found.where("doc_id is not null and n_shingles > 0")
+    classes = cut(known.groupBy(*_DIGEST).agg(F.min("doc_id").alias("a")))
+    columns = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    log_buckets = min(64 - NAME_BITS, max(4, int(np.ceil(np.log2(max(1, columns / BUCKET_COLUMNS))))))
+
+    shards = cut(sharded(docs.join(classes.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    replies = shards.mapInPandas(lambda it: _requests(it, k, log_buckets), _REQUESTS).groupBy("bucket").applyInPandas(_levels, _REPLIES)
+    rows = cut(shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(lambda a, b: _ordered(a, b, k, log_buckets, threshold), _ROWS))
+    free(shards)
+    lists = cut(_listed(rows, threshold))
+
     # an id that repeats with other texts joins their classes
-    repeated = classes.groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.collect_set("a").alias("all")).where("lo <> hi").select(F.explode("all").alias("a"), "b")
-
-    leading = docs.mapInPandas(lambda it: _leading(it, k, level, threshold), _LEADING)
-    by_column = Window.partitionBy("shingle").orderBy("cls")
-    hub = F.first(F.struct("cls", "size_place")).over(by_column)
-    walked = leading.select("*", hub.alias("hub"), F.lag("cls").over(by_column).alias("last"), F.lead("cls").over(by_column).alias("next"))
-    # every class once, and no column that has only one
-    shared = walked.where("(hub.cls <> cls and last <> cls) or (hub.cls = cls and next <> cls)")
-    unpacked = lambda c: (F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
-    lists = cut(shared.select("shingle", "cls", *unpacked("size_place"), F.struct("hub.cls", *unpacked("hub.size_place")).alias("hub")))
-    stars = lists.where("hub.cls <> cls").select(F.col("hub.cls").alias("hub"), F.col("cls").alias("partner"), F.col("hub.n").alias("n_a"), F.col("hub.place").alias("place_a"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    # each partner with the hub that it shares most leading columns with
-    stars = _bounded(stars, threshold).groupBy("partner", "hub").agg(F.count("*").alias("n"))
-    stars = cut(stars.groupBy("partner").agg(F.max(F.struct("n", F.col("hub").alias("h"))).alias("best")).select(F.col("best.h").alias("hub"), "partner"))
-    links = cut(_multiply(docs, reps, stars, k, threshold).union(repeated.select("a", "b")))
-    near = cut(components(links))
-
-    # columns that still join two components
-    placed = reps.select("cls", "doc_id").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cls", F.coalesce("component", "doc_id").alias("c"))
-    held = lists.select("shingle", "cls", "n", "place").join(placed, "cls")
-    mixed = held.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
-    open_lists = cut(held.join(mixed, "shingle"))
-    a = open_lists.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("cls", "n", "place", "c")])
-    b = open_lists.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("cls", "n", "place", "c")])
-    t, of = threshold
-    # every shared column before the first end of the two leads is counted; behind it lie at most n - lead columns
-    behind = F.greatest(*[F.ceil(F.col(n) * t / of) - 1 for n in ("n_a", "n_b")])
-    near_size = of * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")
-    pairs = a.join(b, "shingle").where("c_a <> c_b and cls_a < cls_b").where(near_size).groupBy(F.col("cls_a").alias("hub"), F.col("cls_b").alias("partner"), "n_a", "n_b")
-    across = pairs.agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-    across = _bounded(across, threshold).where((of + t) * (F.col("shared") + behind) >= t * (F.col("n_a") + F.col("n_b"))).select("hub", "partner")
-    across = cut(across.join(stars, ["hub", "partner"], "left_anti"))
-    if not across.isEmpty():
-        more = cut(_multiply(docs, reps, across, k, threshold))
-        if not more.isEmpty():
-            near = cut(components(links.union(more)))
-    member = near.withColumnRenamed("node", "a")
-    known = classes.join(member, "a", "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "a")).alias("component_id"))
-    known = found.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left")
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    of_repeated = known.join(repeated, "doc_id").join(classes, _DIGEST).select("doc_id", "a")
+    joined = cut(of_repeated.select(F.col("doc_id").alias("a"), F.col("a").alias("b")).where("a <> b").distinct())
+    links, near = _links(rows, lists, threshold)
+    if near is None or not joined.isEmpty():
+        near = cut(components(links.union(joined)))
+    of_class = classes.join(near.withColumnRenamed("node", "a"), "a", "left").select(*_DIGEST, F.coalesce("component", "a").alias("component_id"))
+    named = known.join(of_class, _DIGEST).select("doc_id", "n_shingles", "component_id")
+    empty = found.where("doc_id is null or n_shingles = 0").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.union(empty.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))

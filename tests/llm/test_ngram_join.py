@@ -55,3 +55,33 @@ def test_against_brute_force(spark):
 def test_edge_cases(spark):
     check(spark, [(1, None), (2, ""), (3, "  "), (4, "A b"), (5, "a B"), (6, "a b c"), (None, "a b"), (7, "x " * 900), (8, "X " * 20)])
     check(spark, [])
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    one, two = " ".join(f"p{i}" for i in range(6)), " ".join(f"q{i}" for i in range(6))
+    check(spark, [(1, f"{one} {a} {two}"), (2, f"{one} {b} {two}"), (3, a), (4, b)])
+
+
+def test_hub_with_many_partners_and_a_common_line(spark):
+    r = random.Random(5)
+    word = lambda: str(r.randint(0, 10**6))
+    base, line = [word() for _ in range(60)], " ".join(word() for _ in range(12))
+    rows = [(0, " ".join(base))]
+    for d in range(1, 700):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w[r.randrange(len(w))] = word()
+        rows.append((d, " ".join(w)))
+    rows += [(d, f"{line} {' '.join(word() for _ in range(r.randint(1, 6)))}") for d in range(700, 760)]
+    check(spark, rows)
+
+
+def test_repeated_ids(spark):
+    long, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    rows = [(5, long), (5, other), (5, other), (7, long), (9, other), (9, None), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_components(df).collect())
+    assert got == sorted([(5, 16, 5)] * 3 + [(7, 16, 5), (9, 16, 5), (9, 0, 5), (11, 0, 11)])
