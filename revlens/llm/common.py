@@ -8,11 +8,11 @@ texts are split and hashed as one byte array with numpy.
 from __future__ import annotations
 
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -40,6 +40,17 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that clash with nothing, and what gives them their names and order back."""
+    aside = {c: f"_other_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    columns = docs.columns
+    return docs.select(*[quoted(c).alias(aside.get(c, c)) for c in columns]), lambda df: df.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of this session small: a batch of texts is in memory several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -102,16 +113,20 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: in
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _SIZE)
 
 
-_SIZE, _FIRST = np.uint64(0x632BE59BD9B4E019), np.uint64(0xC2B2AE3D27D4EB4F)
+_SIZE, _FIRST, _STEP = (np.uint64(x) for x in (0x632BE59BD9B4E019, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15))
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def byte_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit names of spans of bytes: every eight bytes are mixed with their place, then all of them with the length."""
+def byte_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit names of spans of bytes: every eight bytes are mixed with their place, then all of them with the length.
+
+    Names of two salts are independent of each other.
+    """
     size = end - start
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    h = mix((lanes[start] & _MASKS[np.minimum(size, 8)]) ^ _FIRST)
+    first_salt, salts = (np.uint64(x % (1 << 64)) for x in (int(_FIRST) + salt * int(_STEP), salt * int(_FIRST)))
+    h = mix((lanes[start] & _MASKS[np.minimum(size, 8)]) ^ first_salt)
     long = np.flatnonzero(size > 8)
     if len(long):
         more = (size[long] - 1) >> 3  # lanes behind the first
@@ -119,7 +134,7 @@ def byte_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
         at = np.repeat(start[long], more) + 8 * place
         left = np.minimum(np.repeat(end[long], more) - at, 8)
-        h[long] += np.add.reduceat(mix((lanes[at] & _MASKS[left]) ^ mix(place.astype(np.uint64) * _SIZE)), first)
+        h[long] += np.add.reduceat(mix((lanes[at] & _MASKS[left]) ^ mix(place.astype(np.uint64) * _SIZE + salts)), first)
     return mix(h + size.astype(np.uint64) * _SIZE)
 
 
@@ -181,10 +196,10 @@ def split_words(texts: list[bytes], lower: bool = False, gap: np.ndarray = _SPAC
     return data, start, end, counts
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit name of every word, number of words of each text)."""
     data, start, end, counts = split_words(texts, lower)
-    return byte_names(data, start, end), counts
+    return byte_names(data, start, end, salt), counts
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

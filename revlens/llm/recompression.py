@@ -16,8 +16,9 @@ together.  Spark then
 
 1. shuffles the high-level symbols by name and keeps those that more than
    one document has;
-2. names the windows filed under shared symbols by a digest of their words
-   (with the symbol's name 128 bits), the exact check of a candidate;
+2. names the windows filed under shared symbols by a digest of their words,
+   made from other names of the words than the symbol's, so that the two have
+   128 independent bits: the check of a candidate;
 3. finds the smallest document of each window name, and marks every window
    that an earlier document has too.
 
@@ -41,12 +42,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_texts, encoded, mix, slices, small_batches, span_hashes, word_hashes
+from .common import cut, doc_texts, encoded, mix, range_names, run_names, set_aside, slices, small_batches, word_hashes
 
 WIDTH = 13
 ROUNDS = 2
+#: Parts of a group of equal texts.
+SALTS = 16
 _RUN, _PAIR, _SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
-_SECOND = 0x2545F4914F6CDD1D
 
 
 def _rounds(words: np.ndarray, counts: np.ndarray, rounds: int):
@@ -107,7 +109,7 @@ def filed_windows(words: np.ndarray, counts: np.ndarray, width: int = WIDTH, rou
         if not len(fits):
             continue
         lo, hi = lo[fits], hi[fits]
-        context = span_hashes(words, lo, hi)
+        context = range_names(words, lo, hi)
         key = mix(name[fits] ^ context)
         # ordered by name, so by content alone: the same choice in every equal window
         code = (key >> np.uint64(32) << np.uint64(32)) | np.arange(made, made + len(fits), dtype=np.uint64)
@@ -130,7 +132,7 @@ def filed_windows(words: np.ndarray, counts: np.ndarray, width: int = WIDTH, rou
     key = all_keys[number[start]]
     alone = number[start] == 0
     if alone.any():
-        key[alone] = span_hashes(words, start[alone], start[alone] + width)
+        key[alone] = run_names(words, width)[start[alone]]
     return key, start, size
 
 
@@ -182,7 +184,7 @@ def _windows(batches: Iterator[pd.DataFrame], width: int, rounds: int) -> Iterat
             key, start, size, text_of = key[wanted], start[wanted], size[wanted], text_of[wanted]
             total = int(size.sum())
             at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-            digest = span_hashes(words, at, at + width, _SECOND)
+            digest = run_names(word_hashes(texts[a:b], salt=1)[0], width)[at]
             text_at = np.repeat(text_of, size)
             key, at = np.repeat(key, size), (at - first[text_at - a]).astype(np.int32)
             # one row for all places of a window in its document
@@ -197,10 +199,15 @@ def _windows(batches: Iterator[pd.DataFrame], width: int, rounds: int) -> Iterat
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of every text that a document with a smaller id has as well."""
-    seen = docs.select("doc_id", F.sha2("text", 256).alias("sha")).where(F.col("doc_id").isNotNull())
-    first = seen.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    return seen.join(first, "sha").where(F.col("doc_id") > F.col("first_id")).select("doc_id").distinct()
+    """(doc_id) of every text that a document with a smaller id has as well.
+
+    Only digests that occur twice go on; their rows meet the first id in ``SALTS`` parts, so that no group of copies is one task's.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    seen = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("name"), F.sha2("text", 256).alias("sha"), salt.alias("salt"))
+    first = seen.groupBy("name", "sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    first = first.select("name", "sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return seen.join(first, ["name", "sha", "salt"]).where("doc_id > first_id").select("doc_id").distinct()
 
 
 def _cut(batches: Iterator[pd.DataFrame], width: int, keep_text: bool) -> Iterator[pd.DataFrame]:
@@ -237,7 +244,7 @@ def _marked(rows: DataFrame, width: int, rounds: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     symbols = docs.mapInPandas(lambda it: _symbols(it, width, rounds), _ANCHORS)
     by_key = Window.partitionBy("key").orderBy("doc_id")
-    shared = (
+    shared = cut(
         symbols.select("*", F.lag("doc_id").over(by_key).alias("before"), F.lead("doc_id").over(by_key).alias("after"))
         .where((F.col("before") != F.col("doc_id")) | (F.col("after") != F.col("doc_id")))
         .select("doc_id", "key")
@@ -247,7 +254,8 @@ def _marked(rows: DataFrame, width: int, rounds: int) -> DataFrame:
     windows = known.join(wanted, "doc_id").select("doc_id", "text", "keys").mapInPandas(lambda it: _windows(it, width, rounds), _WINDOWS)
     by_name = Window.partitionBy("key", "digest").orderBy("doc_id")
     repeats = windows.select("doc_id", "start", "more", F.first("doc_id").over(by_name).alias("first_id")).where("first_id < doc_id")
-    starts = repeats.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more"))
+    # written, so that the windows are off the disks when the texts move again
+    starts = cut(repeats.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("more")))
     marked = rows.where("doc_id is not null").join(starts, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     marked = marked.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     return marked.withColumn("copy", F.coalesce("copy", F.lit(False)))
@@ -266,7 +274,6 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS)
 def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with the repeated words removed from ``text`` (kept words joined by one space; texts without any are unchanged)."""
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
-    cut_rows = _marked(rows, width, rounds).select(*rows.columns, "starts", "more", "copy").mapInPandas(lambda it: _cut(it, width, True), rows.schema)
-    return cut_rows.select("doc_id", "text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)]).select(docs.columns)
+    safe, restored = set_aside(docs, "doc_id", "text")
+    rows = safe.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+    return restored(_marked(rows, width, rounds).select(*rows.columns, "starts", "more", "copy").mapInPandas(lambda it: _cut(it, width, True), rows.schema))
