@@ -272,7 +272,7 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_an
     (maximal removed runs), kept_sha256.
     """
     docs = doc_texts(docs)
-    known = docs.where("doc_id is not null")  # shuffled once for both joins
+    known = docs.where("doc_id is not null")
     anchors = docs.mapInPandas(lambda it: _anchors(it, width, gram), _KEYS)
     by_key = Window.partitionBy("key").orderBy("doc_id")
     shared = (
@@ -286,7 +286,8 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_an
     wanted = shared.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
     pieces = known.join(wanted, "doc_id").select("doc_id", "text", "keys", "hot").mapInPandas(lambda it: _pieces(it, width, gram), _PIECES)
     ordered = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    ranges = ordered.mapInPandas(lambda it: _resolve(it, width), _RANGES).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    # written, so that the pieces are off the disks when the texts move again
+    ranges = cut(ordered.mapInPandas(lambda it: _resolve(it, width), _RANGES).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
     marked = known.join(ranges, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     marked = marked.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     return marked.select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(lambda it: _cut(it, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
