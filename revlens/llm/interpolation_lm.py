@@ -12,8 +12,8 @@ Counts go through one exchange of n-gram names.  Documents are packed into
 shards; a shard sends each distinct n-gram once, with its training count, to
 the bucket of its name, a bucket adds up, and sends the totals back in the
 order asked for.  So a frequent n-gram costs one entry per shard, and the
-buckets' number follows the corpus.  The names have ``NAME_BITS`` bits within a
-bucket: one in some 100,000 n-grams may share its count with another.  The
+buckets' number follows the corpus.  Words go by 64-bit names; longer n-grams have ``NAME_BITS`` bits within their
+bucket, so one in some 15,000 of them may share its count with another, which moves a score a little, but no word's count.  The
 statistics for the weights are counts of (bucket, rounded estimates) cells,
 a table of bounded size made from all training tokens.
 
@@ -24,6 +24,7 @@ often as they occur.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,65 +32,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, mix, span_hashes, word_hashes
+from .common import cut, pressed, restored, run_names, sharded, small_batches, unpacked, word_hashes
 
 ORDER = 3
 HELD_FOLDS = 10
-SHARD_BYTES = 4 << 20
 #: Tokens of the corpus for each bucket of names.
 BUCKET_TOKENS = 1 << 19
-NAME_BITS = 40
+NAME_BITS = 34
 EM_ROUNDS = 60
 #: Frequency buckets, and steps of half a decade for an estimate (0: none).
 FREQUENCIES, BINS = 24, 24
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
-_SHARDS = "shard long, n_tokens long, ids array<long>, held array<boolean>, sizes array<int>, texts binary"
-_REQUESTS = "bucket long, shard long, names binary, counts binary"
-_REPLIES = "bucket long, shard long, totals binary, n_types long, n_train long"
-_COUNTED = "ids array<long>, held array<boolean>, lengths array<int>, n_known array<long>, base array<double>, counts binary, cells array<long>, cell_counts array<long>"
+_REQUESTS = "bucket long, shard long, n_words int, n_grams int, words binary, grams binary, counts binary"
+_REPLIES = "bucket long, shard long, n_words int, n_grams int, totals binary, n_types long, n_train long"
+_COUNTED = "ids array<long>, held array<boolean>, lengths array<int>, n_known array<long>, base array<double>, counts array<binary>, cells array<long>, cell_counts array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zstandard
-    from pyspark import TaskContext
+def _held(ids) -> np.ndarray:
+    """Whether a document is held out."""
+    return np.array([d is None or zlib.crc32(str(int(d)).encode()) % HELD_FOLDS == 0 for d in ids], bool)
 
-    task = TaskContext.get()
-    number = (task.partitionId() if task else 0) << 32
-    press = zstandard.ZstdCompressor(level=6)
-    ids, held, texts, size, tokens = [], [], [], 0, 0
 
-    def row():
-        return pd.DataFrame({"shard": [number], "n_tokens": [tokens], "ids": [ids], "held": [held], "sizes": [[len(t) for t in texts]], "texts": [press.compress(b"".join(texts))]})
-
-    for pdf in batches:
-        for d, h, t in zip(pdf["doc_id"], pdf["held"], encoded(pdf["text"]), strict=True):
-            ids.append(None if pd.isna(d) else int(d))
-            held.append(bool(h))
-            texts.append(t)
-            size += len(t)
-            tokens += t.count(b" ") + 2
-            if size >= SHARD_BYTES:
-                yield row()
-                ids, held, texts, size, tokens, number = [], [], [], 0, 0, number + 1
-    if texts:
-        yield row()
-
-
-def _texts(sizes, packed: bytes) -> list[bytes]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(packed)
-    stops = np.cumsum(sizes).tolist()
-    return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+def _optional(ids) -> list[int | None]:
+    return [None if pd.isna(d) else int(d) for d in ids]
 
 
-def token_names(texts: list[bytes], order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(for each order the name of the n-gram that ends at each token, tokens of each text).
-
-    A name's last bit tells single words from longer n-grams.
-    """
+def token_names(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each order the 64-bit name of the n-gram that ends at each token, tokens of each text)."""
     words, counts = word_hashes(texts, lower=True)
     pad = order - 1
     stops = np.cumsum(counts)
@@ -106,52 +77,56 @@ def token_names(texts: list[bytes], order: int, bits: int) -> tuple[list[np.ndar
     for k in range(pad):
         real[first + k] = False
     at = np.flatnonzero(real)
-    out = []
-    for k in range(order):
-        name = mix(padded[at]) if k == 0 else span_hashes(padded, at - k, at + 1, 0x9FB21C651E98DF25 + 2 * k)
-        name >>= np.uint64(64 - bits)
-        out.append((name | np.uint64(1)) - np.uint64(k > 0))
-    return out, lengths
+    return [padded[at], *(run_names(padded, k + 1)[at - k] for k in range(1, order))], lengths
 
 
-def _small(a: np.ndarray) -> bytes:
-    """The narrowest unsigned type that holds all values; told by the length."""
-    top = int(a.max(initial=0))
-    return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+def _asked(texts: list[bytes], order: int, log_buckets: int):
+    """(distinct words, distinct longer n-grams, for each order the place of each token's n-gram among its kind, tokens of each text)."""
+    names, lengths = token_names(texts, order)
+    words, which = np.unique(names[0], return_inverse=True)
+    if order == 1:
+        return words, np.zeros(0, np.uint64), [which], lengths
+    grams, others = np.unique(np.concatenate(names[1:]) >> np.uint64(64 - NAME_BITS - log_buckets), return_inverse=True)
+    return words, grams, [which, *others.reshape(order - 1, -1)], lengths
 
 
-def _wide(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+def _edges(names: np.ndarray, bits: int, log_buckets: int) -> np.ndarray:
+    """Where each bucket's names begin, and the end."""
+    return np.searchsorted(names >> np.uint64(bits), np.arange((1 << log_buckets) + 1, dtype=np.uint64))
 
 
 def _requests(batches: Iterator[pd.DataFrame], order: int, log_buckets: int) -> Iterator[pd.DataFrame]:
-    bits = NAME_BITS + log_buckets
     for pdf in batches:
-        for shard, held, sizes, packed in zip(pdf["shard"], pdf["held"], pdf["sizes"], pdf["texts"], strict=True):
-            names, lengths = token_names(_texts(sizes, packed), order, bits)
-            train = np.repeat(~np.asarray(held, bool), lengths)
-            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
-            counts = np.bincount(which[np.tile(train, order)], minlength=len(distinct))
-            bucket = (distinct >> np.uint64(NAME_BITS)).astype(np.int64)
-            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            low = distinct & np.uint64((1 << NAME_BITS) - 1)
-            rows = [(bucket[a], shard, _small(np.diff(low[a:b], prepend=np.uint64(0))), _small(counts[a:b]), b - a) for a, b in zip(edges, edges[1:], strict=False)]
-            out = pd.DataFrame(rows, columns=["bucket", "shard", "names", "counts", "n"])
-            yield out.assign(counts=[n.to_bytes(4, "little") + c for n, c in zip(out["n"].tolist(), out["counts"], strict=True)]).drop(columns="n")
+        for shard, ids, sizes, packed in zip(pdf["shard"], pdf["ids"], pdf["sizes"], pdf["texts"], strict=True):
+            words, grams, which, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
+            train = np.repeat(~_held(_optional(ids)), lengths)
+            n_words = np.bincount(which[0][train], minlength=len(words))
+            n_grams = sum((np.bincount(w[train], minlength=len(grams)) for w in which[1:]), np.zeros(len(grams), np.int64))
+            of_words, of_grams = _edges(words, 64 - log_buckets, log_buckets), _edges(grams, NAME_BITS, log_buckets)
+            low_words, low_grams = words & np.uint64((1 << (64 - log_buckets)) - 1), grams & np.uint64((1 << NAME_BITS) - 1)
+            rows = []
+            for k in range(1 << log_buckets):
+                (a, b), (c, d) = of_words[k : k + 2], of_grams[k : k + 2]
+                if b > a or d > c:
+                    gaps = (pressed(np.diff(x, prepend=np.uint64(0))) for x in (low_words[a:b], low_grams[c:d]))
+                    rows.append((k, shard, b - a, d - c, *gaps, pressed(np.concatenate((n_words[a:b], n_grams[c:d])))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REQUESTS.split(", ")])
 
 
 def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     """Add up the counts of a bucket and answer each shard."""
-    sizes = [int.from_bytes(c[:4], "little") for c in pdf["counts"]]
-    names = np.concatenate([np.cumsum(_wide(x, n)) for x, n in zip(pdf["names"], sizes, strict=True)])
-    counts = np.concatenate([_wide(c[4:], n) for c, n in zip(pdf["counts"], sizes, strict=True)])
-    distinct, which = np.unique(names, return_inverse=True)
-    sums = np.bincount(which, counts, len(distinct)).astype(np.int64)
-    word = (distinct & 1) == 1
-    answer, stops = sums[which], np.cumsum([0, *sizes])
-    out = pd.DataFrame({"bucket": pdf["bucket"], "shard": pdf["shard"], "totals": [_small(answer[a:b]) for a, b in zip(stops, stops[1:], strict=False)], "n_types": 0, "n_train": 0})
-    out.loc[0, "n_types"] = int((sums[word] > 0).sum())
-    out.loc[0, "n_train"] = int(sums[word].sum())
+    n_words, n_grams = pdf["n_words"].to_numpy(), pdf["n_grams"].to_numpy()
+    counts = [restored(c, n) for c, n in zip(pdf["counts"], n_words + n_grams, strict=True)]
+    answers = []
+    for column, sizes, parts in (("words", n_words, [c[:n] for c, n in zip(counts, n_words, strict=True)]), ("grams", n_grams, [c[n:] for c, n in zip(counts, n_words, strict=True)])):
+        names = np.concatenate([np.cumsum(restored(x, n)) for x, n in zip(pdf[column], sizes, strict=True)])
+        distinct, which = np.unique(names, return_inverse=True)
+        sums = np.bincount(which, np.concatenate(parts), len(distinct)).astype(np.int64)
+        answers.append(np.split(sums[which], np.cumsum(sizes)[:-1]))
+        if column == "words":
+            types, train = int((sums > 0).sum()), int(sums.sum())
+    out = pdf[["bucket", "shard", "n_words", "n_grams"]].assign(totals=[pressed(np.concatenate(x)) for x in zip(*answers, strict=True)], n_types=0, n_train=0)
+    out.iloc[0, out.columns.get_indexer(["n_types", "n_train"])] = (types, train)
     return out
 
 
@@ -181,30 +156,26 @@ def _buckets(contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(shards: pd.DataFrame, replies: pd.DataFrame, order: int, log_buckets: int, n_types: int, n_train: int, n_texts: int) -> pd.DataFrame:
-    import zstandard
-
     out = []
-    for ids, held, sizes, packed in zip(shards["ids"], shards["held"], shards["sizes"], shards["texts"], strict=True):
-        texts = _texts(sizes, packed)
-        names, lengths = token_names(texts, order, NAME_BITS + log_buckets)
-        distinct, which = np.unique(np.concatenate(names), return_inverse=True)
-        bucket = (distinct >> np.uint64(NAME_BITS)).astype(np.int64)
-        numbers, sent = np.unique(bucket, return_counts=True)
+    for ids, sizes, packed in zip(shards["ids"], shards["sizes"], shards["texts"], strict=True):
+        ids = _optional(ids)
+        held = _held(ids)
+        words, grams, which, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
         told = replies.sort_values("bucket")
-        if not np.array_equal(told["bucket"].to_numpy(), numbers):
+        if told["n_words"].sum() != len(words) or told["n_grams"].sum() != len(grams):
             raise ValueError("a bucket's answer is missing")
-        totals = np.concatenate([_wide(b, n) for b, n in zip(told["totals"], sent, strict=True)])
-        n = len(names[0])
-        which = which.reshape(order, n)
-        counts = [totals[w] for w in which]
+        totals = [restored(t, a + b).astype(np.int64) for t, a, b in zip(told["totals"], told["n_words"], told["n_grams"], strict=True)]
+        of_words = np.concatenate([t[:n] for t, n in zip(totals, told["n_words"], strict=True)])
+        of_grams = np.concatenate([t[n:] for t, n in zip(totals, told["n_words"], strict=True)])
+        counts = [of_words[which[0]], *(of_grams[w] for w in which[1:])]
         doc = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(doc, np.log10((counts[0] + 0.1) / (n_train + 0.1 * (n_types + 1))), len(lengths))
         known = np.bincount(doc, counts[0] > 0, len(lengths)).astype(np.int64)
         # what is left of the counts without the token's own document
-        train = np.repeat(~np.asarray(held, bool), lengths)
+        train = np.repeat(~held, lengths)
         left = []
         for c, w in zip(counts, which, strict=True):
-            _, pair, times = np.unique(doc * len(distinct) + w, return_inverse=True, return_counts=True)
+            _, pair, times = np.unique(doc * (int(w.max(initial=0)) + 1) + w, return_inverse=True, return_counts=True)
             left.append(c - np.where(train, times[pair], 0))
         estimates, contexts = _estimates(left, lengths, n_texts - 1, n_train - np.repeat(lengths, lengths))
         longest, frequency = _buckets(contexts)
@@ -213,8 +184,7 @@ def _counted(shards: pd.DataFrame, replies: pd.DataFrame, order: int, log_bucket
             step = np.where(p > 0, 1 + np.round(-2 * np.log10(np.maximum(p, 1e-300))), 0).astype(np.int64)
             cell = cell * BINS + np.minimum(step, BINS - 1)
         cells, times = np.unique(cell[train], return_counts=True)
-        pressed = zstandard.ZstdCompressor(level=6).compress(b"".join(c.astype("<u4" if n_train < 1 << 32 else "<u8").reshape(-1, 1).view("u1").T.tobytes() for c in counts))
-        out.append((ids, held, lengths.tolist(), known, base, pressed, cells, times))
+        out.append((ids, held.tolist(), lengths.tolist(), known, base, [pressed(c) for c in counts], cells, times))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTED.split(", ")])
 
 
@@ -244,15 +214,10 @@ def learn_weights(cells: np.ndarray, times: np.ndarray, order: int, n_types: int
 
 
 def _scores(batches: Iterator[pd.DataFrame], weights: np.ndarray, order: int, n_types: int, n_train: int, n_texts: int) -> Iterator[pd.DataFrame]:
-    import zstandard
-
-    width = 4 if n_train < 1 << 32 else 8
     for pdf in batches:
-        for ids, held, lengths, known, base, pressed in zip(pdf["ids"], pdf["held"], pdf["lengths"], pdf["n_known"], pdf["base"], pdf["counts"], strict=True):
+        for ids, held, lengths, known, base, packed in zip(pdf["ids"], pdf["held"], pdf["lengths"], pdf["n_known"], pdf["base"], pdf["counts"], strict=True):
             lengths = np.asarray(lengths, np.int64)
-            n = int(lengths.sum())
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(pressed), "u1").reshape(order, width, n)
-            counts = [np.ascontiguousarray(c.T).view(f"<u{width}").ravel().astype(np.int64) for c in raw]
+            counts = [restored(c, int(lengths.sum())).astype(np.int64) for c in packed]
             estimates, contexts = _estimates(counts, lengths, n_texts, n_train)
             longest, frequency = _buckets(contexts)
             w = weights[longest, frequency]
@@ -265,10 +230,11 @@ def _scores(batches: Iterator[pd.DataFrame], weights: np.ndarray, order: int, n_
 
 def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % HELD_FOLDS == 0, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
-    shards = cut(rows.mapInPandas(_shards, _SHARDS))
-    about = shards.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.expr("size(filter(held, h -> not h))")), F.lit(0)).alias("texts")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    shards = cut(sharded(rows))
+    learned = F.expr(f"size(filter(ids, d -> coalesce(crc32(cast(d as string)) % {HELD_FOLDS} <> 0, false)))")
+    about = shards.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(learned), F.lit(0)).alias("texts")).first()
     log_buckets = min(24, max(4, int(np.ceil(np.log2(max(1, about["n"] / BUCKET_TOKENS))))))
     requests = shards.mapInPandas(lambda it: _requests(it, order, log_buckets), _REQUESTS)
     replies = cut(requests.groupBy("bucket").applyInPandas(_total, _REPLIES))
