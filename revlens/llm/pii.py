@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, set_aside
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("rule", "edge", "gazetteer", "context", "digits")
@@ -197,6 +197,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     Only texts that have a candidate are shuffled, to meet their spans.
     """
+    docs, restored = set_aside(docs, "doc_id", "text")
     rows, found = candidates(docs)
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -211,4 +212,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     piece = lambda r, i: F.concat(F.substr("text", (stop(i) + 1).cast("int"), (r["start"] - stop(i)).cast("int")), F.lit("["), kind(r), F.lit("]"))
     rest = F.expr("substr(text, int(element_at(_runs, -1).end + 1))")
     masked = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_runs", piece), ""), rest))
-    return docs.where(~possible).unionByName(some.withColumn("text", masked).select(docs.columns))
+    return restored(docs.where(~possible).unionByName(some.withColumn("text", masked).select(docs.columns)))

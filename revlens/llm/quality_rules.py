@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, encoded, slices, small_batches, span_hashes, split_words, window_hashes
+from .common import _LOWER, byte_names, encoded, slices, small_batches, split_words, window_hashes
 
 MIN_WORDS = 50
 #: Base rule: at most this share (in hundredths) of words in repeated three-word windows.
@@ -100,7 +100,7 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     m = len(texts)
     owner = np.repeat(np.arange(m), counts)
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
-    words = span_hashes(_BYTE[data], start, end)
+    words = byte_names(data, start, end)
     names, at = window_hashes(words, counts, 3)
     order = np.lexsort((names, owner[at]))
     same = (names[order][1:] == names[order][:-1]) & (owner[at[order]][1:] == owner[at[order]][:-1])
