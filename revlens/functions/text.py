@@ -72,3 +72,73 @@ def pack_signature(a: Column, b: Column, c: Column) -> Column:
 
 def unpack_signature(sig: Column, i: int) -> Column:
     return F.shiftrightunsigned(sig, 10 * i).bitwiseAND(F.lit(1023).cast("long"))
+
+
+def author_hash(author: Column, word: Column) -> Column:
+    """An author's number in the signature of a word: 1 to 1023; 0 stands for nobody."""
+    return (F.pmod(F.xxhash64(author, word), F.lit(1023)) + 1).cast("long")
+
+
+def in_signature(sig: Column, author: Column, word: Column) -> Column:
+    """Whether an author stands in a word's signature; anonymous authors (0) count as present."""
+    h = author_hash(author, word)
+    held = unpack_signature(sig, 0) == h
+    for i in (1, 2):
+        held = held | (unpack_signature(sig, i) == h)
+    return (author == 0) | held
+
+
+def add_to_signature(sig: Column, author: Column, word: Column) -> Column:
+    """The signature with the author in front, if not there yet; the oldest of three leaves."""
+    return F.when(in_signature(sig, author, word), sig).otherwise(pack_signature(author_hash(author, word), unpack_signature(sig, 0), unpack_signature(sig, 1)))
+
+
+def stripped_end(text: Column) -> Column:
+    return F.regexp_replace(text, "[ \t\n]+$", "")
+
+
+def normal_space(text: Column) -> Column:
+    """Every run of the sequence space, newline, tab becomes one space; one space at each end goes."""
+    return F.regexp_replace(F.regexp_replace(text, "(?: \n\t)+", " "), "^ | (?![\\s\\S])", "")
+
+
+def subfield(info: Column, name: str) -> Column:
+    """The value of a field ``name value)`` in a parenthesized list, up to the next closing parenthesis."""
+    return F.regexp_extract(info, rf"(?s){name}.([^)]*)\)", 1)
+
+
+def compact_time(api_time: Column) -> Column:
+    """``2008-10-30T12:34:56Z`` as ``20081030123456``."""
+    return F.regexp_replace(api_time, r"^(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)Z$", "$1$2$3$4$5$6")
+
+
+def epoch_of(compact: Column) -> Column:
+    """Seconds of a compact time; years before 1970 and what is no time are 0."""
+    return F.greatest(F.coalesce(F.unix_timestamp(F.try_to_timestamp(compact, F.lit("yyyyMMddHHmmss"))), F.lit(0)), F.lit(0))
+
+
+def without_broken_escapes(json: Column) -> Column:
+    r"""JSON text whose ``\u`` surrogates that have no partner are U+FFFD escapes."""
+    pair, alone = r"(\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})", r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
+    # pairs are kept by the first group, the rest goes
+    parted = F.regexp_replace(json, f"{pair}|{alone}", "$1\\\\uFFFD")
+    return F.regexp_replace(parted, f"{pair}\\\\uFFFD", "$1")
+
+
+def xml_escape(text: Column) -> Column:
+    """Characters to entities, the ampersand first."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def is_robot(listed: Column, name: Column) -> Column:
+    """Listed as a robot, or named so."""
+    return F.coalesce(listed, F.lit(False)) | F.coalesce(F.lower(name).endswith("bot"), F.lit(False))
+
+
+def read_share(base: Column, seconds: Column, scale: float, robot: Column, on_line: bool = True) -> Column:
+    """How much of its page an author is taken to have read, who came ``seconds`` after the last one; robots read nothing."""
+    f = 1 - F.exp(-seconds / scale)
+    read = 1 - F.pow(1 - base, f) if on_line else base * f
+    return F.when(robot, 0.0).otherwise(read)

@@ -20,25 +20,13 @@ from ..operators import stats as S
 from ..sources import dumps as D
 from ..sources import lines as L
 from ..streaming import feed as E
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
+from .registry import table as _table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
 ORDER = ["ts", "event_id"]
 
 
-def _query(sql: str):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        _ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @_query("""
 SELECT event_type, bin, count(*) AS n FROM (
   SELECT event_type, user_id, p, CASE WHEN d IS NULL THEN 11 ELSE least(11, trunc(d / 300.0))::INT END AS bin FROM (
@@ -459,8 +447,11 @@ def nixed_ratio(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from . import edit_queries, fold_queries, model_queries  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    queries()
+    return dict(ORACLES)
