@@ -86,7 +86,7 @@ def best_intermediary(spark, sf_dir):
 SELECT doc_id, count(*) AS n_pairs, max(n) AS most_places, sum(first_at)::BIGINT AS first_places FROM (
   SELECT doc_id, a, b, count(*) AS n, min(place) AS first_at FROM (
     SELECT doc_id, w[place + 1] AS a, w[place + 2] AS b, place FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS place FROM (
-      SELECT doc_id, list_filter(string_split_regex(text, '[,;.: \\n\\t]+'), x -> x <> '') AS w FROM documents))) GROUP BY ALL) GROUP BY doc_id""")
+      SELECT doc_id, list_filter(string_split_regex(text, '[,;.: \\n\\t]+'), lambda x: x <> '') AS w FROM documents))) GROUP BY ALL) GROUP BY doc_id""")
 def bigram_index(spark, sf_dir):
     words = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("key"), T.plain_words(F.col("text")).alias("words"))
     found = X.adjacent_words(words)
