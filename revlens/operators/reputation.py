@@ -49,3 +49,19 @@ def nixed_ratio(rows: DataFrame, key: str, nixes: Column) -> DataFrame:
     """How many revisions some judgement nixes; each revision counts once."""
     each = rows.groupBy(key).agg(F.bool_or(nixes).alias("_nixed"))
     return each.agg(F.count("*").alias("n_revisions"), F.count_if("_nixed").alias("n_nixed")).withColumn("ratio", F.try_divide("n_nixed", "n_revisions"))
+
+
+def weight_of(reputation: Column, on_line: bool = True) -> Column:
+    """What an author's reputation weighs: unknown ones as if it were 0 (on line) or 0.1."""
+    if on_line:
+        return F.ln(1.2 + F.greatest(F.coalesce(reputation, F.lit(0.0)), F.lit(0.0)))
+    return F.ln(1 + F.greatest(F.coalesce(reputation, F.lit(0.1)), F.lit(0.0)))
+
+
+def remembered(revs: DataFrame, order: list[str], n_trusted: int = 2, n_reputed: int = 2, least: float = 4.0) -> DataFrame:
+    """(page, revision, kind): each page's revisions of highest trust, the later of equals, and the last ones of as many authors of high reputation."""
+    back = [F.desc(c) for c in order]
+    trusted = revs.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("trust"), *back))).where(F.col("_n") <= n_trusted)
+    own_last = revs.where(F.col("reputation") > least).withColumn("_own", F.row_number().over(Window.partitionBy("page", "author").orderBy(*back))).where("_own = 1")
+    reputed = own_last.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy(*back))).where(F.col("_n") <= n_reputed)
+    return trusted.select("page", "revision", F.lit("trust").alias("kind")).union(reputed.select("page", "revision", F.lit("reputation")))

@@ -45,3 +45,24 @@ def information(matrix: DataFrame, low_bin: int, bad_col: int) -> DataFrame:
 
 def judgements(rows: DataFrame, key: str, q: Column, weight: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n_judges"), F.sum(weight).alias("judge_weight"), F.sum(q * weight).alias("total_quality"), F.min(q).alias("min_quality"))
+
+
+def quality_events(edits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kind, time, rep, weight, quality) for the statistics: an edit weighs its change times its judges, a text its new words.
+
+    ``edits`` has time, author, rep, delta, n_judges and avg_quality, ``texts`` time,
+    author, rep, new_text and decay.  What changes or adds nothing and anonymous authors (0) are left out; qualities end at -1 and 1.
+    """
+    bounded = lambda q: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(q).cast("double")))
+    of_edits = edits.where("author <> 0 and delta > 0").select(F.lit("edit").alias("kind"), "time", "rep", (F.col("delta") * F.col("n_judges")).cast("double").alias("weight"), bounded("avg_quality").alias("quality"))
+    of_texts = texts.where("author <> 0 and new_text > 0").select(F.lit("text").alias("kind"), "time", "rep", F.col("new_text").cast("double").alias("weight"), bounded("decay").alias("quality"))
+    return of_edits.union(of_texts)
+
+
+def by_month(events: DataFrame, total: bool = False) -> DataFrame:
+    """(kind, month, n, weight, quality): weighted quality by month, or up to each month."""
+    months = events.groupBy("kind", F.date_trunc("month", "time").alias("month")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("quality")).alias("product"))
+    if total:
+        w = Window.partitionBy("kind").orderBy("month")
+        months = months.select("kind", "month", *[F.sum(c).over(w).alias(c) for c in ("n", "weight", "product")])
+    return months.select("kind", "month", "n", "weight", F.try_divide("product", "weight").alias("quality"))

@@ -126,7 +126,8 @@ def words_by_author(told: DataFrame) -> DataFrame:
 def contribution(told: DataFrame, order: list[str], end) -> DataFrame:
     """Days for which each author's words were on display, summed over words; the last revision stays until ``end``."""
     until = F.coalesce(F.lead("ts").over(Window.partitionBy("page").orderBy(*order)), end)
-    shown = told.select(F.explode("writer").alias("author"), ((F.unix_timestamp(until) - F.unix_timestamp("ts")) / 86400).alias("days"))
+    days = told.withColumn("days", (F.unix_timestamp(until) - F.unix_timestamp("ts")) / 86400)
+    shown = days.select(F.explode("writer").alias("author"), "days")
     return shown.groupBy("author").agg(F.sum("days").alias("word_days"))
 
 

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..operators import diff, judgement, tracking
+from ..operators import reputation as R
+from ..operators import stats as S
+from ..sources import api
+from ..streaming import pages as P
 from .registry import query, table
 
 HORIZON = 3
@@ -113,3 +118,107 @@ def reputation_fold(spark, sf_dir):
     number = F.unix_timestamp("ts") * 10**9 + F.col("page") % 10**6 * 1000 + F.col("revision1") % 1000 * 30 + F.col("n12") * 5 + F.col("n01")
     history, _ = judgement.reputations(judged.withColumn("number", number), "number")
     return history.select("author", "n", "rep")
+
+
+# --- markup --------------------------------------------------------------------
+
+
+@query(None)
+def markup_words(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    return pages.select("page_id", F.size("pieces").alias("n_pieces"), F.size(markup.words_only(F.col("pieces"))).alias("n_words"), F.md5(F.array_join(markup.words_only(F.col("pieces")), "\x01")).alias("digest"))
+
+
+@query("""
+SELECT doc_id, len(w) AS n_words, md5(array_to_string(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), ' ')) AS digest FROM (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z0-9,;.: ]', 'x', 'g'), '[,;.: ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND length(text) < 1000000)""")
+def plain_markup_words(spark, sf_dir):
+    # without markup the words are those of a plain split
+    docs = table(spark, sf_dir, "documents").where("text is not null and length(text) < 1000000")
+    words = markup.words_only(markup.wiki_words(F.regexp_replace("text", "[^A-Za-z0-9,;.: ]", "x"), disarm=False))
+    visible = docs.select("doc_id", F.filter(words, lambda w: w != "").alias("w"))
+    return visible.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(None)
+def markup_sections(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    return markup.sections(pages, "page_id").groupBy("page_id", "section").agg(F.count("*").alias("n_words"))
+
+
+@query(None)
+def marked_markup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    return pages.select("page_id", F.md5(markup.marked_text(F.col("pieces"))).alias("digest"))
+
+
+# --- feeds and statistics --------------------------------------------------------
+
+
+@query("""
+SELECT page, event, place, lag(event) OVER w AS previous, kind FROM (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY ts, kind, event) AS place FROM (
+    SELECT event_type AS page, event_id AS event, ts, (event_id % 2)::INT AS kind FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)))
+WINDOW w AS (PARTITION BY page ORDER BY place)""")
+def online_page_feed(spark, sf_dir):
+    """The feed as a stream over files of the table, until the watermark at its end; what it wrote."""
+    import uuid
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, P.ROCKSDB)
+    try:
+        whole = table(spark, sf_dir, "events")
+        whole.write.parquet(f"{folder}/in")
+        rows = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
+        feed = rows.select(F.col("event_type").alias("page"), F.col("event_id").alias("event"), "ts", (F.col("event_id") % 2).alias("kind"), F.col("user_id").alias("author"))
+        out = P.page_feed(feed).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{folder}/out").select("page", "event", "place", "previous", "kind")
+
+
+@query("""
+SELECT page, revision, kind FROM (
+  SELECT page, revision, 'trust' AS kind FROM (SELECT l_orderkey AS page, l_linenumber AS revision, l_discount AS trust FROM lineitem) QUALIFY row_number() OVER (PARTITION BY page ORDER BY trust DESC, revision DESC) <= 2
+  UNION ALL SELECT page, revision, 'reputation' FROM (
+    SELECT l_orderkey AS page, l_linenumber AS revision, l_suppkey AS author FROM lineitem WHERE l_quantity > 20 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY page ORDER BY revision DESC) <= 2)""")
+def remembered_revisions(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("revision"), F.col("l_suppkey").alias("author"), F.col("l_discount").alias("trust"), F.col("l_quantity").alias("reputation"))
+    return R.remembered(lines, ["revision"], least=20.0)
+
+
+@query("""
+WITH e AS (
+  SELECT 'edit' AS kind, l_shipdate AS time, l_extendedprice * l_linenumber AS weight, greatest(-1, least(1, 1 - 30 * l_discount)) AS quality FROM lineitem WHERE l_suppkey % 9 > 0
+  UNION ALL SELECT 'text', l_shipdate, l_quantity, greatest(-1, least(1, l_tax * 20)) FROM lineitem WHERE l_suppkey % 9 > 0),
+m AS (SELECT kind, date_trunc('month', time)::TIMESTAMP AS month, count(*) AS n, sum(weight) AS w, sum(weight * quality) AS p FROM e GROUP BY ALL)
+SELECT kind, month, sum(n) OVER o::BIGINT AS n, round(sum(w) OVER o, 2) AS weight, round(sum(p) OVER o / sum(w) OVER o, 8) AS quality FROM m WINDOW o AS (PARTITION BY kind ORDER BY month)""")
+def quality_by_month(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("author", F.col("l_suppkey") % 9).withColumn("time", F.col("l_shipdate")).withColumn("rep", F.col("l_quantity"))
+    edits = lines.select("time", "author", "rep", F.col("l_extendedprice").alias("delta"), F.col("l_linenumber").alias("n_judges"), (1 - 30 * F.col("l_discount")).alias("avg_quality"))
+    texts = lines.select("time", "author", "rep", F.col("l_quantity").alias("new_text"), (F.col("l_tax") * 20).alias("decay"))
+    months = S.by_month(S.quality_events(edits, texts), total=True)
+    return months.select("kind", F.col("month").cast("timestamp_ntz").alias("month"), "n", F.round("weight", 2).alias("weight"), F.round("quality", 8).alias("quality"))
+
+
+@query("SELECT c_custkey, round(ln(1.2 + greatest(c_acctbal, 0)), 8) AS on_line, round(ln(1 + CASE WHEN c_custkey % 3 = 0 THEN 0.1 ELSE greatest(c_acctbal, 0) END), 8) AS batch FROM customer")
+def reputation_weights(spark, sf_dir):
+    rep = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(R.weight_of(rep), 8).alias("on_line"), F.round(R.weight_of(F.when(F.col("c_custkey") % 3 != 0, rep), False), 8).alias("batch"))
+
+
+@query("""
+SELECT conv_id AS page_id, 't' || conv_id AS title, conv_id * 1000 + turn AS rev_id, role AS username, role = 'user' AS is_anonymous, md5(text) AS digest, (conv_id * 1000 + turn + 1)::BIGINT AS continue_at
+FROM conversations WHERE conv_id % 5 > 0 AND text IS NOT NULL""")
+def api_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    anon = F.when(F.col("role") == "user", "")
+    revision = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("revid"), F.lit("2020-01-01T00:00:00Z").alias("timestamp"), F.col("role").alias("user"), anon.alias("anon"), F.col("text").alias("*"))
+    page = F.struct(F.col("conv_id").alias("pageid"), F.when(F.col("conv_id") % 5 == 0, 1).otherwise(0).alias("ns"), F.concat(F.lit("t"), "conv_id").alias("title"), F.array(revision).alias("revisions"))
+    answer = F.struct(F.struct(F.create_map(F.col("conv_id").cast("string"), page).alias("pages")).alias("query"), F.struct(F.struct((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("rvstartid")).alias("revisions")).alias("query-continue"))
+    told = api.revisions_of_answers(c.select(F.to_json(answer).alias("json")), "json")
+    return told.select("page_id", "title", "rev_id", "username", "is_anonymous", F.md5("text").alias("digest"), "continue_at")
