@@ -8,12 +8,14 @@ longest context that the training texts have and on how often they have it
 maximisation on held-out counts: each training document is deleted in turn,
 so its tokens are predicted from the counts of all others.
 
-Counts go through one exchange of n-gram names.  Documents are packed into
+Counts go through exchanges of n-gram names.  Documents are packed into
 shards; a shard sends each distinct n-gram once, with its training count, to
 the bucket of its name, a bucket adds up, and sends the totals back in the
 order asked for.  So a frequent n-gram costs one entry per shard, and the
-buckets' number follows the corpus.  Words go by 64-bit names; longer n-grams have ``NAME_BITS`` bits within their
-bucket, so one in some 15,000 of them may share its count with another, which moves a score a little, but no word's count.  The
+buckets' number follows the corpus.  Words and pairs go first.  An n-gram of three words
+can occur in another shard only if both its pairs do, so only those are asked
+for; for all others the shard's own count is the total.  Words go by 64-bit names; longer n-grams have ``NAME_BITS`` bits within their
+bucket, so one in some 30,000 of them may share its count with another, which moves a score a little, but no word's count.  The
 statistics for the weights are counts of (bucket, rounded estimates) cells,
 a table of bounded size made from all training tokens.
 
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pressed, restored, run_names, sharded, small_batches, unpacked, word_hashes
+from .common import cut, free, pressed, restored, run_names, sharded, small_batches, unpacked, word_hashes
 
 ORDER = 3
 HELD_FOLDS = 10
@@ -46,6 +48,7 @@ _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 _REQUESTS = "bucket long, shard long, n_words int, n_grams int, words binary, grams binary, counts binary"
 _REPLIES = "bucket long, shard long, n_words int, n_grams int, totals binary, n_types long, n_train long"
+_TOLD = "shard long, totals array<binary>, asked array<struct<bucket:long,n_grams:int,grams:binary,counts:binary>>"
 _COUNTED = "ids array<long>, held array<boolean>, lengths array<int>, n_known array<long>, base array<double>, counts array<binary>, cells array<long>, cell_counts array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -80,14 +83,19 @@ def token_names(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.nd
     return [padded[at], *(run_names(padded, k + 1)[at - k] for k in range(1, order))], lengths
 
 
+def _short(names: np.ndarray, log_buckets: int) -> np.ndarray:
+    return names >> np.uint64(64 - NAME_BITS - log_buckets)
+
+
 def _asked(texts: list[bytes], order: int, log_buckets: int):
-    """(distinct words, distinct longer n-grams, for each order the place of each token's n-gram among its kind, tokens of each text)."""
+    """(distinct words, distinct pairs, for each of the two orders the place of each token's n-gram, names of three words, tokens of each text)."""
     names, lengths = token_names(texts, order)
     words, which = np.unique(names[0], return_inverse=True)
-    if order == 1:
-        return words, np.zeros(0, np.uint64), [which], lengths
-    grams, others = np.unique(np.concatenate(names[1:]) >> np.uint64(64 - NAME_BITS - log_buckets), return_inverse=True)
-    return words, grams, [which, *others.reshape(order - 1, -1)], lengths
+    pairs, at = np.zeros(0, np.uint64), []
+    if order > 1:
+        pairs, of_pairs = np.unique(_short(names[1], log_buckets), return_inverse=True)
+        at = [of_pairs]
+    return words, pairs, [which, *at], _short(names[2], log_buckets) if order > 2 else None, lengths
 
 
 def _edges(names: np.ndarray, bits: int, log_buckets: int) -> np.ndarray:
@@ -95,21 +103,24 @@ def _edges(names: np.ndarray, bits: int, log_buckets: int) -> np.ndarray:
     return np.searchsorted(names >> np.uint64(bits), np.arange((1 << log_buckets) + 1, dtype=np.uint64))
 
 
+def _gaps(names: np.ndarray, bits: int) -> bytes:
+    return pressed(np.diff(names & np.uint64((1 << bits) - 1), prepend=np.uint64(0)))
+
+
 def _requests(batches: Iterator[pd.DataFrame], order: int, log_buckets: int) -> Iterator[pd.DataFrame]:
+    word_bits = 64 - log_buckets
     for pdf in batches:
         for shard, ids, sizes, packed in zip(pdf["shard"], pdf["ids"], pdf["sizes"], pdf["texts"], strict=True):
-            words, grams, which, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
+            words, pairs, which, _, lengths = _asked(unpacked(sizes, packed), min(order, 2), log_buckets)
             train = np.repeat(~_held(_optional(ids)), lengths)
             n_words = np.bincount(which[0][train], minlength=len(words))
-            n_grams = sum((np.bincount(w[train], minlength=len(grams)) for w in which[1:]), np.zeros(len(grams), np.int64))
-            of_words, of_grams = _edges(words, 64 - log_buckets, log_buckets), _edges(grams, NAME_BITS, log_buckets)
-            low_words, low_grams = words & np.uint64((1 << (64 - log_buckets)) - 1), grams & np.uint64((1 << NAME_BITS) - 1)
+            n_pairs = np.bincount(which[1][train], minlength=len(pairs)) if order > 1 else np.zeros(0, np.int64)
+            of_words, of_pairs = _edges(words, word_bits, log_buckets), _edges(pairs, NAME_BITS, log_buckets)
             rows = []
             for k in range(1 << log_buckets):
-                (a, b), (c, d) = of_words[k : k + 2], of_grams[k : k + 2]
+                (a, b), (c, d) = of_words[k : k + 2], of_pairs[k : k + 2]
                 if b > a or d > c:
-                    gaps = (pressed(np.diff(x, prepend=np.uint64(0))) for x in (low_words[a:b], low_grams[c:d]))
-                    rows.append((k, shard, b - a, d - c, *gaps, pressed(np.concatenate((n_words[a:b], n_grams[c:d])))))
+                    rows.append((k, shard, b - a, d - c, _gaps(words[a:b], word_bits), _gaps(pairs[c:d], NAME_BITS), pressed(np.concatenate((n_words[a:b], n_pairs[c:d])))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REQUESTS.split(", ")])
 
 
@@ -119,10 +130,11 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = [restored(c, n) for c, n in zip(pdf["counts"], n_words + n_grams, strict=True)]
     answers = []
     for column, sizes, parts in (("words", n_words, [c[:n] for c, n in zip(counts, n_words, strict=True)]), ("grams", n_grams, [c[n:] for c, n in zip(counts, n_words, strict=True)])):
-        names = np.concatenate([np.cumsum(restored(x, n)) for x, n in zip(pdf[column], sizes, strict=True)])
+        names = np.concatenate([np.cumsum(restored(x, n)) if n else np.zeros(0, np.uint64) for x, n in zip(pdf[column], sizes, strict=True)])
         distinct, which = np.unique(names, return_inverse=True)
         sums = np.bincount(which, np.concatenate(parts), len(distinct)).astype(np.int64)
-        answers.append(np.split(sums[which], np.cumsum(sizes)[:-1]))
+        # the lowest bit: whether another shard has the name too
+        answers.append(np.split((2 * sums + (np.bincount(which, minlength=len(distinct)) > 1))[which], np.cumsum(sizes)[:-1]))
         if column == "words":
             types, train = int((sums > 0).sum()), int(sums.sum())
     out = pdf[["bucket", "shard", "n_words", "n_grams"]].assign(totals=[pressed(np.concatenate(x)) for x in zip(*answers, strict=True)], n_types=0, n_train=0)
@@ -155,24 +167,62 @@ def _buckets(contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return longest, np.minimum(bucket, FREQUENCIES - 1)
 
 
-def _counted(shards: pd.DataFrame, replies: pd.DataFrame, order: int, log_buckets: int, n_types: int, n_train: int, n_texts: int) -> pd.DataFrame:
+def _replied(replies: pd.DataFrame, n_words: int, n_grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals of the words and of the longer n-grams that a shard asked for, and which of the latter other shards have too."""
+    told = replies.astype({"n_words": "int64", "n_grams": "int64"}).sort_values("bucket")
+    if told["n_words"].sum() != n_words or told["n_grams"].sum() != n_grams:
+        raise ValueError("a bucket's answer is missing")
+    totals = [restored(t, a + b).astype(np.int64) for t, a, b in zip(told["totals"], told["n_words"], told["n_grams"], strict=True)]
+    none = [np.zeros(0, np.int64)]
+    of_words, of_grams = (np.concatenate(none + [t[a:b] for t, a, b in parts]) for parts in ([(t, 0, n) for t, n in zip(totals, told["n_words"], strict=True)], [(t, n, None) for t, n in zip(totals, told["n_words"], strict=True)]))
+    return of_words >> 1, of_grams >> 1, (of_grams & 1).astype(bool)
+
+
+def _told(shards: pd.DataFrame, replies: pd.DataFrame, order: int, log_buckets: int) -> pd.DataFrame:
+    """The totals of each token's word and pair, and the n-grams of three words that other shards may have too."""
+    out = []
+    for shard, ids, sizes, packed in zip(shards["shard"], shards["ids"], shards["sizes"], shards["texts"], strict=True):
+        words, pairs, which, threes, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
+        of_words, of_pairs, shared = _replied(replies, len(words), len(pairs))
+        totals, asked = [pressed(of_words[which[0]])], []
+        if order > 1:
+            totals.append(pressed(of_pairs[which[1]]))
+        if order > 2:
+            train = np.repeat(~_held(_optional(ids)), lengths)
+            elsewhere = shared[which[1]]
+            ask = elsewhere & _before(elsewhere, lengths, True)
+            totals.append(np.packbits(ask).tobytes())
+            distinct, at = np.unique(threes[ask], return_inverse=True)
+            counts = np.bincount(at[train[ask]], minlength=len(distinct))
+            edges = _edges(distinct, NAME_BITS, log_buckets)
+            asked = [{"bucket": k, "n_grams": b - a, "grams": _gaps(distinct[a:b], NAME_BITS), "counts": pressed(counts[a:b])} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        out.append((shard, totals, asked))
+    return pd.DataFrame(out, columns=["shard", "totals", "asked"])
+
+
+def _counted(shards: pd.DataFrame, told: pd.DataFrame, order: int, log_buckets: int, n_types: int, n_train: int, n_texts: int) -> pd.DataFrame:
+    """``told`` has the row of ``_told`` (no bucket) and the replies to what it asked."""
     out = []
     for ids, sizes, packed in zip(shards["ids"], shards["sizes"], shards["texts"], strict=True):
         ids = _optional(ids)
         held = _held(ids)
-        words, grams, which, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
-        told = replies.sort_values("bucket")
-        if told["n_words"].sum() != len(words) or told["n_grams"].sum() != len(grams):
-            raise ValueError("a bucket's answer is missing")
-        totals = [restored(t, a + b).astype(np.int64) for t, a, b in zip(told["totals"], told["n_words"], told["n_grams"], strict=True)]
-        of_words = np.concatenate([t[:n] for t, n in zip(totals, told["n_words"], strict=True)])
-        of_grams = np.concatenate([t[n:] for t, n in zip(totals, told["n_words"], strict=True)])
-        counts = [of_words[which[0]], *(of_grams[w] for w in which[1:])]
+        words, pairs, which, threes, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
+        n = len(which[0])
+        train = np.repeat(~held, lengths)
+        first = told[told["bucket"].isna()]["before"].iloc[0]
+        counts = [restored(c, n).astype(np.int64) for c in first[:2]]
+        if order > 2:
+            distinct, at = np.unique(threes, return_inverse=True)
+            which.append(at)
+            total = np.bincount(at[train], minlength=len(distinct)).astype(np.int64)
+            ask = np.unpackbits(np.frombuffer(first[2], np.uint8), count=n).astype(bool)
+            asked = np.unique(at[ask])
+            total[asked] = _replied(told[told["bucket"].notna()], 0, len(asked))[1]
+            counts.append(total[at])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(doc, np.log10((counts[0] + 0.1) / (n_train + 0.1 * (n_types + 1))), len(lengths))
         known = np.bincount(doc, counts[0] > 0, len(lengths)).astype(np.int64)
         # what is left of the counts without the token's own document
-        train = np.repeat(~held, lengths)
         left = []
         for c, w in zip(counts, which, strict=True):
             _, pair, times = np.unique(doc * (int(w.max(initial=0)) + 1) + w, return_inverse=True, return_counts=True)
@@ -240,8 +290,14 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     replies = cut(requests.groupBy("bucket").applyInPandas(_total, _REPLIES))
     n_types, n_train = replies.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     n_texts = about["texts"]
-    counted = shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(lambda a, b: _counted(a, b, order, log_buckets, n_types, n_train, n_texts), _COUNTED)
-    counted = cut(counted)
+    told = cut(shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(lambda a, b: _told(a, b, order, log_buckets), _TOLD))
+    free(replies)
+    asked = told.select("shard", F.inline("asked")).select("bucket", "shard", F.lit(0).alias("n_words"), "n_grams", F.lit(None).cast("binary").alias("words"), "grams", "counts")
+    answered = asked.groupBy("bucket").applyInPandas(_total, _REPLIES).select("shard", "bucket", "n_words", "n_grams", "totals", F.lit(None).cast("array<binary>").alias("before"))
+    none = {"bucket": "long", "n_words": "int", "n_grams": "int", "totals": "binary"}
+    both = told.select("shard", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.col("totals").alias("before")).unionByName(answered)
+    counted = cut(shards.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(lambda a, b: _counted(a, b, order, log_buckets, n_types, n_train, n_texts), _COUNTED))
+    free(shards, told)
     cells = counted.select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.cell_counts").alias("n")).toPandas()  # bounded by FREQUENCIES and BINS
     weights = learn_weights(cells["cells"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), order, n_types)
     return counted.mapInPandas(lambda it: _scores(it, weights, order, n_types, n_train, n_texts), _SCORES)
