@@ -219,24 +219,26 @@ def encoded(column) -> list[bytes]:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder, and go on from what was written.
 
-    What led to it is then garbage; collecting it lets Spark's cleaner delete
-    the shuffle files, which would else stay on the executors' disks.
+    The shuffles that led to it are deleted with the end of the write, so that
+    executors' disks hold those of one step at a time.
     """
-    import gc
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = (weakref.ref(out), path)
     return out
 
 
+#: Spark's setting for deleting the shuffles of a statement when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
 
 
