@@ -30,6 +30,12 @@ def canonical_word(word: Column) -> Column:
     return F.translate(F.regexp_replace(word, "[.:;,]$", ""), upper, upper.lower())
 
 
+def canonical_words(text: Column) -> Column:
+    """The canonical words of a text without markup; stops part words, so none is left at the end of one."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return plain_words(F.translate(text, upper, upper.lower()))
+
+
 def ip_domain_id(ip: Column, n_bytes: int) -> Column:
     """The first bytes of an address as a negative user id; null for other names."""
     parts = F.slice(F.split(ip, r"\."), 1, n_bytes)
@@ -76,7 +82,7 @@ def unpack_signature(sig: Column, i: int) -> Column:
 
 def author_hash(author: Column, word: Column) -> Column:
     """An author's number in the signature of a word: 1 to 1023; 0 stands for nobody."""
-    return (F.pmod(F.xxhash64(author, word), F.lit(1023)) + 1).cast("long")
+    return F.crc32(F.concat_ws(" ", author, word)) % 1023 + 1
 
 
 def in_signature(sig: Column, author: Column, word: Column) -> Column:

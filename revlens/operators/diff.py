@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_words
+
 # Places of one word pair beyond which it seeds nothing, words of a copy and of a kept deletion, and the discount of a replacement.
 MOST_PLACES, LEAST_COPY, LEAST_DEAD, REPLACED = 50, 3, 3, 0.4
 
@@ -260,6 +262,4 @@ def reverted(distances: DataFrame) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    from ..functions.text import canonical_word, plain_words
-
-    return F.transform(plain_words(text), canonical_word)
+    return canonical_words(text)

@@ -14,10 +14,16 @@ def _by(page: str, order: list[str]):
     return Window.partitionBy(page).orderBy(*order)
 
 
-def collapse_same_author(revs: DataFrame, page: str, author: str, order: list[str]) -> DataFrame:
-    """Of each run of one author's revisions the last."""
-    following = F.lead(author).over(_by(page, order))
-    return revs.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") != F.col(author))).drop("_next")
+def collapse_same_author(revs: DataFrame, page: str, author: str, order: list[str], address: str | None = None) -> DataFrame:
+    """Of each run of one author's revisions the last.
+
+    Revisions without an author are one author's; with ``address`` anonymous
+    authors (0 or null) are told apart by it.
+    """
+    who = F.struct(F.col(author).alias("a"), (F.when(F.coalesce(F.col(author), F.lit(0)) == 0, F.col(address)) if address else F.lit(None).cast("string")).alias("b"))
+    w = _by(page, order)
+    told = revs.withColumn("_who", who).withColumn("_next", F.lead("_who").over(w))
+    return told.where(F.col("_next").isNull() | ~F.col("_next").eqNullSafe(F.col("_who"))).drop("_who", "_next")
 
 
 def last_revisions(revs: DataFrame, page: str, order: list[str], n: int) -> DataFrame:

@@ -7,6 +7,7 @@ live text and deleted blocks, never its history; pages are dealt out by key.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,17 +18,27 @@ from pyspark.sql import functions as F
 
 from .diff import tracked
 
-_OUT = "page {page}, revision long, author long, ts timestamp, n_new long, n_back long, words array<string>, origin array<long>, writer array<long>, lived array<int>, trust array<double>"
+_OUT = "page {page}, revision long, author long, ts timestamp, n_new long, n_back long, words array<string>, origin array<long>, writer array<long>, lived array<int>, trust array<double>, signature array<long>"
 
 
 @dataclass(frozen=True)
 class Trust:
-    """Rates of the classic rule: what an author's weight lends to new text, how far a cut reaches, what reading and deleting change."""
+    """How trust moves.
 
-    lends: float = 0.4
-    reads: float = 0.2
+    ``kind`` "classic" goes by cuts and reading alone; "sections" has the
+    author look at the sections that the edit touches; "signed" also lets each author raise a word once, as long as the
+    word's signature keeps their number.
+    """
+
+    kind: str = "classic"
+    # What an author's weight lends to new text, how far a cut reaches, what reading all and reading a looked-at
+    # section raise, what deleting lowers, and how looking fades by words.
+    lends: float = 0.3
+    reads: float = 0.10
+    looks: float = 0.18
     radius: float = 2.0
-    kills: float = 0.05
+    kills: float = math.log(2) / 9
+    fades: float = 0.5 ** (1 / 10)
     #: Deleted blocks are kept for so many revisions or days, whichever lasts longer, and so many words a page.
     dead_revisions: int = 100
     dead_days: float = 90.0
@@ -43,47 +54,131 @@ class _Block:
     writer: np.ndarray
     lived: np.ndarray
     trust: np.ndarray
+    signature: np.ndarray
     since: tuple[int, float] = (0, 0.0)  # for a deleted block: revision count and time of its deletion
 
     def cut(self, a: int, b: int) -> _Block:
-        return _Block(self.words[a:b], self.origin[a:b], self.writer[a:b], self.lived[a:b], self.trust[a:b], self.since)
+        return _Block(self.words[a:b], self.origin[a:b], self.writer[a:b], self.lived[a:b], self.trust[a:b], self.signature[a:b], self.since)
+
+
+@dataclass(frozen=True)
+class _Edit:
+    """Who makes a revision, and how much of the page they read."""
+
+    revision: int
+    author: int
+    weight: float
+    at: tuple[int, float]
+    reads: float
+    looks: float
+
+
+def author_number(author: int, word: str) -> int:
+    """An author's number in a word's signature, as ``functions.text.author_hash`` has it."""
+    return zlib.crc32(f"{author} {word}".encode()) % 1023 + 1
+
 
+def _signed_by(signatures: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([(signatures >> (10 * i)) & 1023 == numbers for i in range(3)])
 
-def _moved_trust(old: np.ndarray, weight: float, rule: Trust, was_live: bool, at_start: bool, at_end: bool) -> np.ndarray:
+
+def _ahead(section: np.ndarray, at: int, stop: int, step: int) -> np.ndarray:
+    """The places from ``at`` on, in steps, before ``stop`` and within one section."""
+    places = np.arange(at, stop, step)
+    other = np.flatnonzero(section[places] != section[at])
+    return places[: other[0]] if len(other) else places
+
+
+def _section_trust(trust: np.ndarray, may: np.ndarray, inserted: np.ndarray, section: np.ndarray, moves: list, n_old: int, edit: _Edit, rule: Trust) -> tuple[np.ndarray, np.ndarray]:
+    """(trust, raised): the live words' trust after an edit.
+
+    Trust may fall anywhere, and rise where ``may`` is true.  Cuts draw the
+    words up to the section's end towards what new text has; a cut against an
+    insertion of two words or more in another section is none.  What the
+    author looked at, then all words, rise towards the author's weight; where they may not, words end no
+    lower than new text.
+    """
+    n, new = len(trust), edit.weight * rule.lends
+    looked, raised = inserted.copy(), inserted.copy()
+    # lengths of insertions by their ends
+    begins = {j: l for kind, _, _, j, _, l in moves if kind == "ins"}
+    ends = {j + l: l for kind, _, _, j, _, l in moves if kind == "ins"}
+
+    def look(at: int) -> None:
+        if not looked[at]:
+            for places in (_ahead(section, at, n, 1), _ahead(section, at, -1, -1)):
+                met = np.flatnonzero(looked[places][1:])
+                looked[places[: met[0] + 1] if len(met) else places] = True
+
+    def draw(places: np.ndarray) -> None:
+        drawn = trust[places] + (new - trust[places]) * np.exp(-np.arange(len(places)) / rule.radius)
+        up = (drawn > trust[places]) & may[places]
+        raised[places[up]] = True
+        trust[places] = np.where(up | (drawn <= trust[places]), drawn, trust[places])
+
+    for kind, i, c, j, d, l in moves:
+        if kind != "mov" or d != 0:
+            continue
+        last = j + l - 1
+        if (i, j, c) != (0, 0, 0) and (j == 0 or section[j] == section[j - 1] or ends.get(j, 0) < 2):
+            look(j)
+            draw(_ahead(section, j, last + 1, 1))
+        if (i + l != n_old or j + l != n or c) and (last == n - 1 or section[last] == section[last + 1] or begins.get(last + 1, 0) < 2):
+            look(last)
+            draw(_ahead(section, last, j - 1, -1))
+    since = np.arange(n) - np.maximum.accumulate(np.where(looked, np.arange(n), -1))
+    spread = np.where(np.logical_or.accumulate(looked), rule.fades**since, 0.0)
+    spread = spread + (1 - spread) * rule.fades  # backwards every word counts as one step away
+    for share in (edit.looks * spread, np.full(n, edit.reads)):
+        up = (trust < edit.weight) & may
+        trust = np.where(up, trust + (edit.weight - trust) * share, trust)
+        raised |= up
+    return np.where(~may & (trust < new) & (trust < edit.weight), new, trust), raised
+
+
+def _moved_trust(old: np.ndarray, edit: _Edit, rule: Trust, was_live: bool, at_start: bool, at_end: bool) -> np.ndarray:
     """Close to a cut a word's trust goes towards what its author lends; then reading raises what is below the author's weight."""
     n = len(old)
     far = np.full(n, np.inf)
     left = far if was_live and at_start else np.arange(n)
     right = far if was_live and at_end else np.arange(n)[::-1]
     near_cut = np.exp(-np.minimum(left, right) / rule.radius)
-    trust = old + (weight * rule.lends - old) * near_cut
-    return np.where(weight > trust, trust + (weight - trust) * rule.reads, trust)
+    trust = old + (edit.weight * rule.lends - old) * near_cut
+    return np.where(edit.weight > trust, trust + (edit.weight - trust) * edit.reads, trust)
 
 
-def _next(blocks: list[_Block], words: list, revision: int, author: int, weight: float, at: tuple[int, float], rule: Trust) -> tuple[list[_Block], int, int]:
+def _next(blocks: list[_Block], words: list, section: np.ndarray, edit: _Edit, rule: Trust) -> tuple[list[_Block], int, int]:
     """The blocks after a revision, and how many words are new and came back."""
     texts, moves = tracked([b.words for b in blocks], words)
     n, n_old = len(words), len(blocks[0].words)
-    live = _Block(list(words), np.full(n, revision), np.full(n, author), np.zeros(n, np.int64), np.full(n, weight * rule.lends))
+    live = _Block(list(words), np.full(n, edit.revision), np.full(n, edit.author), np.zeros(n, np.int64), np.full(n, edit.weight * rule.lends), np.zeros(n, np.int64))
+    inserted, back = np.ones(n, bool), 0
     dead: dict[int, _Block] = {}
-    back = 0
     for kind, i, c, j, d, l in moves:
         if kind != "mov":
             continue
         source = blocks[c].cut(i, i + l)
         if d == 0:
             here = slice(j, j + l)
-            live.origin[here], live.writer[here], live.lived[here] = source.origin, source.writer, source.lived + 1
-            live.trust[here] = _moved_trust(source.trust, weight, rule, c == 0, i == 0 and j == 0, i + l == n_old and j + l == n)
+            inserted[here] = False
+            live.origin[here], live.writer[here], live.lived[here], live.signature[here] = source.origin, source.writer, source.lived + 1, source.signature
+            live.trust[here] = source.trust if rule.kind != "classic" else _moved_trust(source.trust, edit, rule, c == 0, i == 0 and j == 0, i + l == n_old and j + l == n)
             back += l if c else 0
         else:
             dead[d] = source
             if c == 0:
-                source.trust = source.trust * math.exp(-weight * rule.kills)
-                source.since = at
+                source.trust = source.trust * math.exp(-edit.weight * rule.kills)
+                source.since = edit.at
+    if rule.kind != "classic" and n:
+        numbers = np.array([author_number(edit.author, w) for w in words]) if rule.kind == "signed" else np.zeros(n, np.int64)
+        may = inserted | ((edit.author != 0) & ~_signed_by(live.signature, numbers)) if rule.kind == "signed" else np.ones(n, bool)
+        live.trust, raised = _section_trust(live.trust, may, inserted, section, moves, n_old, edit, rule)
+        if rule.kind == "signed" and edit.author:
+            add = raised & ~_signed_by(live.signature, numbers)
+            live.signature = np.where(add, numbers | (live.signature & 0xFFFFF) << 10, live.signature)
     kept, room = [live], rule.dead_words
     for d in range(1, len(texts)):
-        young = at[0] - dead[d].since[0] < rule.dead_revisions or at[1] - dead[d].since[1] < rule.dead_days * 86400
+        young = edit.at[0] - dead[d].since[0] < rule.dead_revisions or edit.at[1] - dead[d].since[1] < rule.dead_days * 86400
         if young and room > 0:
             kept.append(dead[d].cut(0, room))
             room -= len(kept[-1].words)
@@ -91,30 +186,43 @@ def _next(blocks: list[_Block], words: list, revision: int, author: int, weight:
 
 
 def _fold(batches: Iterator[pd.DataFrame], rule: Trust) -> Iterator[pd.DataFrame]:
-    page, blocks, count = None, [], 0
+    page, blocks, section, count = None, [], np.zeros(0, np.int64), 0
     none = np.zeros(0, np.int64)
     for pdf in batches:
         out = []
-        for p, revision, author, ts, weight, words in zip(pdf["page"], pdf["revision"], pdf["author"], pdf["ts"], pdf["weight"], pdf["words"], strict=True):
+        for p, revision, author, ts, weight, words, sections, vote, reads, looks in zip(*(pdf[c] for c in ("page", "revision", "author", "ts", "weight", "words", "sections", "vote", "reads", "looks")), strict=True):
             if p != page or not blocks:
-                page, blocks, count = p, [_Block([], none, none, none, np.zeros(0))], 0
-            words = list(words) if words is not None else []
-            blocks, new, back = _next(blocks, words, int(revision), int(author), float(weight), (count, ts.timestamp()), rule)
+                page, blocks, count = p, [_Block([], none, none, none, np.zeros(0), none)], 0
+            if vote:
+                words = blocks[0].words
+            else:
+                words = list(words) if words is not None else []
+                section = np.asarray(sections, np.int64) if sections is not None and len(sections) == len(words) else np.zeros(len(words), np.int64)
+            edit = _Edit(int(revision), int(author), float(weight), (count, ts.timestamp()), float(reads), 0.0 if vote else float(looks))
+            blocks, new, back = _next(blocks, words, section, edit, rule)
             count += 1
             b = blocks[0]
-            out.append((p, revision, author, ts, new, back, b.words, b.origin, b.writer, b.lived, b.trust))
+            out.append((p, revision, author, ts, new, back, b.words, b.origin, b.writer, b.lived, b.trust, b.signature))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def track_words(revs: DataFrame, order: list[str], rule: Trust = Trust()) -> DataFrame:
-    """For each revision its words with the revision and author each comes from, the revisions it lived through and its trust.
+    """For each revision its words with the revision and author each comes from, the revisions it lived through, its trust and signature.
 
     ``revs`` has page, revision, author (0: anonymous), ts, weight (of the
-    author's reputation) and words; a null list is an empty text.
+    author's reputation) and words; a null list is an empty text.  It may have sections
+    (a number for each word), reads and looks (instead of the rule's, as
+    ``functions.text.read_share`` gives them) and vote: a row that votes for the page's text as it is has no words of its own.
     """
-    rows = revs.select("page", F.col("revision").cast("long").alias("revision"), F.coalesce("author", F.lit(0)).cast("long").alias("author"), "ts", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"), "words", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    dealt = rows.repartition("page").sortWithinPartitions("page", *[f"_o{i}" for i in range(len(order))]).select("page", "revision", "author", "ts", "weight", "words")
+    given = lambda c, of, other: (F.coalesce(F.col(c).cast(of), F.lit(other)) if c in revs.columns else F.lit(other).cast(of)).alias(c)
+    rows = revs.select(
+        "page", F.col("revision").cast("long").alias("revision"), F.coalesce("author", F.lit(0)).cast("long").alias("author"), "ts", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"), "words",
+        (F.col("sections") if "sections" in revs.columns else F.lit(None)).cast("array<int>").alias("sections"), given("vote", "boolean", False), given("reads", "double", rule.reads), given("looks", "double", rule.looks),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+    )
+    keys = [f"_o{i}" for i in range(len(order))]
+    dealt = rows.repartition("page").sortWithinPartitions("page", *keys).drop(*keys)
     return dealt.mapInPandas(lambda it: _fold(it, rule), _OUT.format(page=dict(rows.dtypes)["page"]))
 
 

@@ -67,6 +67,13 @@ def word_origins(spark, sf_dir):
     return told.select("page", "revision", "author", "n_new", "n_back", F.size("words").alias("n_words"), F.size(F.array_distinct("origin")).alias("n_origins"), *sums)
 
 
+@query(None)
+def signed_trust(spark, sf_dir):
+    told = tracking.track_words(_revisions(spark, sf_dir), ORDER, tracking.Trust(kind="signed"))
+    sums = [F.round(F.aggregate("trust", F.lit(0.0), lambda a, x: a + x), 6).alias("trust"), F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("signatures")]
+    return told.select("page", "revision", F.size("words").alias("n_words"), *sums)
+
+
 @query(None)
 def author_words(spark, sf_dir):
     return tracking.words_by_author(tracking.track_words(_revisions(spark, sf_dir), ORDER))

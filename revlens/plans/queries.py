@@ -295,8 +295,7 @@ _CANONICAL = f"SELECT doc_id, translate(regexp_replace(w, '[.:;,]$', ''), 'ABCDE
 
 
 def _words(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.plain_words(F.col("text"))).alias("w"))
-    return words.select("doc_id", T.canonical_word(F.col("w")).alias("word"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.canonical_words(F.col("text"))).alias("word"))
 
 
 @_query(f"SELECT word, count(*) AS n FROM ({_CANONICAL}) GROUP BY word")
@@ -307,7 +306,7 @@ def word_frequency(spark, sf_dir):
 @_query(f"SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM ({_CANONICAL}) GROUP BY doc_id")
 def canonical_words(spark, sf_dir):
     # the array functions count within the row: no exchange
-    lower = F.transform(T.plain_words(F.col("text")), T.canonical_word)
+    lower = T.canonical_words(F.col("text"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", lower.alias("w")).where(F.size("w") > 0)
     return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 

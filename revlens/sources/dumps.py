@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 _PAGE = """title STRING, id BIGINT, revision ARRAY<STRUCT<id: BIGINT, timestamp: STRING,
     contributor: STRUCT<username: STRING, id: BIGINT, ip: STRING>, minor: STRING, comment: STRING, text: STRUCT<_VALUE: STRING>>>"""
 
@@ -49,7 +51,9 @@ def chunked(pages: DataFrame, page: str, per_chunk: int) -> DataFrame:
     range is summed up, so no task sees all pages.
     """
     ids = pages.select(page).distinct().repartitionByRange(page).sortWithinPartitions(page)
-    placed = ids.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(page)) - 1)
+    # written, since a partition's number holds for one run only
+    placed = written(ids.withColumn("_part", F.spark_partition_id()))
+    placed = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(page)) - 1)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     numbered = placed.join(F.broadcast(before), "_part")  # a row for each shuffle partition

@@ -26,21 +26,29 @@ MAX_BLOB, MIN_BLOB, MANY_REVISIONS = 10_000_000, 1_000_000, 20
 _ENTRY = re.compile(r"\((\d+) (\d+) (\d+)\)")
 
 
-def field(line: Column, label: str, kind: str) -> Column:
-    """A labelled field of a statistics line; null if the line has none."""
-    body = r'"((?:[^"\\]|\\.)*)"' if kind == "string" else r"([-+0-9.eE]+)"
-    found = F.regexp_extract(line, rf"(?<![A-Za-z0-9]){label}:\s*{body}", 1)
-    if kind == "string":
-        return F.when(line.rlike(rf"(?<![A-Za-z0-9]){label}:"), F.regexp_replace(found, r"\\(.)", "$1"))
-    return found.try_cast(kind)
+_FIELD = r'([A-Za-z][A-Za-z0-9]*):\s*("(?:[^"\\]|\\.)*"|[-+0-9.eE]+)'
+
+
+def _fields(lines: DataFrame, column: str) -> DataFrame:
+    """``lines`` with the labels and the values of each line as arrays, from one pass for each."""
+    found = lambda group: F.regexp_extract_all(F.col(column), F.lit(_FIELD), F.lit(group))
+    return lines.select(F.col(column).alias("_line"), found(1).alias("_labels"), found(2).alias("_values"))
+
+
+def _field(label: str, kind: str) -> Column:
+    """A labelled field; null if the line has none."""
+    value = F.get("_values", F.array_position("_labels", label).cast("int") - 1)
+    if kind != "string":
+        return value.try_cast(kind)
+    return F.when(value.startswith('"'), F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1"))
 
 
 def parse_statistics(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """The lines of one kind: ``time`` and a column for each label; old lines without some fields have nulls there."""
     line = F.col(column)
-    rows = lines.where((F.length(line) > SHORTEST) & ~line.contains("\x00") & line.startswith(kind + " "))
-    time = F.regexp_extract(line, rf"^{kind}\s+([-+0-9.eE]+)", 1).try_cast("double")
-    return rows.select(time.alias("time"), *[field(line, label, of).alias(label) for label, of in FIELDS[kind].items()]).where("time is not null")
+    rows = _fields(lines.where((F.length(line) > SHORTEST) & ~line.contains("\x00") & line.startswith(kind + " ")), column)
+    time = F.get(F.split(F.ltrim(F.substring("_line", len(kind) + 1, 40)), r"\s+"), F.lit(0)).try_cast("double")
+    return rows.select(time.alias("time"), *[_field(label, of).alias(label) for label, of in FIELDS[kind].items()]).where("time is not null")
 
 
 def read_statistics(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -48,8 +56,8 @@ def read_statistics(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def page_titles(lines: DataFrame, column: str = "value") -> DataFrame:
-    line = F.col(column)
-    return lines.where(line.startswith("Page:")).select(field(line, "Page", "long").alias("page_id"), field(line, "Title", "string").alias("title"))
+    rows = _fields(lines.where(F.col(column).startswith("Page:")), column)
+    return rows.select(_field("Page", "long").alias("page_id"), _field("Title", "string").alias("title"))
 
 
 def statistics_lines(rows: DataFrame, kind: str) -> DataFrame:

@@ -2,6 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from revlens.operators import history
 from revlens.sources import api, dumps, lines, revision_files
 from revlens.streaming import feed
 
@@ -89,3 +90,10 @@ def test_api_answers_and_revision_files(spark, tmp_path):
     assert sorted(r["text"] for r in got.collect()) == ["t2500.0", "t2500.1", "t999.0", "t999.1"]
     assert sorted(r["rev_id"] for r in revision_files.last_coloured(revs, ["rev_id"], 1).collect()) == [11, 9991, 10001, 25001]
     assert {r["text"] for r in revision_files.without_texts(revs).collect()} == {""}
+
+
+def test_collapsing_knows_addresses_and_missing_authors(spark):
+    rows = [(1, 0, "1.1.1.1"), (2, 0, "1.1.1.1"), (3, 0, "2.2.2.2"), (4, 7, None), (5, 7, None), (6, None, None), (7, None, None)]
+    revs = spark.createDataFrame([("p", *r) for r in rows], "page string, n int, author int, ip string")
+    kept = lambda **more: sorted(r["n"] for r in history.collapse_same_author(revs, "page", "author", ["n"], **more).collect())
+    assert kept() == [3, 5, 7] and kept(address="ip") == [2, 3, 5, 7]

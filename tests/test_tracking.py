@@ -51,3 +51,35 @@ def test_percolation(spark):
     moves = spark.createDataFrame([(1, "mov", 0, 4, 2), (1, "del", 2, None, 1)], "pair int, kind string, i int, j int, l int")
     got = {r["at"]: r["trust"] for r in tracking.percolated(older, newer, moves).collect()}
     assert got == {0: 2.0, 1: 3.0, 2: 1.0}
+
+
+def signed(spark, rows, **rule):
+    revs = spark.createDataFrame([("p", n, a, n * 100, w, t, v) for n, (a, w, t, v) in enumerate(rows)], "page string, revision long, author long, s long, weight double, text string, vote boolean")
+    revs = revs.select("page", "revision", "author", F.timestamp_seconds("s").alias("ts"), "weight", F.split("text", " ").alias("words"), "vote")
+    return [r for r in tracking.track_words(revs, ["revision"], tracking.Trust(kind="signed", **rule)).orderBy("revision").collect()]
+
+
+def test_an_author_raises_a_word_once(spark):
+    text = "some words that stay"
+    rows = signed(spark, [(1, 3.0, text, False), (2, 3.0, text, False), (2, 3.0, text, False), (0, 3.0, text, False), (3, 3.0, None, True)])
+    first, second, again, anonymous, vote = (r["trust"] for r in rows)
+    new = 3.0 * 0.3
+    # the first revision's words are new: raised by looking and by reading
+    assert all(new < t < 3.0 for t in first)
+    # nothing is looked at by one who changes nothing, yet looking counts one step away; another author raises, the same one does not
+    looked = [t + (3.0 - t) * 0.18 * 0.5 ** (1 / 10) for t in first]
+    assert all(math.isclose(b, x + (3.0 - x) * 0.10) for b, x in zip(second, looked))
+    assert again == second and anonymous == second
+    # a vote reads all, but looks at nothing; its words are the page's
+    assert all(math.isclose(v, t + (3.0 - t) * 0.10) for v, t in zip(vote, second)) and rows[4]["words"] == text.split()
+    numbers = [{(s >> 10 * i) & 1023 for i in range(3)} for s in rows[4]["signature"]]
+    assert all({tracking.author_number(a, w) for a in (1, 2, 3)} == n for n, w in zip(numbers, text.split()))
+
+
+def test_trust_falls_at_cuts_for_every_author(spark):
+    rows = signed(spark, [(1, 9.0, "a b c d e f g h", False), (0, 0.0, "a b c d x e f g h", False)])
+    before, after = rows[0]["trust"], rows[1]["trust"]
+    kept = after[:4] + after[5:]
+    assert after[4] == 0 and all(x <= y for x, y in zip(kept, before)) and kept[3] == 0 and kept[4] == 0
+    # the farther from the cut, the less
+    assert kept[0] > kept[1] > kept[2] > kept[3] and math.isclose(kept[2], before[2] * (1 - math.exp(-1 / 2)))
