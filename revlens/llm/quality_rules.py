@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, byte_names, encoded, slices, small_batches, split_words, window_hashes
+from .common import _LOWER, byte_names, encoded, set_aside, slices, small_batches, split_words, window_hashes
 
 MIN_WORDS = 50
 #: Base rule: at most this share (in hundredths) of words in repeated three-word windows.
@@ -246,4 +246,5 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     small_batches(docs.sparkSession)
     known = references(docs)
-    return docs.mapInPandas(lambda it: _kept(it, known), docs.schema)
+    safe, restored = set_aside(docs, "text", "lang")
+    return restored(safe.mapInPandas(lambda it: _kept(it, known), safe.schema))
