@@ -179,14 +179,12 @@ def _replied(replies: pd.DataFrame, n_words: int, n_grams: int) -> tuple[np.ndar
 
 
 def _told(shards: pd.DataFrame, replies: pd.DataFrame, order: int, log_buckets: int) -> pd.DataFrame:
-    """The totals of each token's word and pair, and the n-grams of three words that other shards may have too."""
+    """The totals of the shard's words and pairs, which tokens end an n-gram of three words that other shards may have too, and the requests for these."""
     out = []
     for shard, ids, sizes, packed in zip(shards["shard"], shards["ids"], shards["sizes"], shards["texts"], strict=True):
         words, pairs, which, threes, lengths = _asked(unpacked(sizes, packed), order, log_buckets)
         of_words, of_pairs, shared = _replied(replies, len(words), len(pairs))
-        totals, asked = [pressed(of_words[which[0]])], []
-        if order > 1:
-            totals.append(pressed(of_pairs[which[1]]))
+        totals, asked = [pressed(of_words), pressed(of_pairs)], []
         if order > 2:
             train = np.repeat(~_held(_optional(ids)), lengths)
             elsewhere = shared[which[1]]
@@ -210,7 +208,7 @@ def _counted(shards: pd.DataFrame, told: pd.DataFrame, order: int, log_buckets:
         n = len(which[0])
         train = np.repeat(~held, lengths)
         first = told[told["bucket"].isna()]["before"].iloc[0]
-        counts = [restored(c, n).astype(np.int64) for c in first[:2]]
+        counts = [restored(c, len(x)).astype(np.int64)[w] for c, x, w in zip(first, (words, pairs), which, strict=False)]
         if order > 2:
             distinct, at = np.unique(threes, return_inverse=True)
             which.append(at)
