@@ -103,7 +103,9 @@ class WordEncoder:
         for w in words:
             t = w.decode("utf-8", "surrogatepass")
             stop = t[-1] if t[-1] in ".,!?;:" else ""
-            core = "".join(map(str.lower, t[:-1] if stop else t))  # letter by letter, whatever stands around
+            core = t[:-1] if stop else t
+            # the one capital that a whole word lowers by its place goes letter by letter, as in the tokenizer
+            core = core.lower() if "Σ" not in core else "".join(map(str.lower, core))
             if len(core) < 100 and core.isalpha():
                 plain.append((w, core, stop))
                 new.update((x, None) for x in (core, stop) if x and x not in cores)

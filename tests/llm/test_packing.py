@@ -61,3 +61,8 @@ def test_window_count_rises_only_when_needed():
     assert len(windows(sizes, 15)) == 3
     assert len(windows([6, 6, 6], 9)) == 3
     assert windows([], 9) == []
+
+
+def test_greek_capitals_and_unusual_case(spark):
+    texts = ["ΟΔΟΣ ΣΑΣ Σ.", "ΣΑΣ, σας ΣΊΣΥΦΟΣ; Σ", "İSTANBUL ǅ ẞ STRASSE Straße", "ΑΣ' Σ-Σ ΣΣ"]
+    check(spark, list(enumerate(texts)), 64, 4)
