@@ -216,8 +216,8 @@ def encoded(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder, and go on from what was written.
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder (or at ``path``), and go on from what was written.
 
     The shuffles that led to it are deleted with the end of the write, so that
     executors' disks hold those of one step at a time.
@@ -225,7 +225,7 @@ def cut(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")

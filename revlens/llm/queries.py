@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql_twins
 from .common import documents
+from .decontamination import decontaminated
+from .importance_resampling import resample
 from .interpolation_lm import score_texts
+from .merkle_manifest import merkle_manifest
 from .ngram_join import jaccard_components
 from .packing import pack
 from .pii import find_pii
@@ -63,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(documents(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 _QUERIES = (
     op1_spotsigs,
     op2_sentencepiece,
@@ -74,6 +90,9 @@ _QUERIES = (
     op8_quality_rules,
     op9_toxicity_crf,
     op10_packing,
+    op11_merkle_manifest,
+    op12_importance_resampling,
+    op13_decontamination,
 )
 
 
@@ -122,4 +141,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 
 def oracle_sql() -> dict[str, str]:
     """Twins of what SQL can express in full: the other operators return fingerprints, ids or probabilities of models."""
-    return {"op3_suffix_dedup": _SUFFIX_SQL, "op4_ngram_join": _JACCARD_SQL, "op6_substring_dedup": _SUBSTRING_SQL}
+    return {"op3_suffix_dedup": _SUFFIX_SQL, "op4_ngram_join": _JACCARD_SQL, "op6_substring_dedup": _SUBSTRING_SQL, "op11_merkle_manifest": sql_twins.MANIFEST, "op12_importance_resampling": sql_twins.RESAMPLING, "op13_decontamination": sql_twins.DECONTAMINATION}
