@@ -52,6 +52,11 @@ def trust_bin(trust: Column) -> Column:
     return F.least(F.lit(9), F.greatest(F.lit(0), (trust + 0.5).cast("int")))
 
 
+def trust_histogram(trust: Column) -> Column:
+    """How many words of an array of trust values fall in each of ten bins."""
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.size(F.filter(trust, lambda t: trust_bin(t) == i)))
+
+
 def overall_trust(histogram: Column) -> Column:
     """(sum of i * h_i) * exp(-0.05 * sum of h_i / 2^i) of a ten-bin histogram."""
     weighted = F.aggregate(F.transform(histogram, lambda h, i: h * i), F.lit(0.0), lambda s, x: s + x)

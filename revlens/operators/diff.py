@@ -126,49 +126,42 @@ def edit_list(left: list, right: list) -> list[Edit]:
 
 
 def _insdel_cost(edits: list[Edit]) -> float:
-    """Each group of neighbouring deletions and insertions costs the greater side less a share of the smaller.
+    """Deletions and insertions that touch cost together the greater side less a share of the smaller.
 
-    They are neighbours on one side, or across a move that both follow or both precede, or at the same end of the texts.
+    Each spans two points between words.  Those that share a point touch, and
+    so do those at the two points of a tie: the fronts of the texts, the fronts or the rears of a move that lie before the texts' ends,
+    and the text's rears.  Spans are the nodes of a graph whose connected parts cost.
+
+    Fixed rule: a move counts for the ends of the texts with its sides changed over.
     """
-    end_left = max([i + l for kind, i, j, l in edits if kind == "del"] + [j + l for kind, i, j, l in edits if kind == "mov"], default=0)
-    end_right = max([j + l for kind, i, j, l in edits if kind == "ins"] + [i + l for kind, i, j, l in edits if kind == "mov"], default=0)
-    starts, stops = {}, {}
-    for k, (_, i, j, l) in enumerate(edits):
-        for side, at in ((0, i), (1, j)):
-            if at is not None:
-                starts[side, at], stops[side, at + l] = k, k
-    group = list(range(len(edits)))
-
-    def root(k: int) -> int:
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    def join(k: int, other: int | None, kind: str) -> None:
-        if other is not None and edits[other][0] == kind:
-            group[root(k)] = root(other)
-
-    for k, (kind, i, j, l) in enumerate(edits):
-        if kind == "ins":
-            join(k, stops.get((1, j)), "ins")
-        elif kind == "del":
-            if i == 0:
-                join(k, starts.get((1, 0)), "ins")
-            else:
-                join(k, above := stops.get((0, i)), "del")
-                if above is not None and edits[above][0] == "mov" and edits[above][2] + edits[above][3] < end_right:
-                    join(k, starts.get((1, edits[above][2] + edits[above][3])), "ins")
-            if i + l < end_left:
-                below = starts.get((0, i + l))
-                if below is not None and edits[below][0] == "mov":
-                    join(k, stops.get((1, edits[below][2])), "ins")
-            else:
-                join(k, stops.get((1, end_right), starts.get((1, end_right - 1))), "ins")
-    sums: dict[int, dict[str, int]] = defaultdict(lambda: {"ins": 0, "del": 0})
-    for k, (kind, _, _, l) in enumerate(edits):
-        if kind != "mov":
-            sums[root(k)][kind] += l
-    return sum(max(s.values()) - REPLACED * min(s.values()) for s in sums.values())
+    left = max([i + l for kind, i, _, l in edits if kind == "del"] + [j + l for kind, _, j, l in edits if kind == "mov"], default=0)
+    right = max([j + l for kind, _, j, l in edits if kind == "ins"] + [i + l for kind, i, _, l in edits if kind == "mov"], default=0)
+    spans = [(int(kind == "ins"), i if kind == "del" else j, l) for kind, i, j, l in edits if kind != "mov"]
+    at: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for k, (side, front, l) in enumerate(spans):
+        at[side, front].append(k)
+        at[side, front + l].append(k)
+    moves = [(i, j, l) for kind, i, j, l in edits if kind == "mov"]
+    ties = [((0, 0), (1, 0))]
+    ties += [((0, i), (1, j)) for i, j, _ in moves if i < left] + [((0, i + l), (1, j + l)) for i, j, l in moves if j + l < right]
+    ties += [((0, front + l), (1, right)) for side, front, l in spans if side == 0 and front + l >= left]
+    near: dict[int, set[int]] = {k: set() for k in range(len(spans))}
+    for group in [*at.values(), *[at.get(a, []) + at.get(b, []) for a, b in ties]]:
+        for k, other in zip(group, group[1:], strict=False):
+            near[k].add(other)
+            near[other].add(k)
+    cost, seen = 0.0, set()
+    for k in near:
+        reached, sums = [k] if k not in seen else [], [0, 0]
+        seen.update(reached)
+        while reached:
+            here = reached.pop()
+            sums[spans[here][0]] += spans[here][2]
+            more = near[here] - seen
+            seen |= more
+            reached += more
+        cost += max(sums) - REPLACED * min(sums)
+    return cost
 
 
 def _move_cost(edits: list[Edit], length: int) -> float:
@@ -242,9 +235,9 @@ def _distance_of(edits: pd.Series, length: pd.Series) -> pd.Series:
 
 
 def edit_lists(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """``pairs`` with the edit list of two word arrays as ``edits`` and their ``distance``."""
+    """``pairs`` with the edit list of two word arrays as ``edits`` and their ``distance``; crossing moves count by the longer text."""
     listed = pairs.withColumn("edits", F.pandas_udf(_edits_of, EDITS)(left, right))
-    return listed.withColumn("distance", F.pandas_udf(_distance_of, "double")("edits", F.least(F.size(left), F.size(right))))
+    return listed.withColumn("distance", F.pandas_udf(_distance_of, "double")("edits", F.greatest(F.size(left), F.size(right))))
 
 
 def pairs_in_horizon(revs: DataFrame, page: str, order: list[str], words: str, horizon: int) -> DataFrame:

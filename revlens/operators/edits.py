@@ -8,6 +8,8 @@ and on overlapping ranges of positions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,21 +81,39 @@ def uncovered(edits: DataFrame, lengths: DataFrame) -> DataFrame:
 def best_intermediary(open_words: DataFrame, share: float = 0.20, most: int = 100) -> DataFrame:
     """Of the texts between two (pair, middle, left, right, n_left, n_right) the one whose composition leaves least open.
 
-    None where it leaves more than ``most`` words or more than that share.
+    What counts is the side that is covered better, and of equals the later
+    middle.  None where that side has more than ``most`` words open, or more than that
+    share of its words; both are counted with one more, for empty texts.
     """
-    left = F.col("left") + F.col("right")
-    fits = open_words.withColumn("open", left).where((left <= most) & (left <= share * (F.col("n_left") + F.col("n_right"))))
-    return fits.groupBy("pair").agg(F.min(F.struct("open", "middle")).alias("best")).select("pair", "best.middle", "best.open")
-
-
-def adjacent_words(words: DataFrame, most: int | None = None) -> DataFrame:
-    """(key, first, second, places): where each two neighbouring words of a text stand; ``words`` has key, words.
+    part = lambda side: (F.col(side) + 1) / (F.col(f"n_{side}") + 1)
+    told = open_words.withColumn("open", F.least("left", "right"))
+    fits = told.where((F.least(part("left"), part("right")) <= share) & (F.col("open") <= most) & (F.col("open") <= F.col("n_left") + F.col("n_right")))
+    return fits.groupBy("pair").agg(F.min(F.struct("open", (-F.col("middle")).alias("last"))).alias("best")).select("pair", (-F.col("best.last")).alias("middle"), "best.open")
+
+
+def _pairs_of(texts: pa.Array) -> pa.Array:
+    """All texts of a batch at once: neighbours are sorted by (text, first, second), runs of equal ones are a pair's places."""
+    sizes = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    words = texts.flatten().dictionary_encode()
+    codes, owner = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    at = at[np.lexsort((place[at], codes[at + 1], codes[at], owner[at]))]
+    key = np.stack((owner[at], codes[at], codes[at + 1]))
+    first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(at) else np.zeros(0, np.int64)
+    places = pa.ListArray.from_arrays(pa.array([*first, len(at)], pa.int32()), pa.array(place[at], pa.int32()))
+    pair = [words.dictionary.take(pa.array(key[k, first])) for k in (1, 2)]
+    found = pa.StructArray.from_arrays([*pair, places], ["first", "second", "places"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(key[0, first], np.arange(len(sizes) + 1)), pa.int32()), found)
+
+
+def adjacent_words(words: Column | str, most: int | None = None) -> Column:
+    """Array of (first, second, places): where each two neighbouring words of a text stand; nothing is shuffled.
 
     ``most`` leaves out pairs with more places.
     """
-    each = words.select("key", F.posexplode(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))).alias("at", "w"))
-    found = each.groupBy("key", "w.first", "w.second").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    return found if most is None else found.where(F.size("places") <= most)
+    found = F.arrow_udf(_pairs_of, "array<struct<first:string,second:string,places:array<int>>>")(words)
+    return found if most is None else F.filter(found, lambda p: F.size(p["places"]) <= most)
 
 
 def match_quality(l: Column, i1: Column, n1: Column, i2: Column, n2: Column, chunk: Column) -> Column:

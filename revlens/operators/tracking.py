@@ -1,7 +1,9 @@
 """Words through the history of their page: where they come from, how long they live and how far they are trusted.
 
 A page's revisions pass in order through one task, which holds the page's
-live text and deleted blocks, never its history; pages are dealt out by key.
+recent texts and deleted blocks, never its history; pages are dealt out by key.
+``Page`` is what is kept of a page between two revisions; ``streaming.pages``
+keeps the same in a state store.
 """
 
 from __future__ import annotations
@@ -9,16 +11,20 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .diff import tracked
+from .diff import edit_distance, edit_list, tracked
 
-_OUT = "page {page}, revision long, author long, ts timestamp, n_new long, n_back long, words array<string>, origin array<long>, writer array<long>, lived array<int>, trust array<double>, signature array<long>"
+_WORDS = "words array<string>, origin array<long>, writer array<long>, lived array<int>, trust array<double>, signature array<long>"
+_OUT = "page {page}, revision long, author long, ts timestamp, n_new long, n_back long, " + _WORDS
+#: Words that one frame of the fold's output holds at least before it goes out.
+FRAME_WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +49,15 @@ class Trust:
     dead_revisions: int = 100
     dead_days: float = 90.0
     dead_words: int = 10_000
+    #: A revision is compared with so many before it.  If one is closer than the last, the text was taken back: its words come from that one.
+    recents: int = 1
+    #: Whether the trust of words rises in the recent revisions too that have them; these are told once they are recent no more.
+    percolates: bool = False
+
+    @classmethod
+    def batch(cls, **own) -> Trust:
+        """Deleted blocks as batch runs keep them: up to 25 revisions or 10 days, however many words."""
+        return cls(**{"dead_revisions": 26, "dead_days": 10.0, "dead_words": 1 << 40, **own})
 
 
 @dataclass
@@ -62,15 +77,30 @@ class _Block:
 
 
 @dataclass(frozen=True)
-class _Edit:
+class Edit:
     """Who makes a revision, and how much of the page they read."""
 
     revision: int
     author: int
     weight: float
-    at: tuple[int, float]
+    micros: int
     reads: float
     looks: float
+    vote: bool = False
+    robot: bool = False
+
+
+@dataclass
+class Told:
+    """A revision's row: the text it leaves, and how many of its words are new and came back."""
+
+    revision: int
+    author: int
+    micros: int
+    new: int
+    back: int
+    block: _Block
+    text: str | None = None
 
 
 def author_number(author: int, word: str) -> int:
@@ -89,7 +119,7 @@ def _ahead(section: np.ndarray, at: int, stop: int, step: int) -> np.ndarray:
     return places[: other[0]] if len(other) else places
 
 
-def _section_trust(trust: np.ndarray, may: np.ndarray, inserted: np.ndarray, section: np.ndarray, moves: list, n_old: int, edit: _Edit, rule: Trust) -> tuple[np.ndarray, np.ndarray]:
+def _section_trust(trust: np.ndarray, may: np.ndarray, inserted: np.ndarray, section: np.ndarray, moves: list, n_old: int, edit: Edit, rule: Trust) -> tuple[np.ndarray, np.ndarray]:
     """(trust, raised): the live words' trust after an edit.
 
     Trust may fall anywhere, and rise where ``may`` is true.  Cuts draw the
@@ -136,7 +166,7 @@ def _section_trust(trust: np.ndarray, may: np.ndarray, inserted: np.ndarray, sec
     return np.where(~may & (trust < new) & (trust < edit.weight), new, trust), raised
 
 
-def _moved_trust(old: np.ndarray, edit: _Edit, rule: Trust, was_live: bool, at_start: bool, at_end: bool) -> np.ndarray:
+def _moved_trust(old: np.ndarray, edit: Edit, rule: Trust, was_live: bool, at_start: bool, at_end: bool) -> np.ndarray:
     """Close to a cut a word's trust goes towards what its author lends; then reading raises what is below the author's weight."""
     n = len(old)
     far = np.full(n, np.inf)
@@ -147,8 +177,8 @@ def _moved_trust(old: np.ndarray, edit: _Edit, rule: Trust, was_live: bool, at_s
     return np.where(edit.weight > trust, trust + (edit.weight - trust) * edit.reads, trust)
 
 
-def _next(blocks: list[_Block], words: list, section: np.ndarray, edit: _Edit, rule: Trust) -> tuple[list[_Block], int, int]:
-    """The blocks after a revision, and how many words are new and came back."""
+def _followed(blocks: list[_Block], words: list, section: np.ndarray, edit: Edit, at: tuple[int, float], rule: Trust) -> tuple[_Block, list[_Block], int, int]:
+    """The live text after a revision, the deleted blocks, and how many words are new and came back."""
     texts, moves = tracked([b.words for b in blocks], words)
     n, n_old = len(words), len(blocks[0].words)
     live = _Block(list(words), np.full(n, edit.revision), np.full(n, edit.author), np.zeros(n, np.int64), np.full(n, edit.weight * rule.lends), np.zeros(n, np.int64))
@@ -168,7 +198,7 @@ def _next(blocks: list[_Block], words: list, section: np.ndarray, edit: _Edit, r
             dead[d] = source
             if c == 0:
                 source.trust = source.trust * math.exp(-edit.weight * rule.kills)
-                source.since = edit.at
+                source.since = at
     if rule.kind != "classic" and n:
         numbers = np.array([author_number(edit.author, w) for w in words]) if rule.kind == "signed" else np.zeros(n, np.int64)
         may = inserted | ((edit.author != 0) & ~_signed_by(live.signature, numbers)) if rule.kind == "signed" else np.ones(n, bool)
@@ -176,35 +206,145 @@ def _next(blocks: list[_Block], words: list, section: np.ndarray, edit: _Edit, r
         if rule.kind == "signed" and edit.author:
             add = raised & ~_signed_by(live.signature, numbers)
             live.signature = np.where(add, numbers | (live.signature & 0xFFFFF) << 10, live.signature)
-    kept, room = [live], rule.dead_words
-    for d in range(1, len(texts)):
-        young = edit.at[0] - dead[d].since[0] < rule.dead_revisions or edit.at[1] - dead[d].since[1] < rule.dead_days * 86400
+    return live, [dead[d] for d in range(1, len(texts))], sum(m[5] for m in moves if m[0] == "ins"), back
+
+
+def _young(dead: list[_Block], at: tuple[int, float], rule: Trust) -> list[_Block]:
+    """The deleted blocks that are kept, cut where the page's room for them ends."""
+    kept, room = [], rule.dead_words
+    for block in dead:
+        young = at[0] - block.since[0] < rule.dead_revisions or at[1] - block.since[1] < rule.dead_days * 86400
         if young and room > 0:
-            kept.append(dead[d].cut(0, room))
+            kept.append(block.cut(0, room))
             room -= len(kept[-1].words)
-    return kept, sum(m[5] for m in moves if m[0] == "ins"), back
+    return kept
 
 
-def _fold(batches: Iterator[pd.DataFrame], rule: Trust) -> Iterator[pd.DataFrame]:
-    page, blocks, section, count = None, [], np.zeros(0, np.int64), 0
+def _empty() -> _Block:
     none = np.zeros(0, np.int64)
-    for pdf in batches:
-        out = []
-        for p, revision, author, ts, weight, words, sections, vote, reads, looks in zip(*(pdf[c] for c in ("page", "revision", "author", "ts", "weight", "words", "sections", "vote", "reads", "looks")), strict=True):
-            if p != page or not blocks:
-                page, blocks, count = p, [_Block([], none, none, none, np.zeros(0), none)], 0
-            if vote:
-                words = blocks[0].words
+    return _Block([], none, none, none, np.zeros(0), none)
+
+
+class Page:
+    """What is kept of a page between its revisions: the recent ones, the last first, its deleted blocks and their number so far."""
+
+    def __init__(self, rule: Trust):
+        self.rule, self.count = rule, 0
+        self.recent: list[Told] = []
+        self.dead: list[_Block] = []
+        self.section = np.zeros(0, np.int64)
+
+    def take(self, edit: Edit, words: list, section: np.ndarray, text: str | None = None) -> list[Told]:
+        """The rows that a revision or vote settles."""
+        rule, at = self.rule, (self.count, edit.micros / 1e6)
+        live = self.recent[0].block if self.recent else _empty()
+        if edit.vote:
+            block, _, _, _ = _followed([live], live.words, self.section, edit, at, rule)
+            if self.recent:
+                self.recent[0] = replace(self.recent[0], block=block)
+            return [Told(edit.revision, edit.author, edit.micros, 0, 0, block, self.recent[0].text if self.recent else None)]
+        self.section = section
+        block, dead, new, back = _followed([live, *self.dead], words, section, edit, at, rule)
+        compared = self.recent[: rule.recents] if rule.recents > 1 else []
+        lists = [edit_list(told.block.words, words) for told in compared]
+        far = [edit_distance(edits, max(len(told.block.words), len(words))) for told, edits in zip(compared, lists, strict=True)]
+        if far and min(far) < far[0]:
+            closest = far.index(min(far))  # the later of equals
+            other, _, _, _ = _followed([compared[closest].block, live, *self.dead], words, section, edit, at, rule)
+            more = other.trust > block.trust
+            block = _Block(block.words, other.origin, other.writer, other.lived, np.where(more, other.trust, block.trust), np.where(more, other.signature, block.signature))
+        self.dead = _young(dead, at, rule)
+        self.count += 1
+        if rule.percolates and not edit.robot:
+            for told, edits in zip(compared, lists, strict=True):
+                told.block = _percolated(told.block, block, edits)
+        row = Told(edit.revision, edit.author, edit.micros, new, back, block, text)
+        self.recent.insert(0, row)
+        settled = self.recent[max(rule.recents, 1) :]
+        del self.recent[max(rule.recents, 1) :]
+        return settled if rule.percolates else [row]
+
+    def stored(self) -> pa.Table:
+        """The page as a table, a row for each recent revision and each deleted block."""
+        told = [*self.recent, *[Told(0, 0, 0, 0, 0, b) for b in self.dead]]
+        fields = {"dead": [False] * len(self.recent) + [True] * len(self.dead), **{c: [getattr(t, c) for t in told] for c in ("revision", "author", "micros", "new", "back", "text")}}
+        fields |= {"since_count": [t.block.since[0] for t in told], "since_seconds": [float(t.block.since[1]) for t in told]}
+        fields |= {c: [getattr(t.block, c) for t in told] for c in ("words", "origin", "writer", "lived", "trust", "signature")}
+        fields["section"] = [self.section if k == 0 else None for k in range(len(told))]
+        return pa.Table.from_pydict(fields, _STORED.with_metadata({"count": str(self.count)}))
+
+    @classmethod
+    def restored(cls, rule: Trust, table: pa.Table) -> Page:
+        page = cls(rule)
+        page.count = int(table.schema.metadata[b"count"])
+        for row in table.to_pylist():
+            arrays = [np.array(row[c], float if c == "trust" else np.int64) for c in ("origin", "writer", "lived", "trust", "signature")]
+            block = _Block(row["words"], *arrays, (row["since_count"], row["since_seconds"]))
+            if row["dead"]:
+                page.dead.append(block)
             else:
-                words = list(words) if words is not None else []
-                section = np.asarray(sections, np.int64) if sections is not None and len(sections) == len(words) else np.zeros(len(words), np.int64)
-            edit = _Edit(int(revision), int(author), float(weight), (count, ts.timestamp()), float(reads), 0.0 if vote else float(looks))
-            blocks, new, back = _next(blocks, words, section, edit, rule)
-            count += 1
-            b = blocks[0]
-            out.append((p, revision, author, ts, new, back, b.words, b.origin, b.writer, b.lived, b.trust, b.signature))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+                page.recent.append(Told(*[row[c] for c in ("revision", "author", "micros", "new", "back")], block, row["text"]))
+            if row["section"] is not None:
+                page.section = np.array(row["section"], np.int64)
+        return page
+
+    def rest(self) -> list[Told]:
+        """The rows that no further revision will settle, the earliest first."""
+        return self.recent[::-1] if self.rule.percolates else []
+
+
+_NUMBERS = pa.list_(pa.int64())
+_STORED = pa.schema(
+    [("dead", pa.bool_()), *[(c, pa.int64()) for c in ("revision", "author", "micros", "new", "back")], ("text", pa.string()), ("since_count", pa.int64()), ("since_seconds", pa.float64())]
+    + [("words", pa.list_(pa.string())), ("origin", _NUMBERS), ("writer", _NUMBERS), ("lived", _NUMBERS), ("trust", pa.list_(pa.float64())), ("signature", _NUMBERS), ("section", _NUMBERS)]
+)
+
+
+def _percolated(older: _Block, newer: _Block, edits: list) -> _Block:
+    """The older text, with its words trusted at least as what became of them."""
+    trust = older.trust.copy()
+    for kind, i, j, l in edits:
+        if kind == "mov":
+            trust[i : i + l] = np.maximum(trust[i : i + l], newer.trust[j : j + l])
+    return replace(older, trust=trust)
+
+
+def told_columns(rows: list[Told]) -> dict[str, list]:
+    blocks = [r.block for r in rows]
+    head = {"revision": [r.revision for r in rows], "author": [r.author for r in rows], "ts": pd.to_datetime([r.micros for r in rows], unit="us"), "n_new": [r.new for r in rows], "n_back": [r.back for r in rows]}
+    return {**head, **{c: [getattr(b, c) for b in blocks] for c in ("words", "origin", "writer", "lived", "trust", "signature")}}
+
+
+_GIVEN = ("page", "revision", "author", "ts", "weight", "words", "sections", "vote", "robot", "reads", "looks", "text")
+
+
+def _fold(batches: Iterator[pd.DataFrame], rule: Trust) -> Iterator[pd.DataFrame]:
+    name, page = None, None
+    ready: list[tuple] = []  # (page's key, row)
+    waiting = 0
+
+    def frame() -> pd.DataFrame:
+        columns = told_columns([r for _, r in ready])
+        return pd.DataFrame({"page": [p for p, _ in ready], **columns, "text": [r.text for _, r in ready]})
+
+    for pdf in batches:
+        for p, revision, author, ts, weight, words, sections, vote, robot, reads, looks, text in zip(*(pdf[c] for c in _GIVEN), strict=True):
+            if page is None or p != name:
+                ready += [(name, r) for r in page.rest()] if page is not None else []
+                name, page = p, Page(rule)
+            words = list(words) if words is not None else []
+            section = np.asarray(sections, np.int64) if sections is not None and len(sections) == len(words) else np.zeros(len(words), np.int64)
+            edit = Edit(int(revision), int(author), float(weight), ts.value // 1000, float(reads), 0.0 if vote else float(looks), bool(vote), bool(robot))
+            settled = page.take(edit, words, section, text)
+            ready += [(name, r) for r in settled]
+            waiting += sum(len(r.block.words) for r in settled)
+            if waiting > FRAME_WORDS or len(ready) > FRAME_WORDS // 10:
+                yield frame()
+                ready, waiting = [], 0
+    if page is not None:
+        ready += [(name, r) for r in page.rest()]
+    if ready:
+        yield frame()
 
 
 def track_words(revs: DataFrame, order: list[str], rule: Trust = Trust()) -> DataFrame:
@@ -213,17 +353,19 @@ def track_words(revs: DataFrame, order: list[str], rule: Trust = Trust()) -> Dat
     ``revs`` has page, revision, author (0: anonymous), ts, weight (of the
     author's reputation) and words; a null list is an empty text.  It may have sections
     (a number for each word), reads and looks (instead of the rule's, as
-    ``functions.text.read_share`` gives them) and vote: a row that votes for the page's text as it is has no words of its own.
+    ``functions.text.read_share`` gives them), vote: a row that votes for the page's text as it is has no words of its own,
+    robot: a revision whose trust does not percolate, and text, which is handed on.
     """
     given = lambda c, of, other: (F.coalesce(F.col(c).cast(of), F.lit(other)) if c in revs.columns else F.lit(other).cast(of)).alias(c)
     rows = revs.select(
         "page", F.col("revision").cast("long").alias("revision"), F.coalesce("author", F.lit(0)).cast("long").alias("author"), "ts", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"), "words",
-        (F.col("sections") if "sections" in revs.columns else F.lit(None)).cast("array<int>").alias("sections"), given("vote", "boolean", False), given("reads", "double", rule.reads), given("looks", "double", rule.looks),
+        (F.col("sections") if "sections" in revs.columns else F.lit(None)).cast("array<int>").alias("sections"), given("vote", "boolean", False), given("robot", "boolean", False), given("reads", "double", rule.reads), given("looks", "double", rule.looks), given("text", "string", None),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     )
     keys = [f"_o{i}" for i in range(len(order))]
     dealt = rows.repartition("page").sortWithinPartitions("page", *keys).drop(*keys)
-    return dealt.mapInPandas(lambda it: _fold(it, rule), _OUT.format(page=dict(rows.dtypes)["page"]))
+    told = dealt.mapInPandas(lambda it: _fold(it, rule), _OUT.format(page=dict(rows.dtypes)["page"]) + ", text string")
+    return told if "text" in revs.columns else told.drop("text")
 
 
 def words_by_author(told: DataFrame) -> DataFrame:

@@ -74,12 +74,14 @@ def move_cost(spark, sf_dir):
 
 
 @query("""
-SELECT pair, arg_min(middle, (open, middle)) AS middle, min(open) AS open FROM (
-  SELECT l_orderkey AS pair, l_linenumber AS middle, trunc(l_quantity)::INT + l_linenumber AS open FROM lineitem) WHERE open <= 100 AND open <= 0.2 * 200 GROUP BY pair""")
+WITH t AS (
+  SELECT l_orderkey AS pair, l_linenumber AS middle, l_linenumber * 7 AS a, trunc(l_quantity)::INT AS b, l_linenumber * 7 + l_partkey % 90 AS na, trunc(l_quantity)::INT + l_suppkey % 400 AS nb FROM lineitem),
+c AS (SELECT pair, middle, CASE WHEN a < b THEN a ELSE b END AS open, (a + 1)::DOUBLE / (na + 1) AS share_a, (b + 1)::DOUBLE / (nb + 1) AS share_b FROM t)
+SELECT pair, middle, open FROM c WHERE open <= 100 AND (share_a <= 0.2 OR share_b <= 0.2) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY open, middle DESC) = 1""")
 def best_intermediary(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    rows = lines.select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("middle"), F.col("l_quantity").cast("int").alias("left"), F.col("l_linenumber").alias("right"), F.lit(100).alias("n_left"), F.lit(100).alias("n_right"))
-    return X.best_intermediary(rows)
+    a, b = F.col("l_linenumber") * 7, F.col("l_quantity").cast("int")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("middle"), a.alias("left"), b.alias("right"), (a + F.col("l_partkey") % 90).alias("n_left"), (b + F.col("l_suppkey") % 400).alias("n_right"))
+    return X.best_intermediary(lines)
 
 
 @query("""
@@ -89,8 +91,9 @@ SELECT doc_id, count(*) AS n_pairs, max(n) AS most_places, sum(first_at)::BIGINT
       SELECT doc_id, list_filter(string_split_regex(text, '[,;.: \\n\\t]+'), lambda x: x <> '') AS w FROM documents))) GROUP BY ALL) GROUP BY doc_id""")
 def bigram_index(spark, sf_dir):
     words = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("key"), T.plain_words(F.col("text")).alias("words"))
-    found = X.adjacent_words(words)
-    return found.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_pairs"), F.max(F.size("places")).cast("long").alias("most_places"), F.sum(F.col("places")[0]).cast("long").alias("first_places"))
+    pairs = words.where("size(words) > 1").select("key", X.adjacent_words("words").alias("pairs"))
+    sums = F.aggregate("pairs", F.lit(0).cast("long"), lambda total, p: total + p["places"][0])
+    return pairs.select(F.col("key").alias("doc_id"), F.size("pairs").cast("long").alias("n_pairs"), F.array_max(F.transform("pairs", lambda p: F.size(p["places"]))).cast("long").alias("most_places"), sums.alias("first_places"))
 
 
 @query("""

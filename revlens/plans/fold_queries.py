@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..functions import text as T
 from ..operators import diff, judgement, tracking
 from ..operators import reputation as R
 from ..operators import stats as S
@@ -169,6 +170,26 @@ SELECT page, event, place, lag(event) OVER w AS previous, kind FROM (
 WINDOW w AS (PARTITION BY page ORDER BY place)""")
 def online_page_feed(spark, sf_dir):
     """The feed as a stream over files of the table, until the watermark at its end; what it wrote."""
+
+    def fed(rows):
+        return P.page_feed(rows.select(F.col("event_type").alias("page"), F.col("event_id").alias("event"), "ts", (F.col("event_id") % 2).alias("kind"), F.col("user_id").alias("author")))
+
+    return _streamed(spark, table(spark, sf_dir, "events"), fed).select("page", "event", "place", "previous", "kind")
+
+
+@query(None)
+def online_page_trust(spark, sf_dir):
+    """Conversations as a stream of revisions, every fifth a vote; sums of what the page update wrote."""
+    c = table(spark, sf_dir, "conversations")
+    revs = _revisions(spark, sf_dir).select(F.col("page").cast("string").alias("page"), F.col("revision").alias("event"), "ts", F.when(F.col("revision") % 5 == 4, 1).otherwise(0).alias("kind"), "author", "weight", "words")
+    # a last event moves the watermark beyond all others
+    last = c.limit(1).select(F.lit("-").alias("page"), F.lit(0).cast("long").alias("event"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.lit(0).alias("kind"), F.lit(0).alias("author"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("words"))
+    told = _streamed(spark, revs.unionByName(last), lambda rows: P.page_trust(rows, tracking.Trust(kind="signed", recents=4)))
+    return told.select(F.col("page").cast("long").alias("page"), "revision", F.size("words").alias("n_words"), F.round(F.aggregate("trust", F.lit(0.0), lambda a, x: a + x), 6).alias("trust"))
+
+
+def _streamed(spark, rows: DataFrame, step) -> DataFrame:
+    """What ``step`` makes of ``rows`` as a stream of files, run until no more is due."""
     import uuid
 
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
@@ -176,15 +197,28 @@ def online_page_feed(spark, sf_dir):
     before = spark.conf.get(provider)
     spark.conf.set(provider, P.ROCKSDB)
     try:
-        whole = table(spark, sf_dir, "events")
-        whole.write.parquet(f"{folder}/in")
-        rows = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
-        feed = rows.select(F.col("event_type").alias("page"), F.col("event_id").alias("event"), "ts", (F.col("event_id") % 2).alias("kind"), F.col("user_id").alias("author"))
-        out = P.page_feed(feed).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        rows.write.parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        out = step(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         out.awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(f"{folder}/out").select("page", "event", "place", "previous", "kind")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(None)
+def revert_aware_trust(spark, sf_dir):
+    """Words of a text that was taken back have the origin and at least the trust that they had there."""
+    told = tracking.track_words(_revisions(spark, sf_dir), ORDER, tracking.Trust(kind="signed", recents=4))
+    sums = [F.round(F.aggregate("trust", F.lit(0.0), lambda a, x: a + x), 6).alias("trust"), F.aggregate("origin", F.lit(0).cast("long"), lambda a, x: a + x).alias("origins")]
+    return told.select("page", "revision", "n_new", F.size("words").alias("n_words"), *sums)
+
+
+@query(None)
+def percolated_histograms(spark, sf_dir):
+    """Words by trust of every revision, once later revisions of its page have raised it."""
+    told = tracking.track_words(_revisions(spark, sf_dir), ORDER, tracking.Trust(kind="signed", recents=4, percolates=True))
+    return told.select("page", "revision", T.trust_histogram(F.col("trust")).alias("h")).select("page", "revision", *[F.col("h")[i].alias(f"h{i}") for i in range(10)])
 
 
 @query("""

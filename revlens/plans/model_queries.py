@@ -54,9 +54,13 @@ def _features(spark, sf_dir):
 _SHOWN = ["avg_quality", "logtime_next", "logtime_prev", "hour_of_day", "risk", "max_dissent", "max_revert", "reputation", "l_delta_hist0", "l_delta_hist9", "p_prev_hist5", "length", "prev_length"]
 
 
-@query(f"SELECT revision, {', '.join(f'round({c}, 6) AS {c}' for c in _SHOWN)}, anon, prev_same_author, next_same_author FROM ({_FEATURES})")
+#: A risk is a quotient of tenths and small lengths: it has ties at six digits, none at ten.
+_DIGITS = {c: 10 if c == "risk" else 6 for c in _SHOWN}
+
+
+@query(f"SELECT revision, {', '.join(f'round({c}, {n}) AS {c}' for c, n in _DIGITS.items())}, anon, prev_same_author, next_same_author FROM ({_FEATURES})")
 def all_revision_features(spark, sf_dir):
-    return _features(spark, sf_dir).select("revision", *[F.round(c, 6).alias(c) for c in _SHOWN], "anon", "prev_same_author", "next_same_author")
+    return _features(spark, sf_dir).select("revision", *[F.round(c, n).alias(c) for c, n in _DIGITS.items()], "anon", "prev_same_author", "next_same_author")
 
 
 _VANDALISM = """0.134 + CASE WHEN min_quality < -0.662 THEN 0.891 + CASE WHEN l_delta_hist0 < 0.347 THEN -0.974 ELSE 0.151 END + CASE WHEN avg_quality < -0.117 THEN -0.002 ELSE -0.695 END ELSE -1.203 END

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import history as H
+from ..operators import judgement as J
 from ..operators import reputation as R
 from ..operators import stats as S
 from ..sources import dumps as D
@@ -329,10 +330,11 @@ def trust_css_class(spark, sf_dir):
 
 @_query("""
 SELECT doc_id, rev_id, text FROM (
-  SELECT doc_id, unnest([1, 2]) AS rev_id, unnest([substr(text, 1, 40), substr(text, 41, 60)]) AS text FROM documents WHERE text IS NOT NULL)""")
+  SELECT doc_id, unnest([1, 2]) AS rev_id, unnest([substr(text, 1, length(text) // 3), substr(text, length(text) // 3 + 1)]) AS text FROM documents WHERE text IS NOT NULL)""")
 def blob_round_trip(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where("text is not null")
-    parts = F.array(F.struct(F.lit(1).alias("r"), F.substring("text", 1, 40).alias("t")), F.struct(F.lit(2).alias("r"), F.substring("text", 41, 60).alias("t")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = F.array(F.struct(F.lit(1).alias("r"), F.substring("text", F.lit(1), third).alias("t")), F.struct(F.lit(2).alias("r"), F.substring("text", third + 1, F.length("text")).alias("t")))
     revs = docs.select("doc_id", F.inline(parts))
     return L.revisions_of_blob(L.blob_of_revisions(revs, "doc_id", "r", "t"), "doc_id", "blob")
 
@@ -437,11 +439,21 @@ def work_histogram(spark, sf_dir):
     return R.work_histogram(_table(spark, sf_dir, "lineitem"), F.ln(1.2 + F.col("l_quantity")), F.col("l_extendedprice")).select("slot", F.round("work", 4).alias("work"))
 
 
-@_query("""
+_JUDGED_LINES = """
+SELECT l_orderkey, l_extendedprice % 40 AS d01, l_quantity AS d02, (l_partkey % 60)::DOUBLE AS d12, (l_linenumber % 6)::BIGINT AS n01, (l_suppkey % 6)::BIGINT AS n12, (l_partkey % 90000)::DOUBLE AS t01, (l_suppkey * 997 % 120000)::DOUBLE AS t12,
+  (l_partkey % 7)::DOUBLE AS rep0, (l_suppkey % 5)::DOUBLE AS rep1, (l_linenumber % 7)::DOUBLE AS rep2 FROM lineitem"""
+
+
+@_query(f"""
 SELECT count(*) AS n_revisions, count(*) FILTER (nixed) AS n_nixed, round(count(*) FILTER (nixed) / count(*), 8) AS ratio FROM (
-  SELECT l_orderkey, bool_or(l_discount < 0.02 AND l_quantity < 5) AS nixed FROM lineitem GROUP BY l_orderkey)""")
+  SELECT l_orderkey, bool_or((CASE WHEN d01 > 0 THEN d02 < d12 ELSE false END AND t12 <= 86400 AND rep2 > rep1 AND rep0 > rep1) OR (n01 + n12 >= 10 AND t01 + t12 <= 86400)) AS nixed FROM ({_JUDGED_LINES}) GROUP BY l_orderkey)""")
 def nixed_ratio(spark, sf_dir):
-    n = R.nixed_ratio(_table(spark, sf_dir, "lineitem"), "l_orderkey", (F.col("l_discount") < 0.02) & (F.col("l_quantity") < 5))
+    as_double = lambda c: c.cast("double")
+    lines = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", as_double(F.col("l_extendedprice") % 40).alias("d01"), as_double(F.col("l_quantity")).alias("d02"), as_double(F.col("l_partkey") % 60).alias("d12"), (F.col("l_linenumber") % 6).alias("n01"), (F.col("l_suppkey") % 6).alias("n12"),
+        as_double(F.col("l_partkey") % 90000).alias("t01"), as_double(F.col("l_suppkey") * 997 % 120000).alias("t12"), as_double(F.col("l_partkey") % 7).alias("rep0"), as_double(F.col("l_suppkey") % 5).alias("rep1"), as_double(F.col("l_linenumber") % 7).alias("rep2"),
+    )
+    n = R.nixed_ratio(lines, "l_orderkey", J.nixes(J.Rules()))
     return n.select("n_revisions", "n_nixed", F.round("ratio", 8).alias("ratio"))
 
 

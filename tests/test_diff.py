@@ -1,7 +1,10 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from revlens.operators.diff import edit_distance, edit_list, edit_lists, tracked, words_of
+from revlens.functions import markup
 from revlens.operators import diff
 
 
@@ -59,3 +62,41 @@ def test_pairs_in_horizon(spark):
     pairs = diff.pairs_in_horizon(revs, "page", ["revision"], "words", 2)
     got = {(r["left"], r["right"]): r["distance"] for r in edit_lists(pairs, "left_words", "right_words").collect()}
     assert got == {(1, 2): 1, (1, 3): 2, (2, 3): 1, (2, 4): 2, (3, 4): 1}
+
+
+# Texts and the published distances between each two of them, over the shorter text.
+GOLDEN_TEXTS = [
+    "Il bene comune coincide col bene individuale.",
+    "Il bene comune non coincide col bene individuale.",
+    "Nella maggior parte dei casi, il bene comune non coincide con il bene individuale.",
+    "In molti casi, il bene comune non coincide completamente con quello individuale, a causa dell'egoismo delle persone.",
+    "In molti casi, il bene comune non coincide con quello individuale.  Questo e' causato dall'egoismo delle persone, che cercano di massimizzare il loro bene individuale, invece di quello comune.",
+    "In generale, il bene comune non coincide con quello individuale.  La causa e' l'egoismo delle persone, che cercano di massimizzare il loro bene individuale, invece di quello comune.",
+    "In generale, il bene comune non coincide con quello individuale, dato che le persone non badano a quello comune.",
+    "Volete comperare Viagra? Molto buono dato che le persone non badano a quello comune.",
+]
+GOLDEN = [[], [1], [8.2, 6.6], [12.4, 10.8, 10.6], [23.2, 21.6, 20.8, 15.8], [22.2, 20.6, 21.8, 17.4, 4], [14.4, 12.8, 14, 9.6, 14.8, 13.2], [11.2, 10.8, 8.4, 11.4, 22.2, 21.2, 8]]
+
+
+def test_golden_distances(spark):
+    texts = spark.createDataFrame(list(enumerate(GOLDEN_TEXTS)), "n int, text string").select("n", markup.words_only(markup.wiki_words("text")).alias("words"))
+    words = {r["n"]: r["words"] for r in texts.collect()}
+    for right, row in enumerate(GOLDEN):
+        for left, distance in enumerate(row):
+            assert math.isclose(edit_distance(edit_list(words[left], words[right]), min(len(words[left]), len(words[right]))), distance)
+
+
+def test_crossing_moves_count_by_the_longer_text(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e f", "d e f a b c x")], "pair int, l string, r string").select("pair", F.split("l", " ").alias("l"), F.split("r", " ").alias("r"))
+    (row,) = edit_lists(pairs, "l", "r").collect()
+    # one word more, and 3 * 3 over the seven words of the longer text
+    assert math.isclose(row["distance"], 1 + 9 / 7)
+
+
+def test_spans_that_touch_cost_together():
+    # a deletion before a move and an insertion before the same move; one behind it does not touch them
+    assert edit_distance([("del", 0, None, 2), ("ins", None, 0, 3), ("mov", 2, 3, 9), ("ins", None, 12, 4)], 20) == 3 - 0.4 * 2 + 4
+    # across the ends of a move, as the published examples have it
+    assert math.isclose(edit_distance([("mov", 0, 0, 2), ("mov", 6, 4, 3), ("del", 2, None, 4), ("ins", None, 2, 2)], 20), 3.2)
+    assert edit_distance([("del", 0, None, 2), ("mov", 2, 0, 3), ("ins", None, 3, 3)], 20) == 5
+    assert edit_distance([], 0) == 0

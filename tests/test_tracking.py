@@ -1,9 +1,13 @@
 import math
+import random
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from revlens.operators import tracking
-from revlens.operators.edits import side  # noqa: F401
+from revlens.operators.diff import edit_distance, edit_list
 
 TEXTS = ["one two three four five six", "one two three new word four five six", "six five four", "one two three four five six"]
 
@@ -83,3 +87,91 @@ def test_trust_falls_at_cuts_for_every_author(spark):
     assert after[4] == 0 and all(x <= y for x, y in zip(kept, before)) and kept[3] == 0 and kept[4] == 0
     # the farther from the cut, the less
     assert kept[0] > kept[1] > kept[2] > kept[3] and math.isclose(kept[2], before[2] * (1 - math.exp(-1 / 2)))
+
+
+def page_of_reverts(n, seed):
+    """Revisions of one page: small edits, copies of earlier texts, cuts and votes."""
+    r = random.Random(seed)
+    texts, rows = [["w%d" % r.randint(0, 60) for _ in range(30)]], []
+    for k in range(n):
+        words = list(texts[-1])
+        act = r.random()
+        if act < 0.25 and len(texts) > 2:
+            words = list(texts[-r.randint(2, min(5, len(texts)))])
+        elif act < 0.4 and len(words) > 12:
+            a = r.randint(0, len(words) - 8)
+            del words[a : a + 7]
+        else:
+            words[r.randint(0, len(words)) : 0] = ["w%d" % r.randint(0, 60) for _ in range(r.randint(1, 6))]
+        vote = r.random() < 0.1 and k > 0
+        rows.append(("p", k, r.randint(0, 4), k * 3600, r.choice([0.5, 2.0, 5.0]), None if vote else " ".join(words), vote, r.random() < 0.2))
+        if not vote:
+            texts.append(words)
+    return rows
+
+
+def frame_of(spark, rows):
+    revs = spark.createDataFrame(rows, "page string, revision long, author long, s long, weight double, text string, vote boolean, robot boolean")
+    return revs.select("page", "revision", "author", F.timestamp_seconds("s").alias("ts"), "weight", F.split("text", " ").alias("words"), "vote", "robot")
+
+
+def test_a_text_taken_back_has_the_words_of_the_one_it_repeats(spark):
+    one = "a b c d e f g h i j k l".split()
+    two = "x1 x2 x3 x4 x5 x6".split()
+    rows = [("p", 0, 1, 0, 5.0, " ".join(one), False, False), ("p", 1, 2, 10, 0.1, " ".join(one[:2] + two), False, False), ("p", 2, 3, 20, 1.0, " ".join(one), False, False)]
+    plain, aware = (tracking.track_words(frame_of(spark, rows), ["revision"], tracking.Trust(kind="signed", recents=k)).orderBy("revision").collect() for k in (1, 4))
+    assert aware[2]["origin"] == [0] * 12 and aware[2]["writer"] == [1] * 12
+    # every word is trusted at least as the plain comparison has it, and keeps the signature of the greater
+    assert all(a >= b for a, b in zip(aware[2]["trust"], plain[2]["trust"])) and aware[2]["trust"] != plain[2]["trust"]
+    assert [r["trust"] for r in aware[:2]] == [r["trust"] for r in plain[:2]]
+
+
+def looped(rows, rule):
+    """The fold over one page again, from its definition: whole lists of all texts, one row after the other."""
+    history, dead, out, count = [], [], [], 0
+    for _, k, author, s, weight, text, vote, robot in rows:
+        words = history[-1]["block"].words if vote else text.split()
+        edit = tracking.Edit(k, author, weight, s * 10**6, rule.reads, 0.0 if vote else rule.looks)
+        section = np.zeros(len(words), np.int64)
+        live = history[-1]["block"] if history else tracking._empty()
+        if vote:
+            new = tracking._followed([live], words, section, edit, (count, s), rule)[0]
+            history[-1]["block"] = new
+            out.append((k, list(new.trust), list(new.origin), list(new.signature)))
+            continue
+        new, gone, _, _ = tracking._followed([live, *dead], words, section, edit, (count, s), rule)
+        near = history[::-1][: rule.recents]
+        d = [edit_distance(edit_list(h["block"].words, words), max(len(words), len(h["block"].words))) for h in near]
+        best = min(range(len(d)), key=lambda i: (d[i], i), default=0)
+        if d and d[best] < d[0]:
+            other = tracking._followed([near[best]["block"], live, *dead], words, section, edit, (count, s), rule)[0]
+            new.origin, new.writer = other.origin, other.writer
+            for i in range(len(words)):
+                if other.trust[i] > new.trust[i]:
+                    new.trust[i], new.signature[i] = other.trust[i], other.signature[i]
+        dead = tracking._young(gone, (count, s), rule)
+        if rule.percolates and not robot:
+            for h in near:
+                for kind, i, j, l in edit_list(h["block"].words, words):
+                    for x in range(l if kind == "mov" else 0):
+                        h["block"].trust[i + x] = max(h["block"].trust[i + x], new.trust[j + x])
+        count += 1
+        history.append({"k": k, "block": new})
+        if not rule.percolates:
+            out.append((k, list(new.trust), list(new.origin), list(new.signature)))
+    if rule.percolates:
+        out += [(h["k"], list(h["block"].trust), list(h["block"].origin), list(h["block"].signature)) for h in history]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rule", [tracking.Trust(kind="signed", recents=5), tracking.Trust(kind="signed", recents=5, percolates=True), tracking.Trust.batch(kind="sections", recents=3), tracking.Trust(recents=4, percolates=True)])
+def test_reverts_votes_and_percolation_equal_a_plain_loop(spark, rule):
+    rows = page_of_reverts(40, 7)
+    got = tracking.track_words(frame_of(spark, rows), ["revision"], rule).collect()
+    assert sorted((r["revision"], r["trust"], r["origin"], r["signature"]) for r in got) == looped(rows, rule)
+
+
+def test_a_long_page_goes_out_in_bounded_frames(spark):
+    rows = [("p", k, 1, k, 1.0, " ".join(f"w{(k + i) % 500}" for i in range(300)), False, False) for k in range(1000)]
+    frames = list(tracking._fold(iter([frame_of(spark, rows).withColumn("sections", F.lit(None)).withColumn("reads", F.lit(0.1)).withColumn("looks", F.lit(0.1)).withColumn("text", F.lit(None).cast("string")).orderBy("revision").toPandas()]), tracking.Trust()))
+    assert sum(map(len, frames)) == 1000 and max(map(len, frames)) <= tracking.FRAME_WORDS // 300 + 1
