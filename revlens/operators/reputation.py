@@ -34,6 +34,19 @@ def high_median(histogram: DataFrame, share: float) -> DataFrame:
     return first.select((F.col("bin") + F.try_divide(goal - (F.col("upto") - F.col("weight")), F.col("weight"))).alias("median"))
 
 
+def high_median_of(histogram: Column, share: float) -> Column:
+    """``high_median`` of an array of weights by bin; 0 where there is no weight."""
+    goal = F.aggregate(histogram, F.lit(0.0), lambda s, x: s + x) * share
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(0.0).alias("median"))
+
+    def step(state: Column, x: Column) -> Column:
+        left = goal - state["upto"]
+        part = F.when(left <= 0, 0.0).when(x >= left, F.try_divide(left, x)).otherwise(1.0)
+        return F.struct((state["upto"] + x).alias("upto"), (state["median"] + part).alias("median"))
+
+    return F.aggregate(histogram, start, step)["median"]
+
+
 def specific_quality(d01: Column, d02: Column, d12: Column) -> Column:
     """min(1, (d02 - d12) / d01); an edit that changed nothing is good."""
     return F.coalesce(F.least(F.lit(1.0), F.try_divide(d02 - d12, d01)), F.lit(1.0))

@@ -381,18 +381,6 @@ def contribution(told: DataFrame, order: list[str], end) -> DataFrame:
     return shown.groupBy("author").agg(F.sum("days").alias("word_days"))
 
 
-def text_lives(told: DataFrame, horizon: int, order: list[str]) -> DataFrame:
-    """For each revision its new words, and how many of them the next ``horizon`` revisions show: (page, revision, new_text, n_judges, text_life)."""
-    w = Window.partitionBy("page").orderBy(*order)
-    numbered = told.withColumn("n", F.row_number().over(w)).withColumn("last", F.count("*").over(Window.partitionBy("page")))
-    numbers = numbered.select("page", F.col("revision").alias("origin"), F.col("n").alias("born"))
-    seen = numbered.select("page", "n", F.explode("origin").alias("origin")).groupBy("page", "n", "origin").agg(F.count("*").alias("words"))
-    later = seen.join(numbers, ["page", "origin"]).where((F.col("n") > F.col("born")) & (F.col("n") <= F.col("born") + horizon))
-    lives = later.groupBy("page", F.col("origin").alias("revision")).agg(F.sum("words").alias("text_life"))
-    rows = numbered.select("page", "revision", F.col("n_new").alias("new_text"), F.least(F.lit(horizon), F.col("last") - F.col("n")).alias("n_judges"))
-    return rows.join(lives, ["page", "revision"], "left").withColumn("text_life", F.coalesce("text_life", F.lit(0)))
-
-
 def coloured(told: DataFrame) -> DataFrame:
     """(page, revision, text): the words, with a mark ``{{#t:trust,origin,author}}`` wherever one of the three changes."""
     one = F.arrays_zip("words", "shown", "origin", "writer")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as T
-from ..operators import diff, judgement, tracking
+from ..operators import diff, history, judgement, tracking
 from ..operators import reputation as R
 from ..operators import stats as S
 from ..sources import api
+from ..sources.tables import in_order
 from ..streaming import pages as P
 from .registry import query, table
 
@@ -37,7 +38,11 @@ def _turns():
 
 
 def _distances(revs: DataFrame) -> DataFrame:
-    pairs = diff.edit_lists(diff.pairs_in_horizon(revs, "page", ORDER, "words", 2 * HORIZON), "left_words", "right_words")
+    return _named(revs, diff.edit_lists(diff.pairs_in_horizon(revs, "page", ORDER, "words", 2 * HORIZON), "left_words", "right_words"))
+
+
+def _named(revs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(page, a, b, distance) of pairs of places."""
     numbers = revs.select("page", "revision", F.row_number().over(_pages()).alias("n"))
     a, b = numbers.select("page", F.col("revision").alias("a"), F.col("n").alias("left")), numbers.select("page", F.col("revision").alias("b"), F.col("n").alias("right"))
     return pairs.select("page", "left", "right", "distance").join(a, ["page", "left"]).join(b, ["page", "right"]).select("page", "a", "b", "distance")
@@ -88,7 +93,13 @@ def contribution(spark, sf_dir):
 
 @query(None)
 def text_lives(spark, sf_dir):
-    return tracking.text_lives(tracking.track_words(_revisions(spark, sf_dir), ORDER), HORIZON, ORDER)
+    return judgement.text_lives(tracking.track_words(_runs(spark, sf_dir), ORDER), ORDER, HORIZON)
+
+
+@query(None)
+def text_inc_rows(spark, sf_dir):
+    told = judgement.text_judgements(tracking.track_words(_runs(spark, sf_dir), ORDER), ORDER, HORIZON)
+    return told.select("page", "revision0", "author0", "revision1", "author1", "text", "left", "n01", "t01")
 
 
 @query(None)
@@ -97,8 +108,13 @@ def coloured_text(spark, sf_dir):
     return tracking.coloured(told).select("page", "revision", F.md5("text").alias("digest"))
 
 
+def _runs(spark, sf_dir) -> DataFrame:
+    """Of each run of one author's revisions the last."""
+    return history.collapse_same_author(_revisions(spark, sf_dir), "page", "author", ORDER)
+
+
 def _judged(spark, sf_dir) -> DataFrame:
-    revs = _revisions(spark, sf_dir)
+    revs = _runs(spark, sf_dir)
     return judgement.judgements(revs, _distances(revs), ORDER, HORIZON)
 
 
@@ -122,10 +138,17 @@ def closest_judgements(spark, sf_dir):
 def reputation_fold(spark, sf_dir):
     robots = spark.createDataFrame([(999,)], "author long")
     judged = judgement.eligible(_judged(spark, sf_dir), robots, F.lit("2000-01-01").cast("timestamp"), F.lit("2030-01-01").cast("timestamp"))
-    # seconds, pages and turns number the judgements in time
-    number = F.unix_timestamp("ts") * 10**9 + F.col("page") % 10**6 * 1000 + F.col("revision1") % 1000 * 30 + F.col("n12") * 5 + F.col("n01")
-    history, _ = judgement.reputations(judged.withColumn("number", number), "number")
-    return history.select("author", "n", "rep")
+    numbered = in_order(judged, "number", "ts", "page", "revision2", "revision1", "revision0")
+    return judgement.reputations(numbered, "number").select("author", "n", F.round("rep", 6).alias("rep"))
+
+
+@query(None)
+def on_line_reputation_fold(spark, sf_dir):
+    revs = _revisions(spark, sf_dir)
+    pairs = diff.edit_lists(diff.pairs_in_horizon(revs, "page", ORDER, "words", judgement.OnLine().consider - 1), "left_words", "right_words")
+    judged = judgement.on_line_judgements(revs, _named(revs, pairs), ORDER, spark.createDataFrame([(999,)], "author long"))
+    told = judgement.on_line_reputations(judged)
+    return told.select("author", "revision1", "revision2", F.round("rep", 6).alias("rep"))
 
 
 # --- markup --------------------------------------------------------------------

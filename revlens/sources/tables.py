@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -17,3 +18,16 @@ def written(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` wrote and that nothing reads any more."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()} if table is not None else ():
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def in_order(df: DataFrame, name: str, *by: Column | str) -> DataFrame:
+    """``df`` written with a number for each row that rises in the order ``by``; numbers have gaps.  No task sorts all rows."""
+    return written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
