@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The longest text that has words, brackets or tags looked at for one opening, and the markup.
+# The longest text that has words, brackets or tags looked at for one opening, blocks of long texts, and the markup.
 MOST_CHARS, MOST_LOOKS = 1_000_000, 20
+BLOCK_CHARS, BLOCK_LOOKS = 100_000, 1_000
 _OPENING = re.compile(r"\[\[|\[https?:|\{\{|#REDIRECT |<([a-zA-Z1-9_]+)[^>]*>", re.IGNORECASE)
 _CLOSES = {
     "[[": (re.compile(r"\[\[|#REDIRECT |\]\]", re.IGNORECASE), "]]"),
@@ -83,6 +84,39 @@ def _atoms(text: str) -> list[Piece]:
     return [p for p in (*out, ("plain", text[start:])) if p[1]]
 
 
+def _without_marks(pieces: list[Piece]) -> tuple[list[Piece], list[tuple[int, str]]]:
+    """The pieces without marks, which part no markup, and the marks with their places."""
+    out: list[Piece] = []
+    marks, at = [], 0
+    for kind, text in pieces:
+        if kind == "mark":
+            marks.append((at, text))
+            continue
+        at += len(text)
+        if kind == "plain" and out and out[-1][0] == "plain":
+            out[-1] = ("plain", out[-1][1] + text)
+        else:
+            out.append((kind, text))
+    return out, marks
+
+
+def _with_marks(pieces: list[Piece], marks: list[tuple[int, str]]) -> list[Piece]:
+    """The marks at their places again: within a word they part it, within markup they follow it."""
+    out, at, k = [], 0, 0
+    for kind, text in pieces:
+        end = at + len(text)
+        while k < len(marks) and (marks[k][0] <= at or kind == "plain" and marks[k][0] < end):
+            place, mark = marks[k]
+            if place > at:
+                out.append((kind, text[: place - at]))
+                text, at = text[place - at :], place
+            out.append(("mark", mark))
+            k += 1
+        out.append((kind, text))
+        at = end
+    return out + [("mark", mark) for _, mark in marks[k:]]
+
+
 def _split(pieces: list[Piece], markup: re.Pattern) -> list[Piece]:
     out = []
     for kind, text in pieces:
@@ -128,14 +162,43 @@ def wiki_pieces(text: str, disarm: bool = True) -> list[Piece]:
     if disarm:
         for entity, char in _ENTITIES:
             text = text.replace(entity, char)
-    pieces = _atoms("\n" + _COMMENT.sub("", text))
+    pieces, marks = _without_marks(_atoms("\n" + _COMMENT.sub("", text)))
     for markup in (_TITLES, _LINES, _CELLS, _SPACES):
         pieces = _split(pieces, markup)
+    if marks:
+        pieces = _with_marks(pieces, marks)
     if pieces and pieces[0] == ("newline", "\n"):
         del pieces[0]
     return [("word" if kind == "plain" else kind, t) for kind, t in pieces if kind != "quotes"]
 
 
+def text_blocks(text: str) -> list[str]:
+    """The strings that a long text is read as: some ``BLOCK_CHARS`` each, cut behind the first blank from there on if it is near.
+
+    Words and markup never go across two of them.
+    """
+    out, start = [], 0
+    while len(text) - start > BLOCK_CHARS:
+        stop = start + BLOCK_CHARS
+        blank = text.find(" ", stop, stop + BLOCK_LOOKS - 1)
+        stop = blank + 1 if blank >= 0 else stop
+        out.append(text[start:stop])
+        start = stop
+    return [*out, text[start:]]
+
+
+def block_pieces(text: str, disarm: bool = True) -> list[Piece]:
+    """``wiki_pieces`` of each block of a text; only the first begins a line."""
+    out: list[Piece] = []
+    for k, block in enumerate(text_blocks(text)):
+        pieces = wiki_pieces(block, disarm) if k == 0 else wiki_pieces("x" + block, disarm)
+        if k:  # the letter kept the block from beginning a line
+            kind, first = pieces[0]
+            pieces[0:1] = [(kind, first[1:])] if len(first) > 1 else []
+        out += pieces
+    return out
+
+
 def _mark(text: str) -> tuple[float, int, str]:
     """(trust, origin, author) of a mark; what is missing or no number is 0 or empty."""
     fields = [*text[len(_MARK) : -2].split(","), "", ""][:3]
@@ -143,9 +206,9 @@ def _mark(text: str) -> tuple[float, int, str]:
     return trust, int(fields[1]) if fields[1].isdigit() else 0, fields[2]
 
 
-def _told(text: str | None, disarm: bool) -> list[dict]:
+def _told(text: str | None, disarm: bool, blocks: bool = False) -> list[dict]:
     out, trust, origin, author = [], 0.0, 0, ""
-    for kind, piece in wiki_pieces(text or "", disarm):
+    for kind, piece in (block_pieces if blocks else wiki_pieces)(text or "", disarm):
         if kind == "mark":
             trust, origin, author = _mark(piece)
             continue
@@ -154,15 +217,62 @@ def _told(text: str | None, disarm: bool) -> list[dict]:
     return out
 
 
-def wiki_words(text: Column, disarm: bool = True) -> Column:
-    """Array of the pieces of a text: kind, text, the visible word (null for what only separates), trust, origin and author."""
+def wiki_words(text: Column, disarm: bool = True, blocks: bool = False) -> Column:
+    """Array of the pieces of a text: kind, text, the visible word (null for what only separates), trust, origin and author.
+
+    With ``blocks`` long texts are read block by block, as ``text_blocks`` cuts them.
+    """
 
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _told(t, disarm))
+        return texts.map(lambda t: _told(t, disarm, blocks))
 
     return F.pandas_udf(pieces, PIECES)(text)
 
 
+def visible_words(text: Column | str, disarm: bool = True, blocks: bool = False) -> Column:
+    """Array of the visible words of a text alone: those of ``wiki_words`` without what separates and marks them."""
+
+    def words(texts: pd.Series) -> pd.Series:
+        read = block_pieces if blocks else wiki_pieces
+        return texts.map(lambda t: [_WORDS[kind](piece) for kind, piece in read(t or "", disarm) if kind in _WORDS])
+
+    return F.pandas_udf(words, "array<string>")(text)
+
+
+#: Markup that a mark follows in any case.
+_LEADS = frozenset(("title_start", "bullet", "indent", "table_cell", "table_caption", "newline", "tag"))
+
+
+def annotated(text: str, trust: list, origin: list, author: list, origins: bool = True, authors: bool = True, blocks: bool = False) -> str:
+    """A text with a mark of trust, origin and author before a word wherever they change, on both sides of tags, and behind what begins a line or cell.
+
+    The three lists have a value for each visible word; behind the last word marks repeat the last.
+    """
+    labels = [f"{_MARK}{int(t + 0.5)},{o if origins else ''},{a if authors else ''}}}}}" for t, o, a in zip(trust, origin, author, strict=True)]
+    empty = f"{_MARK}0,{0 if origins else ''},}}}}"
+    label = lambda k: labels[min(k, len(labels) - 1)] if labels else empty
+    out, at, shown = [], 0, f"{_MARK}0,,}}}}"
+    for kind, piece in (block_pieces if blocks else wiki_pieces)(text) if text else ():
+        if kind == "mark":
+            continue
+        if kind == "tag" or kind == "word" and label(at) != shown:
+            out.append(shown := label(at))
+        out.append(piece)
+        at += kind in _WORDS
+        if kind in _LEADS:
+            out.append(shown := label(at))
+    return "".join(out)
+
+
+def coloured_markup(text: Column | str, trust: Column | str, origin: Column | str, author: Column | str, origins: bool = True, authors: bool = True, blocks: bool = False) -> Column:
+    """``annotated`` over columns: a tracked revision's text and its words' trust, origin and author."""
+
+    def marked(texts: pd.Series, trusts: pd.Series, first: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([annotated(t or "", w, o, a, origins, authors, blocks) for t, w, o, a in zip(texts, trusts, first, by, strict=True)])
+
+    return F.pandas_udf(marked, "string")(text, trust, origin, author)
+
+
 def words_only(pieces: Column) -> Column:
     return F.transform(F.filter(pieces, lambda p: p["word"].isNotNull()), lambda p: p["word"])
 

@@ -6,7 +6,7 @@ values and plain loops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import diff, history, judgement, tracking
 from ..operators import reputation as R
 from ..operators import stats as S
-from ..sources import api
+from ..sources import api, dumps, revision_files
 from ..sources.tables import in_order
 from ..streaming import pages as P
 from .registry import query, table
@@ -32,26 +32,11 @@ def _revisions(spark, sf_dir) -> DataFrame:
 
 
 def _turns():
-    from pyspark.sql import Window
-
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
-def _distances(revs: DataFrame) -> DataFrame:
-    return _named(revs, diff.edit_lists(diff.pairs_in_horizon(revs, "page", ORDER, "words", 2 * HORIZON), "left_words", "right_words"))
-
-
-def _named(revs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(page, a, b, distance) of pairs of places."""
-    numbers = revs.select("page", "revision", F.row_number().over(_pages()).alias("n"))
-    a, b = numbers.select("page", F.col("revision").alias("a"), F.col("n").alias("left")), numbers.select("page", F.col("revision").alias("b"), F.col("n").alias("right"))
-    return pairs.select("page", "left", "right", "distance").join(a, ["page", "left"]).join(b, ["page", "right"]).select("page", "a", "b", "distance")
-
-
-def _pages():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("page").orderBy("revision")
+def _distances(revs: DataFrame, horizon: int = 2 * HORIZON) -> DataFrame:
+    return diff.page_distances(revs, ORDER, horizon)
 
 
 @query(None)
@@ -59,6 +44,14 @@ def edit_distance_turns(spark, sf_dir):
     return _distances(_revisions(spark, sf_dir)).select("page", "a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query(None)
+def composed_distances(spark, sf_dir):
+    """Distances to older texts by way of the texts between, where these cover enough."""
+    told = diff.page_distances(_revisions(spark, sf_dir), ORDER, 2 * HORIZON, diff.Shortcut(), lists=True)
+    words = lambda kind: F.aggregate(F.filter("edits", lambda e: e["kind"] == kind), F.lit(0), lambda s, e: s + e["l"])
+    return told.select("page", "a", "b", F.round("distance", 6).alias("distance"), words("mov").alias("moved"), words("del").alias("deleted"), words("ins").alias("inserted"))
+
+
 @query(None)
 def reverted_revisions(spark, sf_dir):
     revs = _revisions(spark, sf_dir)
@@ -108,6 +101,33 @@ def coloured_text(spark, sf_dir):
     return tracking.coloured(told).select("page", "revision", F.md5("text").alias("digest"))
 
 
+def _marked_up(spark, sf_dir) -> DataFrame:
+    """Conversations as revisions in markup: each turn a section below the turn before."""
+    revs = _revisions(spark, sf_dir).drop("words")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), (F.col("conv_id") * 1000 + F.col("turn")).alias("revision"), F.concat(F.lit("== "), "role", F.lit(" ==\n* "), F.coalesce("text", F.lit(""))).alias("part"))
+    parts = F.array_join(F.collect_list("part").over(Window.partitionBy("page").orderBy("revision").rowsBetween(-2, 0)), "\n")
+    return revs.join(c.select("page", "revision", parts.alias("text")), ["page", "revision"]).withColumn("words", markup.visible_words("text"))
+
+
+@query(None)
+def coloured_markup(spark, sf_dir):
+    """Tracked revisions as markup with marks of trust, origin and author among its separators."""
+    told = tracking.track_words(_marked_up(spark, sf_dir), ORDER, tracking.Trust(kind="signed", recents=4))
+    return told.select("page", "revision", F.md5(markup.coloured_markup("text", "trust", "origin", "writer")).alias("digest"))
+
+
+@query(None)
+def coloured_dump(spark, sf_dir):
+    """The last two coloured revisions of each page, written as a dump and read again."""
+    import uuid
+
+    told = tracking.track_words(_marked_up(spark, sf_dir), ORDER, tracking.Trust(kind="signed", recents=4))
+    rows = told.select(F.col("page").alias("page_id"), F.concat(F.lit("p"), "page").alias("title"), F.col("revision").alias("rev_id"), "ts", F.col("author").alias("user_id"), F.concat(F.lit("u"), "author").alias("username"), F.lit(None).cast("string").alias("ip"), F.lit(False).alias("is_minor"), F.lit("").alias("comment"), markup.coloured_markup("text", "trust", "origin", "writer").alias("text"))
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/dumps/{uuid.uuid4().hex}"
+    dumps.write_dump(revision_files.last_coloured(rows, ["ts", "rev_id"], 2), path, "gzip")
+    return dumps.read_dump(spark, path).select("page_id", "rev_id", "user_id", F.md5("text").alias("digest"))
+
+
 def _runs(spark, sf_dir) -> DataFrame:
     """Of each run of one author's revisions the last."""
     return history.collapse_same_author(_revisions(spark, sf_dir), "page", "author", ORDER)
@@ -145,8 +165,7 @@ def reputation_fold(spark, sf_dir):
 @query(None)
 def on_line_reputation_fold(spark, sf_dir):
     revs = _revisions(spark, sf_dir)
-    pairs = diff.edit_lists(diff.pairs_in_horizon(revs, "page", ORDER, "words", judgement.OnLine().consider - 1), "left_words", "right_words")
-    judged = judgement.on_line_judgements(revs, _named(revs, pairs), ORDER, spark.createDataFrame([(999,)], "author long"))
+    judged = judgement.on_line_judgements(revs, _distances(revs, judgement.OnLine().consider - 1), ORDER, spark.createDataFrame([(999,)], "author long"))
     told = judgement.on_line_reputations(judged)
     return told.select("author", "revision1", "revision2", F.round("rep", 6).alias("rep"))
 
@@ -166,7 +185,7 @@ SELECT doc_id, len(w) AS n_words, md5(array_to_string(list_transform(w, lambda x
 def plain_markup_words(spark, sf_dir):
     # without markup the words are those of a plain split
     docs = table(spark, sf_dir, "documents").where("text is not null and length(text) < 1000000")
-    words = markup.words_only(markup.wiki_words(F.regexp_replace("text", "[^A-Za-z0-9,;.: ]", "x"), disarm=False))
+    words = markup.visible_words(F.regexp_replace("text", "[^A-Za-z0-9,;.: ]", "x"), disarm=False)
     visible = docs.select("doc_id", F.filter(words, lambda w: w != "").alias("w"))
     return visible.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
 

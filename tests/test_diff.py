@@ -100,3 +100,67 @@ def test_spans_that_touch_cost_together():
     assert math.isclose(edit_distance([("mov", 0, 0, 2), ("mov", 6, 4, 3), ("del", 2, None, 4), ("ins", None, 2, 2)], 20), 3.2)
     assert edit_distance([("del", 0, None, 2), ("mov", 2, 0, 3), ("ins", None, 3, 3)], 20) == 5
     assert edit_distance([], 0) == 0
+
+
+def test_compositions_complete_the_edits_and_rebuild_the_text():
+    r = random.Random(4)
+    for _ in range(200):
+        one = [r.choice("abcdefghij") for _ in range(r.randint(0, 30))]
+        texts = [one]
+        for _ in range(2):
+            words = list(texts[-1])
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(words))
+                if r.random() < 0.5:
+                    words[at:at] = [r.choice("abcdefghij") for _ in range(r.randint(1, 5))]
+                else:
+                    part = words[at : at + 6]
+                    del words[at : at + 6]
+                    if r.random() < 0.6:
+                        to = r.randint(0, len(words))
+                        words[to:to] = part
+            texts.append(words)
+        a, b, c = texts
+        zipped = diff.composed(edit_list(a, b), edit_list(b, c), len(b))
+        for kind, i, j, l in zipped:
+            assert kind != "mov" or a[i : i + l] == c[j : j + l]
+        edits = diff.completed(a, c, zipped)
+        assert rebuilt(a, c, edits) == c
+        for side, words, out in ((1, a, "ins"), (2, c, "del")):
+            covered = sorted(x for e in edits if e[0] != out for x in range(e[side], e[side] + e[3]))
+            assert covered == list(range(len(words)))
+
+
+def test_words_that_no_way_keeps_are_compared_again():
+    # the middle text lost a block that both ends have
+    a, b, c = "p q r s t u v w".split(), "p q v w".split(), "p q r s t u v w x".split()
+    zipped = diff.composed(edit_list(a, b), edit_list(b, c), len(b))
+    assert sum(l for k, *_, l in zipped if k == "mov") == 4
+    edits = diff.completed(a, c, zipped)
+    assert ("mov", 2, 2, 4) in edits and sum(l for k, *_, l in edits if k == "ins") == 1 and not [e for e in edits if e[0] == "del"]
+    # two open stretches of one side are not taken for one
+    left, right = "a b x c d".split(), "a b c d".split()
+    assert diff.completed(left, right, [("mov", 2, 0, 0)]) and ("mov", 0, 0, 2) in diff.completed(left, right, [("del", 2, None, 1)])
+
+
+def test_distances_of_a_page_are_those_of_its_pairs(spark):
+    r = random.Random(8)
+    rows = []
+    for page in (1, 2):
+        words = [f"w{r.randint(0, 30)}" for _ in range(25)]
+        for n in range(9):
+            at = r.randint(0, len(words))
+            words = words[:at] + [f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 3))] + words[at + r.randint(0, 2) :]
+            rows.append((page, page * 100 + n, list(words) if n != 4 else None))
+    revs = spark.createDataFrame(rows, "page long, revision long, words array<string>")
+    texts = {r: w or [] for _, r, w in rows}
+    got = {(x["a"], x["b"]): x["distance"] for x in diff.page_distances(revs, ["revision"], 4).collect()}
+    want = {(a, b): edit_distance(edit_list(texts[a], texts[b]), max(len(texts[a]), len(texts[b]))) for a in texts for b in texts if a < b <= a + 4 and a // 100 == b // 100}
+    assert got == want
+    short = diff.page_distances(revs, ["revision"], 4, diff.Shortcut(), lists=True).collect()
+    assert {(x["a"], x["b"]) for x in short} == set(want)
+    for x in short:
+        edits = [(e["kind"], e["i"], e["j"], e["l"]) for e in x["edits"]]
+        assert rebuilt(texts[x["a"]], texts[x["b"]], edits) == texts[x["b"]]
+        if x["b"] == x["a"] + 1:
+            assert x["distance"] == want[x["a"], x["b"]]

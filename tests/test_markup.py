@@ -40,3 +40,38 @@ def test_sections(spark):
     got = [(r["word"].strip(), r["section"]) for r in M.sections(pieces, "k").orderBy("at").collect()]
     first = got[0][1]
     assert [(w, s - first) for w, s in got] == [("intro", 0), ("words", 0), ("==", 2), ("title", 2), ("==", 2), ("body", 3), ("*", 4), ("one", 4), ("*", 5), ("two", 5)]
+
+
+MARKUP = "Intro ''words'' here\n\n== Title ==\n* item one [[link|text]] after\n indented\n{| class=x\n| a || b\n|}\nlast &nbsp; {{box}}"
+
+
+def test_marks_come_back_from_the_coloured_text(spark):
+    words = [w for k, t in M.wiki_pieces(MARKUP) if k in M._WORDS for w in [M._WORDS[k](t)]]
+    n = len(words)
+    trust, origin, author = [float(k % 4) for k in range(n)], [100 + k // 3 for k in range(n)], [k // 5 for k in range(n)]
+    df = spark.createDataFrame([(MARKUP, trust, origin, author), (None, [], [], []), ("", [], [], [])], "text string, trust array<double>, origin array<long>, author array<long>")
+    told = df.select("text", M.coloured_markup("text", "trust", "origin", "author").alias("marked"), M.visible_words("text").alias("words"))
+    rows = told.select("*", M.wiki_words(F.col("marked")).alias("again")).collect()
+    assert rows[0]["words"] == words and rows[1]["marked"] == "" == rows[2]["marked"]
+    again = [(p["word"], p["trust"], p["origin"], p["author"]) for p in rows[0]["again"] if p["word"] is not None]
+    assert [w for w, *_ in again] == words
+    # a mark holds from what follows it: words and tags get their own back; what only opens or closes a line has that of the mark before
+    kinds = [k for k, _ in M.wiki_pieces(MARKUP) if k in M._WORDS]
+    for k, (kind, (_, t, o, a)) in enumerate(zip(kinds, again)):
+        if kind in ("word", "tag"):
+            assert (t, o, a) == (trust[k], origin[k], str(author[k]))
+    assert M.annotated("a b", [0.4, 0.6], [1, 1], [2, 2], origins=False, authors=False) == "a {{#t:1,,}}b"
+    assert M.annotated("one [[x]] two", [2.0, 2.0, 2.0], [1, 1, 1], [7, 7, 7]) == "{{#t:2,1,7}}one {{#t:2,1,7}}[[x]]{{#t:2,1,7}} two"
+
+
+def test_long_texts_are_read_block_by_block():
+    text = " ".join(f"word{k}" for k in range(30_000))
+    blocks = M.text_blocks(text)
+    assert "".join(blocks) == text and len(blocks) == 3 and all(M.BLOCK_CHARS < len(b) <= M.BLOCK_CHARS + M.BLOCK_LOOKS and b.endswith(" ") for b in blocks[:-1])
+    assert [t for k, t in M.block_pieces(text) if k == "word"] == text.split()
+    # without a blank in sight the cut goes through a word; markup across a border is none
+    solid = "y" * 250_000
+    assert [len(b) for b in M.text_blocks(solid)] == [100_000, 100_000, 50_000] and [len(t) for _, t in M.block_pieces(solid)] == [100_000, 100_000, 50_000]
+    link = "z" * 99_995 + " [[" + "q" * 2_000 + "]] end"
+    assert ("tag", "[[" + "q" * 2_000 + "]]") in M.wiki_pieces(link) and not [k for k, _ in M.block_pieces(link) if k == "tag"]
+    assert M.text_blocks("short") == ["short"] and M.block_pieces("= a =") == M.wiki_pieces("= a =")

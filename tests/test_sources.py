@@ -97,3 +97,58 @@ def test_collapsing_knows_addresses_and_missing_authors(spark):
     revs = spark.createDataFrame([("p", *r) for r in rows], "page string, n int, author int, ip string")
     kept = lambda **more: sorted(r["n"] for r in history.collapse_same_author(revs, "page", "author", ["n"], **more).collect())
     assert kept() == [3, 5, 7] and kept(address="ip") == [2, 3, 5, 7]
+
+
+def test_a_dump_in_many_splits_is_the_dump_in_one(spark, tmp_path):
+    revision = lambda n, text: f"<revision><id>{n}</id><timestamp>2020-01-01T00:00:{n % 60:02d}Z</timestamp><contributor><ip>1.1.1.{n % 9}</ip></contributor><text>{text}</text></revision>\n"
+    pages = [f"<page>\n<title>P &amp; {p}</title>\n<id>{p}</id>\n" + "".join(revision(p * 1000 + k, f"é {'word ' * (k % 40)}&lt;{k}&gt;") for k in range(60)) + "</page>\n" for p in range(1, 6)]
+    (tmp_path / "d.xml").write_text("<mediawiki>\n<siteinfo></siteinfo>\n" + "".join(pages) + "</mediawiki>\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    whole = dumps.read_dump(spark, str(tmp_path / "d.xml")).orderBy("rev_id").collect()
+    try:
+        spark.conf.set(key, "4096")
+        split = dumps.read_dump(spark, str(tmp_path / "d.xml"))
+        assert split.rdd.getNumPartitions() > 5
+        assert split.orderBy("rev_id").collect() == whole
+    finally:
+        spark.conf.set(key, before)
+    assert len(whole) == 300 and {(r.page_id, r.title) for r in whole} == {(p, f"P & {p}") for p in range(1, 6)}
+    assert whole[41].text == "é " + "word " * 1 + "<41>" and all(r.rev_id // 1000 == r.page_id for r in whole)
+
+
+def test_broken_pieces_are_told_and_the_rest_is_read(spark, tmp_path):
+    good = lambda n: f"<revision><id>{n}</id><timestamp>2020-01-01T00:00:00Z</timestamp><contributor><ip>1.1.1.1</ip></contributor><text>t{n}</text></revision>"
+    (tmp_path / "a.xml").write_text(f"<mediawiki><page><title>A</title><id>1</id>{good(1)}<revision><id>2</id><text>a <b> c</text></revision>{good(3)}</page><page><title>B</title><id>2</id><revision><text>no number</text></revision>{good(5)}</page>")
+    (tmp_path / "b.xml").write_text(f"{good(6)}<page><title>C</title><id>3</id>{good(7)}<revision><id>8</id><text>cut o")
+    pieces = dumps.read_pieces(spark, str(tmp_path / "*.xml"))
+    assert sorted((r.page_id, r.rev_id) for r in dumps.read_dump(spark, str(tmp_path)).collect()) == [(1, 1), (1, 3), (2, 5), (3, 7)]
+    told = sorted((r.file[-5:], r.page_id or 0, r.error.split(":")[0]) for r in dumps.broken(pieces).collect())
+    assert [t[:2] for t in told] == [("a.xml", 1), ("a.xml", 2), ("b.xml", 0), ("b.xml", 3)]
+    assert dumps.read_dump(spark, str(tmp_path / "a.xml"), leading_newline=True).where("rev_id = 1").first().text == "\nt1"
+
+
+def test_a_file_that_cannot_be_unpacked_ends_where_it_breaks(spark, tmp_path):
+    rows = [(1, "A", n, 0, "1.1.1.1", f"text {n} " * 50) for n in range(2000)]
+    revs = spark.createDataFrame(rows, "page_id long, title string, rev_id long, user_id long, ip string, text string").selectExpr("*", "timestamp_seconds(rev_id) ts", "ip username", "false is_minor", "cast(null as string) comment")
+    dumps.write_dump(revs, str(tmp_path / "out"), "gzip")
+    again = dumps.read_dump(spark, str(tmp_path / "out"))
+    assert again.count() == 2000 and again.where("text not like 'text%' or time <> rev_id").count() == 0
+    (file,) = [f for f in (tmp_path / "out").iterdir() if f.name.endswith(".gz")]
+    data = file.read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.gz").write_bytes(data[: len(data) // 2])
+    (tmp_path / "cut" / "b.gz").write_bytes(data)
+    kept = dumps.read_dump(spark, str(tmp_path / "cut"), ignore_corrupt=True)
+    assert kept.count() >= 2000 and kept.select("rev_id").distinct().count() == 2000
+
+
+def test_a_written_dump_keeps_pages_together_and_escapes(spark, tmp_path):
+    odd = "a <b> & \"c\" 'd' ]]> \x01 \r\n </revision> \U0001f600"
+    rows = [(p, f"T<{p}>", p * 10 + k, k % 2, "u&" if k % 2 else None, None if k % 2 else "1.2.3.4", odd if k else None) for p in range(20) for k in range(5)]
+    revs = spark.createDataFrame(rows, "page_id long, title string, rev_id long, user_id long, username string, ip string, text string").selectExpr("*", "timestamp_seconds(100 - rev_id % 10) ts", "rev_id % 3 = 0 is_minor", "'c' comment")
+    dumps.write_dump(revs, str(tmp_path / "out"), files=4)
+    files = [f.read_text() for f in (tmp_path / "out").iterdir() if f.name.startswith("part") and f.stat().st_size]
+    assert len(files) == 4 and sum(f.count("<page>") for f in files) == 20
+    got = {r.rev_id: r for r in dumps.read_dump(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 100 and got[11].text == odd.replace("\x01", "\ufffd") and got[10].text == "" and got[11].username == "u&" and got[10].ip == "1.2.3.4" and got[12].title == "T<1>" and got[12].is_minor
