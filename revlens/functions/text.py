@@ -42,6 +42,11 @@ def ip_domain_id(ip: Column, n_bytes: int) -> Column:
     return F.when(ip.rlike(IPV4), -F.aggregate(parts, F.lit(0).cast("long"), lambda s, b: s * 256 + b.cast("long")))
 
 
+def revision_bytes(text: Column) -> Column:
+    """What a revision takes: the bytes of its text and 200 for the rest."""
+    return F.octet_length(F.coalesce(text, F.lit(""))) + 200
+
+
 def trust_css_class(trust: Column, median: Column) -> Column:
     """Index of the colour class: ten classes over the median, the array index truncated."""
     scaled = (trust + 0.5) * 10 / F.when(median == 0, 1.0).otherwise(median)

@@ -127,8 +127,13 @@ class Rules:
     truthful: str | None = None  # None, "truthful" or "almost"
 
 
-def eligible(judged: DataFrame, robots: DataFrame, start: Column, end: Column, anonymous: bool = False, local: bool = False) -> DataFrame:
-    """Judgements that count: something changed, in time, by a known author, not by a robot; ``local`` only those from the revision before."""
+def eligible(judged: DataFrame, robots: DataFrame, start: Column, end: Column, anonymous: bool = False, local: bool = False, domains: bool = False) -> DataFrame:
+    """Judgements that count: something changed, in time, by a known author, not by a robot; ``local`` only those from the revision before.
+
+    With ``domains`` anonymous authors are known by the domain of their address: ``domain0`` to ``domain2``, as ``functions.text.ip_domain_id`` gives it.
+    """
+    if domains:
+        judged = judged.withColumns({f"author{k}": F.when(F.col(f"author{k}") == 0, F.coalesce(f"domain{k}", F.lit(0))).otherwise(F.col(f"author{k}")) for k in range(3)})
     rows = judged.join(robots.select(F.col("author").alias("author2")), "author2", "left_anti")
     rows = rows.where((F.col("d01") > 0) & (F.col("delta") > 0) & F.col("ts").between(start, end) & (F.col("author1") != F.col("author2")))
     rows = rows if anonymous else rows.where("author1 <> 0")

@@ -15,6 +15,12 @@ def asof_value(probes: DataFrame, history: DataFrame, key: str, ts: str, value:
     return both.where("_side = 0").withColumn("as_of", F.coalesce("as_of", F.lit(default))).drop("_side", "_v")
 
 
+def with_first_bins(history: DataFrame, user: str = "user_id") -> DataFrame:
+    """A history of bins (user, time, new_bin) with bin 0 for each user, one second before their first entry."""
+    first = history.groupBy(user).agg((F.min("time") - 1).alias("time")).select(user, "time", F.lit(0).alias("new_bin"))
+    return history.select(user, "time", "new_bin").unionByName(first)
+
+
 def reputation_bin(rep: Column) -> Column:
     return F.ln(1 + F.greatest(rep, F.lit(0.0))).cast("int")
 

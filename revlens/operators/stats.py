@@ -21,6 +21,30 @@ def cumulative(matrix: DataFrame) -> DataFrame:
     return matrix.select("bin", "col", (F.sum("weight").over(worse) / F.sum("weight").over(Window.partitionBy("bin"))).alias("share"))
 
 
+def percentages(matrix: DataFrame) -> DataFrame:
+    """(bin, col, weight, of_all, of_bin, of_col): each cell's weight as a share of everything, of its bin and of its column."""
+    whole = matrix.agg(F.sum("weight").alias("_all"))
+    share = lambda *by: F.try_divide("weight", F.sum("weight").over(Window.partitionBy(*by)))
+    return matrix.join(F.broadcast(whole)).select("bin", "col", "weight", F.try_divide("weight", "_all").alias("of_all"), share("bin").alias("of_bin"), share("col").alias("of_col"))  # one row is sent
+
+
+def word_frequency(words: DataFrame, word: str = "word") -> DataFrame:
+    """(word, n), the most frequent first, equals in the order of words."""
+    return words.groupBy(word).agg(F.count("*").alias("n")).orderBy(F.desc("n"), word)
+
+
+def write_days(rows: DataFrame, table: str, path: str, ts: str, buckets: int = 64) -> DataFrame:
+    """``rows`` as a table of ``buckets`` buckets by day, each sorted by day and time; what it reads as.
+
+    Statements by day and windows of a day read it without an exchange.
+    """
+    day = F.date_trunc("day", ts)
+    dated = rows.withColumn("day", day)
+    # one file for each bucket, as the bucketing deals it
+    dated.repartition(buckets, "day").write.bucketBy(buckets, "day").sortBy("day", ts).option("path", path).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def precision_recall(matrix: DataFrame, low_bin: int, bad_col: int) -> DataFrame:
     """How well a low bin tells bad columns."""
     low, bad = F.col("bin") < low_bin, F.col("col") >= bad_col

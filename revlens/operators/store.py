@@ -19,6 +19,25 @@ def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in a list, however often it is there."""
+    return rows.join(keys.select(key), key, "left_semi").select(rows.columns)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in no row of a list."""
+    return rows.join(keys.select(key), key, "left_anti").select(rows.columns)
+
+
+def latest(*columns: DataFrame) -> DataFrame:
+    """The greatest value of several one-column tables, as ``latest``."""
+    each = [c.agg(F.max(F.col(c.columns[0])).alias("latest")) for c in columns]
+    both = each[0]
+    for c in each[1:]:
+        both = both.unionByName(c)
+    return both.agg(F.max("latest").alias("latest"))
+
+
 def open_votes(votes: DataFrame, order: list[str], n: int) -> DataFrame:
     """The oldest votes that are not processed."""
     return first_rows(votes.where(~F.col("processed")), order, n)
@@ -48,6 +67,11 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
     return table.join(last, key, "full").select(*[value(c) for c in table.columns])
 
 
+def worth_writing(increments: DataFrame, key: str, column: str, least: float = 0.001) -> DataFrame:
+    """The sum of each key's increments where it changes anything: those of ``least`` or less, up or down, are not written."""
+    return increments.groupBy(key).agg(F.sum(column).alias(column)).where(F.abs(column) > least)
+
+
 def added(table: DataFrame, increments: DataFrame, key: str, column: str, start: float = 0.0) -> DataFrame:
     """``table`` with the sum of each key's increments; unknown keys begin at ``start``."""
     sums = increments.groupBy(key).agg(F.sum(column).alias("_sum"))

@@ -216,7 +216,7 @@ def online_page_feed(spark, sf_dir):
     def fed(rows):
         return P.page_feed(rows.select(F.col("event_type").alias("page"), F.col("event_id").alias("event"), "ts", (F.col("event_id") % 2).alias("kind"), F.col("user_id").alias("author")))
 
-    return _streamed(spark, table(spark, sf_dir, "events"), fed).select("page", "event", "place", "previous", "kind")
+    return streamed(spark, table(spark, sf_dir, "events"), fed).select("page", "event", "place", "previous", "kind")
 
 
 @query(None)
@@ -226,11 +226,11 @@ def online_page_trust(spark, sf_dir):
     revs = _revisions(spark, sf_dir).select(F.col("page").cast("string").alias("page"), F.col("revision").alias("event"), "ts", F.when(F.col("revision") % 5 == 4, 1).otherwise(0).alias("kind"), "author", "weight", "words")
     # a last event moves the watermark beyond all others
     last = c.limit(1).select(F.lit("-").alias("page"), F.lit(0).cast("long").alias("event"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.lit(0).alias("kind"), F.lit(0).alias("author"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("words"))
-    told = _streamed(spark, revs.unionByName(last), lambda rows: P.page_trust(rows, tracking.Trust(kind="signed", recents=4)))
+    told = streamed(spark, revs.unionByName(last), lambda rows: P.page_trust(rows, tracking.Trust(kind="signed", recents=4)))
     return told.select(F.col("page").cast("long").alias("page"), "revision", F.size("words").alias("n_words"), F.round(F.aggregate("trust", F.lit(0.0), lambda a, x: a + x), 6).alias("trust"))
 
 
-def _streamed(spark, rows: DataFrame, step) -> DataFrame:
+def streamed(spark, rows: DataFrame, step) -> DataFrame:
     """What ``step`` makes of ``rows`` as a stream of files, run until no more is due."""
     import uuid
 

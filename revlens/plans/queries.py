@@ -18,6 +18,7 @@ from ..operators import history as H
 from ..operators import judgement as J
 from ..operators import reputation as R
 from ..operators import stats as S
+from ..operators import store as W
 from ..sources import dumps as D
 from ..sources import lines as L
 from ..streaming import feed as E
@@ -115,25 +116,24 @@ def asof_reputation(spark, sf_dir):
 @_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def robots_anti(spark, sf_dir):
     robots = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, sf_dir, "customer").join(robots, "c_custkey", "left_anti").select("c_custkey")
+    return W.without(_table(spark, sf_dir, "customer"), robots, "c_custkey").select("c_custkey")
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def subset_semi(spark, sf_dir):
     wanted = _table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, sf_dir, "customer").join(wanted, "c_custkey", "left_semi").select("c_custkey")
+    return W.only(_table(spark, sf_dir, "customer"), wanted, "c_custkey").select("c_custkey")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def purge_by_subquery(spark, sf_dir):
     gone = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _table(spark, sf_dir, "orders").join(gone, "o_orderkey", "left_anti").select("o_orderkey")
+    return W.without(_table(spark, sf_dir, "orders"), gone, "o_orderkey").select("o_orderkey")
 
 
 @_query("SELECT max(t) AS latest FROM (SELECT o_orderdate AS t FROM orders UNION ALL SELECT l_shipdate FROM lineitem)")
 def latest_union_max(spark, sf_dir):
-    both = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("t")).union(_table(spark, sf_dir, "lineitem").select("l_shipdate"))
-    return both.agg(F.max("t").alias("latest"))
+    return W.latest(_table(spark, sf_dir, "orders").select("o_orderdate"), _table(spark, sf_dir, "lineitem").select("l_shipdate"))
 
 
 @_query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -301,7 +301,7 @@ def _words(spark, sf_dir):
 
 @_query(f"SELECT word, count(*) AS n FROM ({_CANONICAL}) GROUP BY word")
 def word_frequency(spark, sf_dir):
-    return _words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    return S.word_frequency(_words(spark, sf_dir))
 
 
 @_query(f"SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM ({_CANONICAL}) GROUP BY doc_id")
@@ -458,7 +458,7 @@ def nixed_ratio(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import edit_queries, fold_queries, model_queries  # noqa: F401  they register themselves
+    from . import edit_queries, fold_queries, model_queries, source_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

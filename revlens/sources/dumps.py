@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape, unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -78,14 +78,15 @@ def _typed(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return frame.astype({c: "Int64" for c in ("page_id", "rev_id", "user_id")}).astype({"is_minor": "boolean"})
 
 
-def read_pieces(spark: SparkSession, path: str, ignore_corrupt: bool = False) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str, ignore_corrupt: bool = False, by_file: bool = False) -> DataFrame:
     """Every revision of a dump (a file, a folder or a glob; compressed by extension), sound or not: fields, and ``error`` for what is broken.
 
     A file is read as a stream of revisions, in splits where its codec allows
     it; no page is ever one row.  A first scan notes the last page that begins in each split, which is where
     the revisions at the start of the next one belong.  Files that can't be unpacked end where they break if ``ignore_corrupt``.
+    With ``by_file`` a file holds revisions of the page that its name numbers.
     """
-    raw = spark.read.option("lineSep", _REVISION_END).option("ignoreCorruptFiles", str(ignore_corrupt).lower()).text(path)
+    raw = spark.read.option("lineSep", _REVISION_END).option("recursiveFileLookup", str(by_file).lower()).option("ignoreCorruptFiles", str(ignore_corrupt).lower()).text(path)
     pieces = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     begins = pieces.where(F.col("value").contains("<page>")).withColumn("at", F.monotonically_increasing_id())
     head = F.substring_index(F.substring_index("value", "<page>", -1), "<revision>", 1)
@@ -96,6 +97,9 @@ def read_pieces(spark: SparkSession, path: str, ignore_corrupt: bool = False) ->
     title = F.regexp_extract("head", "(?s)<title>(.*?)</title>", 1)
     plain = F.replace(F.replace(F.replace(F.replace(F.replace(title, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     number = F.expr("try_cast(regexp_extract(head, '<id>([0-9]+)</id>', 1) as bigint)")
+    if by_file:
+        opened = opened.withColumn("head", F.lit(""))
+        number = F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[.]xml[^/]*$', 1) as bigint)")
     starts = opened.select("file", "start", F.when(F.col("head").isNotNull(), plain).alias("start_title"), number.alias("start_id"))
     return pieces.join(F.broadcast(starts), ["file", "start"], "left").mapInPandas(_parsed, _ROWS)
 
@@ -114,14 +118,26 @@ def read_dump(spark: SparkSession, path: str, main_only: bool = True, leading_ne
     revs = read_pieces(spark, path, ignore_corrupt).where("error is null")
     if main_only:
         revs = revs.where(~F.col("title").contains(":"))
+    return _fields_of(revs, F.concat(F.lit("\n"), F.col("text")) if leading_newline else F.col("text"))
+
+
+def _fields_of(revs: DataFrame, text: Column) -> DataFrame:
     ts = F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    text = F.concat(F.lit("\n"), F.col("text")) if leading_newline else F.col("text")
     return revs.select("page_id", "title", "rev_id", ts.alias("ts"), F.unix_timestamp(ts).cast("double").alias("time"), "user_id", "ip", "username", "is_minor", "comment", text.alias("text"))
 
 
+def read_updates(spark: SparkSession, path: str) -> DataFrame:
+    """Revisions in a tree of files such as ``000/000/123/000000123456.xml.gz``: each holds later revisions of the page of its number.
+
+    The columns are those of ``read_dump`` but for the title.
+    """
+    return _fields_of(read_pieces(spark, path, by_file=True).where("error is null"), F.col("text")).drop("title")
+
+
 def with_updates(dump: DataFrame, updates: DataFrame, page: str = "page_id", time: str = "time") -> DataFrame:
-    """The dump, and of the updates to its pages those later than the page's last revision in it."""
-    ends = dump.groupBy(page).agg(F.max(time).alias("_end"))
+    """The dump, and of the updates to its pages those later than the page's last revision in it; what they lack is the page's."""
+    more = [c for c in dump.columns if c not in updates.columns]
+    ends = dump.groupBy(page).agg(F.max(time).alias("_end"), *[F.max_by(c, time).alias(c) for c in more])
     later = updates.join(ends, page).where(F.col(time) > F.col("_end")).drop("_end")
     return dump.unionByName(later.select(dump.columns))
 

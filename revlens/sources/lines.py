@@ -83,6 +83,30 @@ def final_reputation_lines(users: DataFrame, bin: Column) -> DataFrame:
     return named.select(F.format_string('0. %d -1 %d %f "%s"', "user_id", "_bin", "rep", "username").alias("value"))
 
 
+def write_statistics(rows: DataFrame, kind: str, path: str, compression: str = "gzip") -> None:
+    """Rows of one kind as statistics lines in compressed text files."""
+    statistics_lines(rows, kind).write.text(path, compression=compression)
+
+
+def order_breaks(lines: DataFrame, place: str, time: str) -> DataFrame:
+    """The rows whose time is before that of the row before, by ``place``, with ``before``: where a file is not sorted.
+
+    Places are such as ``monotonically_increasing_id`` gives: rows are compared within a partition, and the last of each partition with what follows.
+    """
+    part = F.shiftright(place, 33)
+    own = Window.partitionBy("_part").orderBy(place)
+    rows = lines.withColumn("_part", part)
+    edges = rows.groupBy("_part").agg(F.max_by(time, place).alias("_last"))
+    before = edges.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))  # a row for each partition
+    told = rows.join(F.broadcast(before), "_part").withColumn("before", F.coalesce(F.lag(time).over(own), "_edge"))
+    return told.where(F.col(time) < F.col("before")).drop("_part", "_edge")
+
+
+def bad_robot_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines of a list of robots that hold no quoted name, but are not empty."""
+    return lines.where(~F.col(column).rlike(r'^\s*"((?:[^"\\]|\\.)+)"\s*$') & (F.trim(column) != "")).select(column)
+
+
 def robot_names(lines: DataFrame, column: str = "value") -> DataFrame:
     """One quoted name a line; other lines are bad and skipped."""
     name = F.regexp_extract(column, r'^\s*"((?:[^"\\]|\\.)*)"\s*$', 1)

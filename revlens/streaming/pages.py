@@ -162,6 +162,35 @@ class PageFeed(OrderedEvents):
         yield self.nothing()
 
 
+class PageHorizon(OrderedEvents):
+    """Events with the sum and number of ``value`` over the page's last ``n`` events, themselves included."""
+
+    output = "page string, event long, in_horizon double, n_horizon long"
+
+    def __init__(self, n: int = 8, idle_ms: int = IDLE_MS):
+        super().__init__(idle_ms)
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "packed binary")
+
+    def apply(self, key, rows, place, previous, late):
+        had = np.frombuffer(bytes(self.last.get()[0]), float) if self.last.exists() else np.zeros(0)
+        values = np.concatenate((had, rows["value"].to_numpy()))
+        padded = np.concatenate((np.zeros(self.n - 1), values))
+        sums = np.lib.stride_tricks.sliding_window_view(padded, self.n).sum(axis=1)[len(had) :]
+        counts = np.minimum(np.arange(len(had) + 1, len(values) + 1), self.n)
+        self.last.update((values[len(values) - min(len(values), self.n - 1) :].tobytes(),))
+        out = pd.DataFrame({"page": key[0], "event": rows["event"].to_numpy(), "in_horizon": sums, "n_horizon": counts})
+        for at in range(0, len(out), FRAME_ROWS):
+            yield out.iloc[at : at + FRAME_ROWS]
+
+    def end(self, key):
+        self.last.clear()
+        yield self.nothing()
+
+
 class PageTrust(OrderedEvents):
     """The text of each revision with the trust of its words, as ``tracking.track_words`` tells it.
 
@@ -233,6 +262,12 @@ def page_feed(events: DataFrame, delay: str = "1 hour", idle_ms: int = IDLE_MS)
     return feed.withColumn("ts", F.timestamp_micros("micros")).drop("micros")
 
 
+def page_horizon(events: DataFrame, n: int = 8, delay: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """A stream of (page, event, ts, kind, author, value) with sums over the last ``n`` events of each page, in order."""
+    rows = events.select("page", "event", "ts", "kind", "author", F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))
+    return _events(rows, delay, "value").groupBy("page").transformWithStateInPandas(PageHorizon(n, idle_ms), PageHorizon.output, "Append", "EventTime")
+
+
 def page_trust(events: DataFrame, rule: Trust, delay: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
     """A stream of (page, event, ts, kind, author, weight, words, and sections if there are any) as revisions with their words' trust.
 
