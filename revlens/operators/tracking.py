@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import read_share
 from .diff import edit_distance, edit_list, tracked
 
 _WORDS = "words array<string>, origin array<long>, writer array<long>, lived array<int>, trust array<double>, signature array<long>"
@@ -368,6 +369,19 @@ def track_words(revs: DataFrame, order: list[str], rule: Trust = Trust()) -> Dat
     return told if "text" in revs.columns else told.drop("text")
 
 
+def timed_reads(revs: DataFrame, order: list[str], rule: Trust = Trust(), seconds: float = 86400.0, on_line: bool = True) -> DataFrame:
+    """``revs`` with reads and looks by the time since the revision before: who comes soon reads less; robots (column robot, if any) read nothing.
+
+    Not ``on_line``, shares grow in proportion, as local and batch runs have them; a page's first revision is read in full.
+    """
+    passed = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("page").orderBy(*order)))
+    robot = F.coalesce("robot", F.lit(False)) if "robot" in revs.columns else F.lit(False)
+    told = revs.withColumn("_passed", passed)
+    later = F.greatest(F.col("_passed"), F.lit(0))
+    share = lambda base: F.when(F.col("_passed").isNull() & ~robot, base).otherwise(read_share(F.lit(base), later, seconds, robot, on_line))
+    return told.withColumns({"reads": share(rule.reads), "looks": share(rule.looks)}).drop("_passed")
+
+
 def words_by_author(told: DataFrame) -> DataFrame:
     """New words by author, the most first."""
     return told.groupBy("author").agg(F.sum("n_new").alias("words")).orderBy(F.desc("words"), "author")

@@ -256,6 +256,24 @@ def revert_aware_trust(spark, sf_dir):
     return told.select("page", "revision", "n_new", F.size("words").alias("n_words"), *sums)
 
 
+def _trust_sums(told: DataFrame) -> DataFrame:
+    return told.select("page", "revision", F.size("words").alias("n_words"), F.round(F.aggregate("trust", F.lit(0.0), lambda a, x: a + x), 6).alias("trust"))
+
+
+@query(None)
+def local_trust(spark, sf_dir):
+    """Trust by sections, with shares read in proportion to the time passed, and deleted blocks kept as batch runs do."""
+    rule = tracking.Trust.batch(kind="sections")
+    return _trust_sums(tracking.track_words(tracking.timed_reads(_revisions(spark, sf_dir), ORDER, rule, on_line=False), ORDER, rule))
+
+
+@query(None)
+def for_online_trust(spark, sf_dir):
+    """A batch run that prepares pages for the on-line one: signed and revert-aware trust with timed reading, percolated."""
+    rule = tracking.Trust.batch(kind="signed", recents=4, percolates=True)
+    return _trust_sums(tracking.track_words(tracking.timed_reads(_revisions(spark, sf_dir), ORDER, rule), ORDER, rule))
+
+
 @query(None)
 def percolated_histograms(spark, sf_dir):
     """Words by trust of every revision, once later revisions of its page have raised it."""

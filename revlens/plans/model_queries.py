@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import features, models, selection, store
 from ..operators import reputation as R
-from .registry import query, table
+from .registry import crc32_sql, query, table
 
 NOW = "2024-02-15 00:00:00"
 ORDER = ["ts", "revision"]
@@ -63,6 +63,7 @@ def all_revision_features(spark, sf_dir):
     return _features(spark, sf_dir).select("revision", *[F.round(c, n).alias(c) for c, n in _DIGITS.items()], "anon", "prev_same_author", "next_same_author")
 
 
+# The trees of the models again, as SQL.
 _VANDALISM = """0.134 + CASE WHEN min_quality < -0.662 THEN 0.891 + CASE WHEN l_delta_hist0 < 0.347 THEN -0.974 ELSE 0.151 END + CASE WHEN avg_quality < -0.117 THEN -0.002 ELSE -0.695 END ELSE -1.203 END
   + CASE WHEN reputation < 0.049 THEN 0.358 + CASE WHEN p_prev_hist5 < 0.01 THEN 0.519 ELSE -0.298 + CASE WHEN l_delta_hist2 < 0.347 THEN -1.125 ELSE 1.113 END + CASE WHEN avg_quality < 0.156 THEN 0.531 ELSE -2.379 END END ELSE 0 END
   + CASE WHEN logtime_next < 2.97 THEN 1.025 ELSE 0.035 + CASE WHEN delta < 3.741 THEN -0.232 ELSE 0.212 END END"""
@@ -236,17 +237,34 @@ def user_numbers(spark, sf_dir):
 # --- columns -----------------------------------------------------------------
 
 
-@query("""
-SELECT c_custkey, (h & 1023) > 0 AND h < 1024 AS in_range, true AS added_is_in, true AS again_is_same, true AS anonymous_is_in, s >> 10 = 5 + (7 << 10) AS older_kept
-FROM (SELECT c_custkey, 1 AS h, (1 + (5 << 10) + (7 << 20)) AS s FROM customer)""")
+#: Two authors of one name: of its signature (two others, and every third time the author's own number) and what adding them makes of it.
+_SIGNED = f"""
+SELECT c_custkey, h, 5 + (7 << 10) + ((CASE WHEN c_custkey % 3 = 0 THEN h ELSE 9 END) << 20) AS s, g FROM (
+  SELECT c_custkey, {crc32_sql("c_custkey || ' ' || c_name")} % 1023 + 1 AS h, {crc32_sql("(c_custkey + 1) || ' ' || c_name")} % 1023 + 1 AS g FROM customer)"""
+
+
+@query(f"""
+SELECT c_custkey, h AS number, held, CASE WHEN held THEN s ELSE h + ((s & 1048575) << 10) END AS one,
+  CASE WHEN g IN (CASE WHEN held THEN s & 1023 ELSE h END, CASE WHEN held THEN (s >> 10) & 1023 ELSE s & 1023 END, CASE WHEN held THEN s >> 20 ELSE (s >> 10) & 1023 END)
+    THEN CASE WHEN held THEN s ELSE h + ((s & 1048575) << 10) END
+    ELSE g + (((CASE WHEN held THEN s ELSE h + ((s & 1048575) << 10) END) & 1048575) << 10) END AS two, true AS nobody
+FROM (SELECT *, h IN (s & 1023, (s >> 10) & 1023, s >> 20) AS held FROM ({_SIGNED}))""")
 def signature_members(spark, sf_dir):
-    author, word, sig = F.col("c_custkey"), F.col("c_name"), F.lit(5 + (7 << 10) + (9 << 20)).cast("long")
-    h, new = T.author_hash(author, word), T.add_to_signature(sig, author, word)
-    kept = F.when(T.in_signature(sig, author, word), F.lit(True)).otherwise(F.shiftright(new, 10) == 5 + (7 << 10))
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", h.between(1, 1023).alias("in_range"), T.in_signature(new, author, word).alias("added_is_in"), (T.add_to_signature(new, author, word) == new).alias("again_is_same"),
-        T.in_signature(sig, F.lit(0), word).alias("anonymous_is_in"), kept.alias("older_kept"),
-    )
+    author, word = F.col("c_custkey"), F.col("c_name")
+    number = T.author_hash(author, word)
+    sig = T.pack_signature(F.lit(5).cast("long"), F.lit(7).cast("long"), F.when(author % 3 == 0, number).otherwise(F.lit(9).cast("long")))
+    told = table(spark, sf_dir, "customer").select("c_custkey", "c_name", number.alias("number"), sig.alias("sig")).withColumn("one", T.add_to_signature(F.col("sig"), author, word))
+    return told.select("c_custkey", "number", T.in_signature(F.col("sig"), author, word).alias("held"), "one", T.add_to_signature(F.col("one"), author + 1, word).alias("two"), T.in_signature(F.col("sig"), F.lit(0), word).alias("nobody"))
+
+
+@query("""
+SELECT word, count(*) AS n FROM (
+  SELECT translate(CASE WHEN suffix(w, '.') OR suffix(w, ':') OR suffix(w, ';') OR suffix(w, ',') THEN substr(w, 1, length(w) - 1) ELSE w END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
+  FROM (SELECT unnest(string_split(coalesce(text, ''), ' ')) AS w FROM conversations)) GROUP BY word""")
+def canonical_forms(spark, sf_dir):
+    """Words between blanks in their canonical form: one closing stop goes."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    return words.groupBy(T.canonical_word(F.col("w")).alias("word")).agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -24,3 +24,10 @@ def query(sql: str | None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text in DuckDB: each byte enters, then eight shifts, with the polynomial wherever a one falls out."""
+    digits = f"hex(encode({text}))"
+    steps = f"flatten(list_transform(range(0, length({digits}) // 2), lambda i: [('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({steps}, lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"

@@ -175,3 +175,13 @@ def test_a_long_page_goes_out_in_bounded_frames(spark):
     rows = [("p", k, 1, k, 1.0, " ".join(f"w{(k + i) % 500}" for i in range(300)), False, False) for k in range(1000)]
     frames = list(tracking._fold(iter([frame_of(spark, rows).withColumn("sections", F.lit(None)).withColumn("reads", F.lit(0.1)).withColumn("looks", F.lit(0.1)).withColumn("text", F.lit(None).cast("string")).orderBy("revision").toPandas()]), tracking.Trust()))
     assert sum(map(len, frames)) == 1000 and max(map(len, frames)) <= tracking.FRAME_WORDS // 300 + 1
+
+
+def test_who_comes_soon_reads_less(spark):
+    rows = [("p", k, 1, s, 1.0, "a b", False, k == 3) for k, s in enumerate((0, 60, 60 + 86_400, 10**9, 10**9 + 5))]
+    for on_line in (True, False):
+        told = {r["revision"]: r for r in tracking.timed_reads(frame_of(spark, rows), ["ts"], on_line=on_line).collect()}
+        full, f = tracking.Trust().reads, [1 - math.exp(-60 / 86400), 1 - math.exp(-1)]
+        want = [1 - (1 - full) ** x if on_line else full * x for x in f]
+        assert told[0]["reads"] == full and told[3]["reads"] == told[3]["looks"] == 0
+        assert all(math.isclose(told[k + 1]["reads"], want[k]) for k in range(2)) and "_passed" not in told[0]
