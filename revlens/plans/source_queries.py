@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, rendered
 from ..functions import text as T
+from ..operators import judgement
 from ..operators import reputation as R
 from ..operators import stats as S
 from ..operators import store as W
-from ..sources import api, dumps, lines, wiki_api
+from ..sources import api, dumps, lines, revision_files, wiki_api
 from ..streaming import pages as P
 from .fold_queries import streamed
 from .registry import query, table
@@ -173,3 +174,46 @@ def coloured_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", markup.visible_words("html").alias("w"))
     marked = F.array_join(F.transform("w", lambda w, i: F.when(i % 9 == 0, F.format_string("{{#t:%d,%d,u%d}}%s", i % 10, i, i % 4, w)).otherwise(w)), " ")
     return p.select("page_id", F.md5(rendered.coloured_page(marked, 6.0)).alias("digest"))
+
+
+@query("SELECT conv_id AS page_id, conv_id * 1000 + turn AS rev_id, md5(coalesce(text, '')) AS digest, conv_id // 1000 AS bucket FROM conversations")
+def revision_files_round_trip(spark, sf_dir):
+    """Texts in folders of a thousand pages."""
+    path = _folder(spark, "texts")
+    revision_files.write_revision_files(_dump_rows(spark, sf_dir), path)
+    return spark.read.parquet(path).select("page_id", "rev_id", F.md5("text").alias("digest"), F.col("bucket").cast("long").alias("bucket"))
+
+
+@query("SELECT DISTINCT c_name || '\"' || c_mktsegment AS name FROM customer")
+def robot_list(spark, sf_dir):
+    """Names as lines of a list of robots, with lines between that hold none."""
+    name = F.concat("c_name", F.lit('\\"'), "c_mktsegment")
+    listed = table(spark, sf_dir, "customer").select(F.explode(F.array(F.concat(F.lit(' "'), name, F.lit('" ')), F.col("c_name"), F.lit('""'))).alias("value"))
+    return lines.robot_names(listed)
+
+
+@query("""
+SELECT user_id, value FROM (
+  SELECT user_id, printf('%f %d %d %d %f "%s"', 0.0, user_id, -1, trunc(ln(1 + rep))::INT, rep, coalesce(c_name, '')) AS value, rep
+  FROM (SELECT user_id, arg_max(value, event_id) AS rep FROM events GROUP BY user_id) LEFT JOIN customer ON c_custkey = user_id) WHERE rep > 0""")
+def reputation_lines(spark, sf_dir):
+    """The last reputation of each user as lines that close a reputation file."""
+    history = table(spark, sf_dir, "events").select(F.col("user_id").alias("author"), F.col("event_id").alias("n"), F.col("value").alias("rep"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("author"), F.col("c_name").alias("name"))
+    told = judgement.final_reputations(history, names)
+    return told.select(F.split("value", " ")[1].cast("long").alias("user_id"), "value")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 11 = 0 THEN -(l_partkey % 50) ELSE l_suppkey % 11 END AS author1 FROM lineitem l
+WHERE l_discount > 0 AND l_quantity > 3 AND l_shipdate BETWEEN DATE '1993-01-01' AND DATE '1997-06-30' AND CASE WHEN l_suppkey % 11 = 0 THEN -(l_partkey % 50) ELSE l_suppkey % 11 END NOT IN (0, l_partkey % 13)
+  AND l_linenumber % 3 = 1 AND l_partkey % 13 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def eligible_judgements(spark, sf_dir):
+    """Judgements from the revision before, by no robot; anonymous authors stand for their domain."""
+    lines_ = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.lit(0).alias("author0"), (F.col("l_suppkey") % 11).alias("author1"), (F.col("l_partkey") % 13).alias("author2"), F.col("l_discount").alias("d01"), (F.col("l_quantity") - 3).alias("delta"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        (F.col("l_linenumber") % 3).alias("n01"), F.lit(-1).alias("domain0"), (-(F.col("l_partkey") % 50)).alias("domain1"), F.lit(None).cast("long").alias("domain2"),
+    )
+    robots = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("author"))
+    start, end = (F.lit(d).cast("timestamp") for d in ("1993-01-01", "1997-06-30"))
+    return judgement.eligible(lines_, robots, start, end, local=True, domains=True).select("l_orderkey", "l_linenumber", F.col("author1").cast("long").alias("author1"))
