@@ -47,3 +47,26 @@ def increments_to(path: str, user: str, amount: str) -> Callable[[DataFrame, int
 def reputations(increments: DataFrame, least: float = 0.0, most: float = 22026.0) -> DataFrame:
     """Current reputations from the increments filed so far, within bounds."""
     return increments.groupBy("user_id").agg(F.greatest(F.lit(least), F.least(F.lit(most), F.sum("increment"))).alias("rep"))
+
+
+def keys_to(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that files the keys that a batch has dealt with, votes for one, under its batch id; a batch that is run again says the same."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def all_of(*writes: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Several ``foreachBatch`` functions on one batch, which is read once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            for each in writes:
+                each(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    return write

@@ -152,3 +152,18 @@ def test_a_written_dump_keeps_pages_together_and_escapes(spark, tmp_path):
     assert len(files) == 4 and sum(f.count("<page>") for f in files) == 20
     got = {r.rev_id: r for r in dumps.read_dump(spark, str(tmp_path / "out")).collect()}
     assert len(got) == 100 and got[11].text == odd.replace("\x01", "\ufffd") and got[10].text == "" and got[11].username == "u&" and got[10].ip == "1.2.3.4" and got[12].title == "T<1>" and got[12].is_minor
+
+
+def test_votes_are_marked_once_however_often_a_batch_runs(spark, tmp_path):
+    from revlens.operators import store
+
+    votes = spark.createDataFrame([(1, 10, 2.0), (2, 10, 3.0), (3, 11, -1.0)], "vote long, u long, x double")
+    votes.write.parquet(str(tmp_path / "in"))
+    write = feed.all_of(feed.increments_to(str(tmp_path / "inc"), "u", "x"), feed.keys_to(str(tmp_path / "done"), "vote"))
+    query = spark.readStream.schema(votes.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    write(votes, 0)  # the batch again, as after a failure between its writes
+    assert sorted(tuple(r) for r in feed.reputations(spark.read.parquet(str(tmp_path / "inc"))).collect()) == [(10, 5.0), (11, 0.0)]
+    table = spark.createDataFrame([(v, False) for v in range(1, 6)], "vote long, processed boolean")
+    marked = store.mark(table, spark.read.parquet(str(tmp_path / "done")), "vote", "processed", F.lit(True))
+    assert sorted(r["vote"] for r in marked.where("processed").collect()) == [1, 2, 3] and marked.count() == 5
