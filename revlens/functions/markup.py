@@ -31,6 +31,8 @@ _LINES = re.compile(r"(?P<bullet>\n[*#:;]+ *)|(?P<indent>\n +)|(?P<table_line>\n
 #: A cell's start takes the modifiers with it that single bars end.
 _CELLS = re.compile(r"(?P<table_cell>(?:\n[|!]|\|\||!!)(?:[^|\n]+\|(?!\|))*)")
 _SPACES = re.compile(r"(?P<space>[,;.: \t][,;.: \n\t]*)|(?P<newline>\n[,;.: \n\t]*)|(?P<quotes>''+)|(?P<entity>&(?:amp;)?#?[a-zA-Z0-9]+;)")
+#: What parts plain words; an entity is a word itself.
+_BETWEEN = re.compile(r"[,;.: \t][,;.: \n\t]*|\n[,;.: \n\t]*|''+|(&(?:amp;)?#?[a-zA-Z0-9]+;)")
 _ENTITIES = (("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 _COMMENT = re.compile(r"<!--.*?--[ \n\t]*>", re.DOTALL)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,16 +157,47 @@ _WORDS = {
 }
 
 
+def _disarmed(text: str) -> str:
+    for entity, char in _ENTITIES:
+        text = text.replace(entity, char)
+    return text
+
+
+def _line_pieces(text: str) -> tuple[list[Piece], list[tuple[int, str]]]:
+    """Tags, titles, lines and cells, the plain stretches between, and the marks with their places."""
+    pieces, marks = _without_marks(_atoms("\n" + _COMMENT.sub("", text)))
+    for markup in (_TITLES, _LINES, _CELLS):
+        pieces = _split(pieces, markup)
+    return pieces, marks
+
+
+def _visible(text: str, disarm: bool) -> list[str]:
+    """The visible words of ``wiki_pieces``; plain stretches are parted in one go."""
+    if len(text) > MOST_CHARS:
+        return []
+    pieces, marks = _line_pieces(_disarmed(text) if disarm else text)
+    if marks:  # they part words
+        return [_WORDS[kind](piece) for kind, piece in wiki_pieces(text, disarm) if kind in _WORDS]
+    out: list[str] = []
+    for kind, piece in pieces:
+        if kind != "plain":
+            out += [_WORDS[kind](piece)] if kind in _WORDS else []
+            continue
+        parts = _BETWEEN.split(piece)
+        plain = [p.lower() for p in parts[::2]] if piece.isascii() else [p.translate(_LOWER) for p in parts[::2]]
+        if any(parts[1::2]):
+            plain = [w for pair in zip(plain, [*parts[1::2], None], strict=True) for w in pair]
+        out += filter(None, plain)
+    return out
+
+
 def wiki_pieces(text: str, disarm: bool = True) -> list[Piece]:
     """The pieces of a text in order, as (kind, text); marks are kept, quotes dropped."""
     if len(text) > MOST_CHARS:
         return []
-    if disarm:
-        for entity, char in _ENTITIES:
-            text = text.replace(entity, char)
-    pieces, marks = _without_marks(_atoms("\n" + _COMMENT.sub("", text)))
-    for markup in (_TITLES, _LINES, _CELLS, _SPACES):
-        pieces = _split(pieces, markup)
+    text = _disarmed(text) if disarm else text
+    pieces, marks = _line_pieces(text)
+    pieces = _split(pieces, _SPACES)
     if marks:
         pieces = _with_marks(pieces, marks)
     if pieces and pieces[0] == ("newline", "\n"):
@@ -233,8 +266,9 @@ def visible_words(text: Column | str, disarm: bool = True, blocks: bool = False)
     """Array of the visible words of a text alone: those of ``wiki_words`` without what separates and marks them."""
 
     def words(texts: pd.Series) -> pd.Series:
-        read = block_pieces if blocks else wiki_pieces
-        return texts.map(lambda t: [_WORDS[kind](piece) for kind, piece in read(t or "", disarm) if kind in _WORDS])
+        if blocks:
+            return texts.map(lambda t: [_WORDS[kind](piece) for kind, piece in block_pieces(t or "", disarm) if kind in _WORDS])
+        return texts.map(lambda t: _visible(t or "", disarm))
 
     return F.pandas_udf(words, "array<string>")(text)
 

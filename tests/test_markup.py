@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from revlens.functions import markup as M
@@ -75,3 +77,12 @@ def test_long_texts_are_read_block_by_block():
     link = "z" * 99_995 + " [[" + "q" * 2_000 + "]] end"
     assert ("tag", "[[" + "q" * 2_000 + "]]") in M.wiki_pieces(link) and not [k for k, _ in M.block_pieces(link) if k == "tag"]
     assert M.text_blocks("short") == ["short"] and M.block_pieces("= a =") == M.wiki_pieces("= a =")
+
+
+def test_visible_words_are_those_of_the_pieces():
+    r = random.Random(6)
+    parts = ["Word", "ÉCOLE", " ", ", ", ".\n", "''", "'''", "&nbsp;", "&amp;#12;", "&x", "\n* ", "\n== ", " ==", "[[a|B]]", "{{t}}", "<b>", "\n| c || d", "{{#t:1,2,x}}", "\n\n", "\n ", "<!-- c -->", "#redirect ", "&lt;", ";", "\u212a"]
+    for _ in range(400):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        for disarm in (True, False):
+            assert M._visible(text, disarm) == [M._WORDS[k](t) for k, t in M.wiki_pieces(text, disarm) if k in M._WORDS], text
