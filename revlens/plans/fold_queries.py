@@ -15,7 +15,7 @@ from ..operators import diff, history, judgement, tracking
 from ..operators import reputation as R
 from ..operators import stats as S
 from ..sources import api, dumps, revision_files
-from ..sources.tables import in_order
+from ..sources.tables import in_order, new_folder
 from ..streaming import pages as P
 from .registry import query, table
 
@@ -119,11 +119,9 @@ def coloured_markup(spark, sf_dir):
 @query(None)
 def coloured_dump(spark, sf_dir):
     """The last two coloured revisions of each page, written as a dump and read again."""
-    import uuid
-
     told = tracking.track_words(_marked_up(spark, sf_dir), ORDER, tracking.Trust(kind="signed", recents=4))
     rows = told.select(F.col("page").alias("page_id"), F.concat(F.lit("p"), "page").alias("title"), F.col("revision").alias("rev_id"), "ts", F.col("author").alias("user_id"), F.concat(F.lit("u"), "author").alias("username"), F.lit(None).cast("string").alias("ip"), F.lit(False).alias("is_minor"), F.lit("").alias("comment"), markup.coloured_markup("text", "trust", "origin", "writer").alias("text"))
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/dumps/{uuid.uuid4().hex}"
+    path = new_folder(spark, "dumps")
     dumps.write_dump(revision_files.last_coloured(rows, ["ts", "rev_id"], 2), path, "gzip")
     return dumps.read_dump(spark, path).select("page_id", "rev_id", "user_id", F.md5("text").alias("digest"))
 
@@ -232,9 +230,7 @@ def online_page_trust(spark, sf_dir):
 
 def streamed(spark, rows: DataFrame, step) -> DataFrame:
     """What ``step`` makes of ``rows`` as a stream of files, run until no more is due."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+    folder = new_folder(spark, "streams")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, P.ROCKSDB)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup, rendered
@@ -15,15 +15,12 @@ from ..operators import reputation as R
 from ..operators import stats as S
 from ..operators import store as W
 from ..sources import api, dumps, lines, revision_files, wiki_api
+from ..sources.tables import new_folder
 from ..streaming import pages as P
 from .fold_queries import streamed
 from .registry import query, table
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
-
-
 def _dump_rows(spark, sf_dir) -> DataFrame:
     """Conversations as pages of a dump; the turns of users are anonymous."""
     c = table(spark, sf_dir, "conversations")
@@ -42,7 +39,7 @@ SELECT conv_id AS page_id, 'p' || conv_id AS title, conv_id * 1000 + turn AS rev
 @query(f"SELECT * EXCLUDE (text), md5(text) AS digest FROM ({_DUMP})")
 def dump_round_trip(spark, sf_dir):
     """All conversations written as a compressed dump by ranges of pages, and read as a stream of revisions."""
-    path = _folder(spark, "dumps")
+    path = new_folder(spark, "dumps")
     dumps.write_dump(_dump_rows(spark, sf_dir), path, "gzip")
     shown = ["page_id", "title", "rev_id", F.col("time").cast("long").alias("time"), "user_id", "username", "is_minor", "comment"]
     return dumps.read_dump(spark, path).select(*shown, F.md5("text").alias("digest"))
@@ -51,7 +48,7 @@ def dump_round_trip(spark, sf_dir):
 @query("SELECT conv_id AS page_id, 'p' || conv_id AS title, count(*) AS n_broken FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id")
 def broken_revisions(spark, sf_dir):
     """A dump in which every third revision is not well-formed: what the reader tells of them."""
-    path = _folder(spark, "dumps")
+    path = new_folder(spark, "dumps")
     dumps.write_dump(_dump_rows(spark, sf_dir), path)
     torn = F.when(F.col("value").rlike("<id>[0-9]+</id>") & F.col("value").startswith("<revision>") & (F.regexp_extract("value", "<id>([0-9]+)</id>", 1).cast("long") % 1000 % 3 == 1), F.replace("value", F.lit("</contributor>"), F.lit(""))).otherwise(F.col("value"))
     spark.read.text(path).select(torn.alias("value")).write.text(f"{path}-torn")
@@ -88,7 +85,7 @@ def sorted_days(spark, sf_dir):
     from pyspark.sql import Window
 
     name = f"days_{uuid.uuid4().hex}"
-    days = S.write_days(table(spark, sf_dir, "events"), name, _folder(spark, "days"), "ts", 16)
+    days = S.write_days(table(spark, sf_dir, "events"), name, new_folder(spark, "days"), "ts", 16)
     before = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("day").orderBy("ts", "event_id"))
     gap = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - before, F.lit(0)) / 1e6
     return days.withColumn("gap", gap).groupBy("event_type", F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.round(F.sum("gap"), 3).alias("gaps"))
@@ -150,7 +147,7 @@ def text_lines_round_trip(spark, sf_dir):
         F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("time"), n.alias("PageId"), F.col("user_id").alias("rev0"), n.alias("uid0"), F.concat(F.lit('a "'), "event_type").alias("uname0"), n.alias("rev1"), n.alias("uid1"), F.lit("b").alias("uname1"),
         (n % 50).cast("int").alias("text"), (n % 7).cast("int").alias("left"), (n % 3).cast("int").alias("n01"), F.round("value", 1).alias("t01"),
     )
-    path = _folder(spark, "lines")
+    path = new_folder(spark, "lines")
     lines.write_statistics(rows, "TextInc", path)
     return lines.read_statistics(spark, path, "TextInc").select("time", "PageId", "rev0", "uname0", F.col("text").cast("long").alias("text"), F.col("left").cast("long").alias("left"), "n01", F.round("t01", 1).alias("t01"))
 
@@ -179,7 +176,7 @@ def coloured_pages(spark, sf_dir):
 @query("SELECT conv_id AS page_id, conv_id * 1000 + turn AS rev_id, md5(coalesce(text, '')) AS digest, conv_id // 1000 AS bucket FROM conversations")
 def revision_files_round_trip(spark, sf_dir):
     """Texts in folders of a thousand pages."""
-    path = _folder(spark, "texts")
+    path = new_folder(spark, "texts")
     revision_files.write_revision_files(_dump_rows(spark, sf_dir), path)
     return spark.read.parquet(path).select("page_id", "rev_id", F.md5("text").alias("digest"), F.col("bucket").cast("long").alias("bucket"))
 

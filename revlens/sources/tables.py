@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read again: its lineage ends there."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in ``spark.checkpoint.dir``, which all executors share; where that is unset, as in local tests, a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    schema = df.schema
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in a new folder, read again: its lineage ends there."""
+    spark, path, schema = df.sparkSession, new_folder(df.sparkSession, "tables"), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
