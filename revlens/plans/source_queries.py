@@ -78,8 +78,8 @@ def _served(page: str, start: int, limit: int) -> str:
 
 
 @query("""
-SELECT event_type, day::TIMESTAMP AS day, count(*) AS n, min(event_id) AS first_id, round(sum(gap), 3) AS gaps FROM (
-  SELECT event_type, date_trunc('day', ts) AS day, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id)), 0) / 1000000.0 AS gap FROM events) GROUP BY event_type, day""")
+SELECT event_type, day::TIMESTAMP AS day, count(*) AS n, min(event_id) AS first_id, sum(gap)::BIGINT AS gaps FROM (
+  SELECT event_type, date_trunc('day', ts) AS day, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id)), 0) AS gap FROM events) GROUP BY event_type, day""")
 def sorted_days(spark, sf_dir):
     """Events as a table of sorted days; gaps within a day read it in its order."""
     from pyspark.sql import Window
@@ -87,8 +87,8 @@ def sorted_days(spark, sf_dir):
     name = f"days_{uuid.uuid4().hex}"
     days = S.write_days(table(spark, sf_dir, "events"), name, new_folder(spark, "days"), "ts", 16)
     before = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    gap = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - before, F.lit(0)) / 1e6
-    return days.withColumn("gap", gap).groupBy("event_type", F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.round(F.sum("gap"), 3).alias("gaps"))
+    gap = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - before, F.lit(0))
+    return days.withColumn("gap", gap).groupBy("event_type", F.col("day").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.sum("gap").alias("gaps"))
 
 
 @query("""
