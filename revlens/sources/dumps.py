@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
+#: Splits whose open pages are sent to every executor at most; with more of them pieces are shuffled to theirs.
+BROADCAST_SPLITS = 100_000
 _REVISION_END = "</revision>"
 _ROWS = "file string, page_id long, title string, rev_id long, timestamp string, user_id long, ip string, username string, is_minor boolean, comment string, text string, error string"
 _TITLE, _NUMBER = re.compile(r"<title>(.*?)</title>", re.DOTALL), re.compile(r"<id>\s*(\d+)\s*</id>")
@@ -101,7 +103,10 @@ def read_pieces(spark: SparkSession, path: str, ignore_corrupt: bool = False, by
         opened = opened.withColumn("head", F.lit(""))
         number = F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[.]xml[^/]*$', 1) as bigint)")
     starts = opened.select("file", "start", F.when(F.col("head").isNotNull(), plain).alias("start_title"), number.alias("start_id"))
-    return pieces.join(F.broadcast(starts), ["file", "start"], "left").mapInPandas(_parsed, _ROWS)
+    if opened.count() <= BROADCAST_SPLITS:  # a row for each split; the pieces stay where they are, in their order
+        return pieces.join(F.broadcast(starts), ["file", "start"], "left").mapInPandas(_parsed, _ROWS)
+    placed = pieces.withColumn("at", F.monotonically_increasing_id()).join(starts, ["file", "start"], "left")
+    return placed.repartition("file", "start").sortWithinPartitions("file", "start", "at").mapInPandas(_parsed, _ROWS)
 
 
 def broken(pieces: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def test_collapsing_knows_addresses_and_missing_authors(spark):
     assert kept() == [3, 5, 7] and kept(address="ip") == [2, 3, 5, 7]
 
 
-def test_a_dump_in_many_splits_is_the_dump_in_one(spark, tmp_path):
+def test_a_dump_in_many_splits_is_the_dump_in_one(spark, tmp_path, monkeypatch):
     revision = lambda n, text: f"<revision><id>{n}</id><timestamp>2020-01-01T00:00:{n % 60:02d}Z</timestamp><contributor><ip>1.1.1.{n % 9}</ip></contributor><text>{text}</text></revision>\n"
     pages = [f"<page>\n<title>P &amp; {p}</title>\n<id>{p}</id>\n" + "".join(revision(p * 1000 + k, f"é {'word ' * (k % 40)}&lt;{k}&gt;") for k in range(60)) + "</page>\n" for p in range(1, 6)]
     (tmp_path / "d.xml").write_text("<mediawiki>\n<siteinfo></siteinfo>\n" + "".join(pages) + "</mediawiki>\n")
@@ -111,6 +111,8 @@ def test_a_dump_in_many_splits_is_the_dump_in_one(spark, tmp_path):
         split = dumps.read_dump(spark, str(tmp_path / "d.xml"))
         assert split.rdd.getNumPartitions() > 5
         assert split.orderBy("rev_id").collect() == whole
+        monkeypatch.setattr(dumps, "BROADCAST_SPLITS", 3)
+        assert dumps.read_dump(spark, str(tmp_path / "d.xml")).orderBy("rev_id").collect() == whole
     finally:
         spark.conf.set(key, before)
     assert len(whole) == 300 and {(r.page_id, r.title) for r in whole} == {(p, f"P & {p}") for p in range(1, 6)}
