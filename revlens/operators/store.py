@@ -68,8 +68,14 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
 
 
 def worth_writing(increments: DataFrame, key: str, column: str, least: float = 0.001) -> DataFrame:
-    """The sum of each key's increments where it changes anything: those of ``least`` or less, up or down, are not written."""
-    return increments.groupBy(key).agg(F.sum(column).alias(column)).where(F.abs(column) > least)
+    """The sum of each key's increments where it changes anything: those of ``least`` or less, up or down, are not written.
+
+    Sums are those of the increments' decimal digits, so none depends on the order of its rows; keys with increments that 38 digits
+    do not hold are summed as doubles.
+    """
+    digits = F.col(column).try_cast("decimal(38,18)")
+    exact = F.when(F.count(digits) == F.count(column), F.try_sum(digits).cast("double"))
+    return increments.groupBy(key).agg(F.coalesce(exact, F.sum(column)).alias(column)).where(F.abs(column) > least)
 
 
 def added(table: DataFrame, increments: DataFrame, key: str, column: str, start: float = 0.0) -> DataFrame:
