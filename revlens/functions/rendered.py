@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .slices import by_slices
+
 # A mark, the classes of colour, and the stretch of text that a mark holds for.
 _MARK = r"\{\{#t:(\d+),(\d+),([^}]+)\}\}"
 CLASSES, SCALE = 10, 10
@@ -41,7 +43,7 @@ def with_spans(html: str, median: float, authors: bool = True) -> str:
 def coloured_page(html: Column | str, median: Column | float, authors: bool = True) -> Column:
     """``with_spans`` over a column."""
 
-    def spanned(pages: pd.Series, medians: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else with_spans(p, m, authors) for p, m in zip(pages, medians, strict=True)])
+    def spanned(pages: pa.Array, medians: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else with_spans(p, m, authors) for p, m in zip(pages.to_pylist(), medians.to_pylist(), strict=True)], pa.string())
 
-    return F.pandas_udf(spanned, "string")(html, median if isinstance(median, Column) else F.lit(float(median)))
+    return by_slices(spanned, "string", html, median if isinstance(median, Column) else F.lit(float(median)))
