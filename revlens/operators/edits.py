@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.slices import by_slices
+
 
 def rendered(edits: DataFrame) -> DataFrame:
     """One line per list: ``Ins(j, l)``, ``Del(i, l)``, ``Mov(i, j, l)``, in the order of left, then right positions."""
@@ -92,7 +94,7 @@ def best_intermediary(open_words: DataFrame, share: float = 0.20, most: int = 10
 
 
 def _pairs_of(texts: pa.Array) -> pa.Array:
-    """All texts of a batch at once: neighbours are sorted by (text, first, second), runs of equal ones are a pair's places."""
+    """All texts of a slice at once: neighbours are sorted by (text, first, second), runs of equal ones are a pair's places."""
     sizes = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     words = texts.flatten().dictionary_encode()
     codes, owner = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
@@ -112,7 +114,7 @@ def adjacent_words(words: Column | str, most: int | None = None) -> Column:
 
     ``most`` leaves out pairs with more places.
     """
-    found = F.arrow_udf(_pairs_of, "array<struct<first:string,second:string,places:array<int>>>")(words)
+    found = by_slices(_pairs_of, "array<struct<first:string,second:string,places:array<int>>>", words)
     return found if most is None else F.filter(found, lambda p: F.size(p["places"]) <= most)
 
 
