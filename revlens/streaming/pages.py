@@ -8,7 +8,8 @@ in time, but behind what the page has already told, counts as ``n_late`` of its
 of event time is forgotten.
 
 State is read and written by batch, not by event: what a micro-batch brings for
-an hour of a page is one value, and nothing is read before that hour is due.
+an hour of a page is one value, and nothing is read before that hour is due; what it brings for a page, if it is little, is one
+value of its first hour.  A page's events pass through memory hour by hour, some ``HELD_BYTES`` at a time.
 
 Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
 """
@@ -16,6 +17,7 @@ Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ IDLE_MS = 90 * 86_400_000
 SLOT_MICROS = 3_600_000_000
 #: Bytes of one value of the state, and rows of one frame that goes out.
 CHUNK_BYTES, FRAME_ROWS = 512 << 10, 10_000
+#: Bytes of a page's events that are in memory at a time, and up to which a batch's events are one value.
+HELD_BYTES, SLOT_BYTES = 16 << 20, 64 << 10
 _ORDER = [("micros", "ascending"), ("kind", "ascending"), ("event", "ascending")]
 _FED = "page string, event long, micros long, kind int, author long, place long, previous long, n_authors long, n_late long"
 
@@ -51,7 +55,7 @@ class OrderedEvents(StatefulProcessor):
     """Hands each page's due events in order to ``apply``; rows need event, micros and kind."""
 
     def __init__(self, idle_ms: int = IDLE_MS):
-        self.idle_ms = idle_ms
+        self.idle_ms, self.held_bytes, self.slot_bytes = idle_ms, HELD_BYTES, SLOT_BYTES
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,16 +64,35 @@ class OrderedEvents(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         place, previous, done, part, late = self._where()
-        new = pa.concat_tables([pa.Table.from_pandas(pdf, preserve_index=False) for pdf in rows], promote_options="permissive")
-        micros = new["micros"].to_numpy()
-        early = micros >= (done if place else micros.min())
+        first, tables, size = None, [], 0
+        frames = (pa.Table.from_pandas(pdf, preserve_index=False) for pdf in rows)
+        for frame in chain(frames, (None,)):
+            if frame is not None:
+                tables.append(frame)
+                size += frame.nbytes
+                if size < self.held_bytes:
+                    continue
+            if tables:
+                new = pa.concat_tables(tables, promote_options="permissive")
+                early = new["micros"].to_numpy() >= done if place else np.ones(len(new), bool)
+                if early.any():
+                    least = self._hold(new.filter(pa.array(early)), part)
+                    first = least if first is None else min(first, least)
+                part, late = part + 1, late + int((~early).sum())
+            tables, size = [], 0
+        if first is not None:  # one timer for the batch: when it fires, all that the watermark has passed goes out
+            self.handle.registerTimer(first // 1000 + 1)
+        self.place.update((place, previous, done, part, late))
+        yield from ()
+
+    def _hold(self, rows: pa.Table, part: int) -> int:
+        """Rows as values of their hours, few rows as one value of the first hour; the earliest time."""
+        micros = rows["micros"].to_numpy()
         slots = micros // SLOT_MICROS
-        for slot in np.unique(slots[early]).tolist():
-            self.held.updateValue((slot, part), (_packed(new.filter(pa.array(early & (slots == slot)))),))
-        if early.any():  # one timer for the batch: when it fires, all that the watermark has passed goes out
-            self.handle.registerTimer(int(micros[early].min()) // 1000 + 1)
-        self.place.update((place, previous, done, part + 1, late + int((~early).sum())))
-        yield self.nothing()
+        apart = rows.nbytes > self.slot_bytes
+        for slot in np.unique(slots).tolist() if apart else [int(slots.min())]:
+            self.held.updateValue((slot, part), (_packed(rows.filter(pa.array(slots == slot)) if apart else rows),))
+        return int(micros.min())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
@@ -81,24 +104,31 @@ class OrderedEvents(StatefulProcessor):
                 for state in (self.place, self.held):
                     state.clear()
             return
-        near = [k for k in keys if k[0] * SLOT_MICROS // 1000 < now]
-        waits = [k[0] * SLOT_MICROS // 1000 for k in keys if k not in set(near)]
+        near = sorted(k for k in keys if k[0] * SLOT_MICROS // 1000 < now)
+        waits = [k[0] * SLOT_MICROS // 1000 for k in keys if k[0] * SLOT_MICROS // 1000 >= now]
+        tables, size, told = [], 0, False
+        for k, following in zip(near, [*near[1:], None], strict=False):
+            tables.append(_unpacked(self.held.getValue(k)[0]))
+            self.held.removeKey(k)
+            size += tables[-1].nbytes
+            if following is not None and (size < self.held_bytes or following[0] == k[0]):
+                continue
+            rows = pa.concat_tables(tables, promote_options="permissive").sort_by(_ORDER)
+            micros = rows["micros"].to_numpy()
+            n = int(np.searchsorted(micros // 1000, now))
+            if following is not None:  # what the values to come may hold waits for them
+                n = min(n, int(np.searchsorted(micros, following[0] * SLOT_MICROS)))
+            due, left = rows.slice(0, n), rows.slice(n)
+            if n:
+                yield from self.apply(key, due, place, previous if place else None, late)
+                place, previous, done, told = place + n, due["event"][-1].as_py(), due["micros"][-1].as_py(), True
+            tables, size = [left] if left.num_rows else [], 0
+        for left in tables:
+            waits.append(self._hold(left, part) // 1000)
         if near:
-            rows = pa.concat_tables([_unpacked(self.held.getValue(k)[0]) for k in near], promote_options="permissive").sort_by(_ORDER)
-            for k in near:
-                self.held.removeKey(k)
-            due = rows["micros"].to_numpy() // 1000 < now
-            left, rows = rows.filter(pa.array(~due)), rows.filter(pa.array(due))
-            if left.num_rows:
-                slots = left["micros"].to_numpy() // SLOT_MICROS
-                for slot in np.unique(slots).tolist():
-                    self.held.updateValue((slot, part), (_packed(left.filter(pa.array(slots == slot))),))
-                waits.append(left["micros"][0].as_py() // 1000)
-            if rows.num_rows:
-                yield from self.apply(key, rows, place, previous if place else None, late)
-                done = rows["micros"][-1].as_py()
-                self.place.update((place + rows.num_rows, rows["event"][-1].as_py(), done, part + 1, late))
-                self.handle.registerTimer(done // 1000 + self.idle_ms)
+            self.place.update((place, previous, done, part + 1, late))
+        if told:
+            self.handle.registerTimer(done // 1000 + self.idle_ms)
         if waits:
             self.handle.registerTimer(max(min(waits), now) + 1)
 
