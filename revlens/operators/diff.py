@@ -25,39 +25,69 @@ Edit = tuple[str, int | None, int | None, int]  # kind, left place, right place,
 EDITS = "array<struct<kind:string,i:int,j:int,l:int>>"
 
 
+def _runs_of_words(left: list, right: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the runs of ``least`` words that begin at each place of both texts: equal runs have equal ones."""
+    both = left + right
+    names = {w: k for k, w in enumerate(dict.fromkeys(both))}
+    words = np.fromiter(map(names.__getitem__, both), np.int64, len(both))
+    runs, most = words, len(names)
+    for k in range(1, least):
+        if most * len(names) >= 1 << 62:
+            runs = np.unique(runs, return_inverse=True)[1]
+            most = len(both)
+        runs, most = runs[: len(both) - k] * len(names) + words[k:], most * len(names)
+    return runs[: len(left) - least + 1], runs[len(left) :]
+
+
 def common_runs(left: list, right: list, least: int) -> list[tuple[int, int, int]]:
     """(i, j, words) of the runs of ``least`` words or more that both texts have, each as long as it goes.
 
     A run begins at words that the right text does not have too often.
     """
-    places = defaultdict(list)
-    for j in range(len(right) - least + 1):
-        places[tuple(right[j : j + least])].append(j)
-    seeds: dict[int, list[int]] = defaultdict(list)
-    for i in range(len(left) - least + 1):
-        at = places.get(tuple(left[i : i + least]), ())
-        if len(at) <= MOST_PLACES:
-            for j in at:
-                seeds[j - i].append(i)
-    out = []
-    for shift, starts in seeds.items():
-        reached = -1
-        for i in starts:
-            if i < reached:
-                continue
-            stop = i
-            while stop < len(left) and stop + shift < len(right) and left[stop] == right[stop + shift]:
-                stop += 1
-            out.append((i, i + shift, stop - i))
-            reached = stop - least + 1
+    if min(len(left), len(right)) < least:
+        return []
+    here, there = _runs_of_words(left, right, least)
+    order = np.argsort(there, kind="stable")
+    there = there[order]
+    first = np.searchsorted(there, here)
+    times = np.searchsorted(there, here, "right") - first
+    seeds = np.flatnonzero((times > 0) & (times <= MOST_PLACES))
+    if not len(seeds):
+        return []
+    many = times[seeds]
+    i = np.repeat(seeds, many)
+    shift = order[np.repeat(first[seeds] - np.cumsum(many) + many, many) + np.arange(len(i))] - i
+    by_shift = np.argsort(shift, kind="stable")
+    i, shift = i[by_shift], shift[by_shift]
+    breaks = np.flatnonzero((np.diff(shift) != 0) | (np.diff(i) != 1))
+    starts, stops = i[np.concatenate(([0], breaks + 1))], i[np.concatenate((breaks, [len(i) - 1]))] + least
+    shifts = shift[np.concatenate(([0], breaks + 1))]
+    if times.max() <= MOST_PLACES:
+        return list(zip(starts.tolist(), (starts + shifts).tolist(), (stops - starts).tolist(), strict=True))
+    # what stands too often begins no run, but runs go on over it
+    out, last, reached = [], None, -1
+    for start, stop, by in zip(starts.tolist(), stops.tolist(), shifts.tolist(), strict=True):
+        if by != last:
+            last, reached = by, -1
+        if start < reached:
+            continue
+        while stop < len(left) and stop + by < len(right) and left[stop] == right[stop + by]:
+            stop += 1
+        out.append((start, start + by, stop - start))
+        reached = stop - least + 1
     return out
 
 
 def _free_parts(free: np.ndarray, least: int) -> list[tuple[int, int]]:
     """(start, length) of the runs of true values."""
-    edge = np.diff(np.concatenate(([0], free.astype(np.int8), [0])))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return [(int(a), int(b - a)) for a, b in zip(start, stop, strict=True) if b - a >= least]
+    flags, out, start = free.tobytes(), [], 0
+    while (start := flags.find(1, start)) >= 0:
+        stop = flags.find(0, start)
+        stop = stop if stop >= 0 else len(flags)
+        if stop - start >= least:
+            out.append((start, stop - start))
+        start = stop
+    return out
 
 
 def _off(i: int, n: int, j: int, m: int, l: int) -> float:

@@ -109,6 +109,13 @@ def author_number(author: int, word: str) -> int:
     return zlib.crc32(f"{author} {word}".encode()) % 1023 + 1
 
 
+def _author_numbers(author: int, words: list) -> np.ndarray:
+    """``author_number`` of each word."""
+    start = zlib.crc32(f"{author} ".encode())
+    known = {w: zlib.crc32(w.encode(), start) % 1023 + 1 for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 def _signed_by(signatures: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([(signatures >> (10 * i)) & 1023 == numbers for i in range(3)])
 
@@ -201,7 +208,7 @@ def _followed(blocks: list[_Block], words: list, section: np.ndarray, edit: Edit
                 source.trust = source.trust * math.exp(-edit.weight * rule.kills)
                 source.since = at
     if rule.kind != "classic" and n:
-        numbers = np.array([author_number(edit.author, w) for w in words]) if rule.kind == "signed" else np.zeros(n, np.int64)
+        numbers = _author_numbers(edit.author, words) if rule.kind == "signed" else np.zeros(n, np.int64)
         may = inserted | ((edit.author != 0) & ~_signed_by(live.signature, numbers)) if rule.kind == "signed" else np.ones(n, bool)
         live.trust, raised = _section_trust(live.trust, may, inserted, section, moves, n_old, edit, rule)
         if rule.kind == "signed" and edit.author:
