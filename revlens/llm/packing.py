@@ -29,15 +29,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_texts
+from .common import _LOWER, doc_texts, slices
 
 CAPACITY = 4096
 END = 2
 BLOCK = 256
 #: Words after which a Python worker forgets their ids and starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,7 +64,12 @@ class _Index(dict):
 
 
 class WordEncoder:
-    """Token ids of whole texts; each distinct word is encoded once and its ids kept in one array."""
+    """Token ids of whole texts; each distinct word is encoded once and its ids kept in one array.
+
+    A word here is what the pre-tokenizer makes of a run of bytes between white space: a run of letters, a
+    digit, or a run of other characters, in lower case.  Runs with bytes outside ``_PLAIN``, or with a mark of
+    an added token, are words as they stand, and the tokenizer's own rules see them whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,72 +82,116 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.cores: dict[str, list[int]] = {}
-        self.store, self.first, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.store, self.first, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _keep(self, words: list[bytes]) -> None:
-        found = self._encode_new(words)
-        lists = [found[w] for w in words]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.array([i for x in lists for i in x], "<u4")
+        flat, sizes = self._encode_new(words)
         at = len(self.index) - len(words)
         for name, need in (("store", self.used + len(flat)), ("first", len(self.index)), ("size", len(self.index))):
             have = getattr(self, name)
             if need > len(have):
-                setattr(self, name, np.concatenate((have, np.zeros(need, have.dtype))))
+                setattr(self, name, np.concatenate((have, np.zeros(need - len(have) // 2, have.dtype))))
         self.store[self.used : self.used + len(flat)] = flat
         self.first[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + len(words)] = sizes
         self.used += len(flat)
 
-    def _encode_new(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Plain words, all letters and perhaps one stop, share the ids of their lower-case core.
+    def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and their number in each.
 
-        Cores are encoded as one text: each is one pre-token, which the token with a word end closes.
+        Plain words are encoded as one text: each is one pre-token, which the token with a word end closes.
         """
-        plain, rest, new = [], [], {}
-        cores = self.cores
-        for w in words:
-            t = w.decode("utf-8", "surrogatepass")
-            stop = t[-1] if t[-1] in ".,!?;:" else ""
-            core = t[:-1] if stop else t
-            # the one capital that a whole word lowers by its place goes letter by letter, as in the tokenizer
-            core = core.lower() if "Σ" not in core else "".join(map(str.lower, core))
-            if len(core) < 100 and core.isalpha():
-                plain.append((w, core, stop))
-                new.update((x, None) for x in (core, stop) if x and x not in cores)
-            else:
-                rest.append((w, t))
-        if new:
-            flat = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
-            stops = np.flatnonzero(self.ends[np.array(flat)]) + 1
-            if len(stops) == len(new) and stops[-1] == len(flat):
-                edge = [0, *stops.tolist()]
-                cores.update((x, flat[a:b]) for x, a, b in zip(new, edge, edge[1:], strict=False))
-            else:
-                cores.update((x, e.ids) for x, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False), strict=True))
-        found = {w: cores[core] + cores[stop] if stop else cores[core] for w, core, stop in plain}
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            found[w] = e.ids
-        return found
+        data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+        odd = np.zeros(len(words), bool)
+        odd[np.searchsorted(ends, _odd_places(data), side="right")] = True
+        plain = [w for w, o in zip(words, odd.tolist(), strict=True) if not o]
+        flat = np.array(self._ids([b" ".join(plain)])[0], "<u4") if plain else np.zeros(0, "<u4")
+        sizes = np.diff(np.flatnonzero(self.ends[flat]) + 1, prepend=0)
+        if len(sizes) == len(plain) and sizes.sum() == len(flat) and not odd.any():
+            return flat, sizes
+        if len(sizes) != len(plain) or sizes.sum() != len(flat):
+            plain, odd = [], np.ones(len(words), bool)
+            flat, sizes = flat[:0], sizes[:0]
+        # ids and sizes of the odd words behind those of the plain ones, then all in the order of the words
+        lists = self._ids([w for w, o in zip(words, odd.tolist(), strict=True) if o])
+        flat = np.concatenate((flat, np.array(list(chain.from_iterable(lists)), "<u4")))
+        sizes = np.concatenate((sizes, np.array([len(x) for x in lists], np.int64)))
+        stops = np.cumsum(sizes)
+        order = np.empty(len(words), np.int64)
+        order[np.flatnonzero(~odd)], order[np.flatnonzero(odd)] = np.arange(len(plain)), np.arange(len(plain), len(words))
+        return flat[_ranges(stops[order] - sizes[order], sizes[order])], sizes[order]
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        split = [t.split() for t in texts]
-        counts = np.array([len(ws) for ws in split])
-        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        distinct, numbers, counts = _words(texts)
+        words = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[numbers]
         if self.index.new:
             self._keep(self.index.new)
             self.index.new = []
         sizes = self.size[words]
-        stops = np.cumsum(sizes)
-        flat = self.store[np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.first[words] - stops + sizes, sizes)]
-        edge = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts)))]
+        flat = self.store[_ranges(self.first[words], sizes)]
+        edge = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
         return [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
+#: Kinds of bytes: white space, letters (the two bytes of U+00C0 to U+00FF among them), digits, others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3]] = 1
+_KIND[48:58] = 2
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[9, 10, 11, 12, 13, *range(32, 127), *range(128, 192), 0xC3]] = True
+_PLAIN[ord("'")] = False
+
+
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that only the tokenizer's own rules judge: apostrophes, controls, the added tokens' ``<|``, all but ASCII and U+00C0 to U+00FF, of these the two signs."""
+    odd = ~_PLAIN[data]
+    after = np.flatnonzero(data[:-1] == 0xC3)
+    odd[after] |= (data[after + 1] == 0x97) | (data[after + 1] == 0xB7)
+    after = np.flatnonzero(data[:-1] == ord("<"))
+    odd[after] |= data[after + 1] == ord("|")
+    return np.flatnonzero(odd)
+
+
+def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, for each word of the texts its number among these, number of words of each text)."""
+    data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
+    kind = _KIND[data]
+    lower = _LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    lower[after[data[after] <= 0x9E]] += 32
+    odd = _odd_places(data)
+    if len(odd):
+        edge = np.diff(kind == 0, prepend=True, append=True)
+        edges = np.flatnonzero(edge).reshape(-1, 2)
+        runs = edges[np.unique(np.searchsorted(edges[:, 0], odd, side="right") - 1)]
+        for a, b in runs.tolist():
+            kind[a:b] = 4
+            lower[a:b] = data[a:b]
+    new = np.diff(kind, prepend=np.uint8(0)) != 0
+    new |= kind == 2
+    new &= kind != 0
+    full = kind != 0
+    start = np.flatnonzero(new[full])
+    counts = np.diff(np.searchsorted(np.flatnonzero(new), np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    flat = lower[full]
+    offsets = np.append(start, len(flat)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), counts
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start[i], start[i] + 1, ...`` (``size[i]`` numbers) for every i."""
+    stops = np.cumsum(size, dtype=np.int64)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(start - stops + size, size)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -235,9 +287,9 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, capacity: int, block: int)
     for pdf in batches:
         docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
         texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-        for a in range(0, len(texts), 500):
+        for a, b in slices(texts, SLICE):
             out = []
-            for doc, ids in zip(docs[a : a + 500], encode(texts[a : a + 500]), strict=True):
+            for doc, ids in zip(docs[a:b], encode(texts[a:b]), strict=True):
                 ids = np.append(ids, np.uint32(END)).astype("<u4", copy=False)
                 full = len(ids) // capacity * capacity
                 for at in range(0, full, capacity):

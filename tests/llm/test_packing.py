@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from revlens.llm.packing import pack, tokenizer_path, windows
+from revlens.llm.packing import WordEncoder, pack, tokenizer_path, windows
 
 
 def check(spark, rows, capacity, block, partitions=3):
@@ -66,3 +66,22 @@ def test_window_count_rises_only_when_needed():
 def test_greek_capitals_and_unusual_case(spark):
     texts = ["ΟΔΟΣ ΣΑΣ Σ.", "ΣΑΣ, σας ΣΊΣΥΦΟΣ; Σ", "İSTANBUL ǅ ẞ STRASSE Straße", "ΑΣ' Σ-Σ ΣΣ"]
     check(spark, list(enumerate(texts)), 64, 4)
+
+
+def test_forms_of_a_word_are_encoded_once():
+    e = WordEncoder(tokenizer_path())
+    texts = ["Haus haus, HAUS*** (haus). «Haus»", "ÉCOLE école; École!? l'école", "x<|endoftext|>y <|a a|> 10 01 ÷×"]
+    for t, ids in zip(texts, e.encode([t.encode() for t in texts]), strict=True):
+        assert list(ids) == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert sum(b"haus" in w for w in e.index) == 1
+    assert sorted(w for w in e.index if "école".encode() in w) == ["l'école".encode(), "école".encode()]
+
+
+def test_odd_characters_against_the_tokenizer():
+    r = random.Random(7)
+    atoms = [*"abXY09 \t\n\x0b.,'!*|<>éÀßÿ×÷ªº½Σς日İ́  \u0085\x1c\x7f𝔘", "<|endoftext|>", "'s", "it's", "Straße", "tion", "<|"]
+    e = WordEncoder(tokenizer_path())
+    for _ in range(300):
+        texts = ["".join(r.choice(atoms) for _ in range(r.choice([0, 1, 2, 5, 30, 200]))) for _ in range(6)]
+        for t, ids in zip(texts, e.encode([t.encode() for t in texts]), strict=True):
+            assert list(ids) == e.tokenizer.encode(t, add_special_tokens=False).ids
