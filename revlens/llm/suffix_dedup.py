@@ -43,6 +43,10 @@ WIDTH = 100
 GRAM = 24
 BATCH_BYTES = 96 << 10
 HOT_ANCHOR = 20_000
+#: Bytes of text that are filed at a time; their arrays of numbers stay near the processor.
+FILED_BYTES = 128 << 10
+#: Symbols of the transform that are counted together.
+BLOCK = 256
 
 _KEYS = "key long, doc_id long, many boolean"
 _PIECES = "key long, doc_id long, start long, size int, data binary"
@@ -90,7 +94,7 @@ def filed_pieces(parts: list[bytes], width: int, gram: int):
 
 def _batches_of(texts: list[bytes], width: int, gram: int):
     parts = _segments(texts, width)
-    for a, b in slices([p[2] for p in parts], SLICE_BYTES * 2):
+    for a, b in slices([p[2] for p in parts], FILED_BYTES):
         data, key, part, start, size = filed_pieces([p[2] for p in parts[a:b]], width, gram)
         if len(key):
             first = np.concatenate(([0], np.cumsum([len(p[2]) for p in parts[a:b]])[:-1]))
@@ -113,32 +117,33 @@ def _anchors(batches: Iterator[pd.DataFrame], width: int, gram: int) -> Iterator
 
 def _pieces(batches: Iterator[pd.DataFrame], width: int, gram: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, keys, hot = pdf["doc_id"].to_numpy(np.int64), list(pdf["keys"]), list(pdf["hot"])
-        texts = encoded(pdf["text"])
-        before: set[tuple[int, bytes]] = set()
-        for data, key, text, start, size, offset in _batches_of(texts, width, gram):
-            edges = np.searchsorted(text, np.arange(len(texts) + 1))
+        ids, keys, hot = pdf["doc_id"].tolist(), list(pdf["keys"]), list(pdf["hot"])
+        of, wanted, frequent, before = -1, frozenset(), frozenset(), set()
+        for data, key, text, start, size, offset in _batches_of(encoded(pdf["text"]), width, gram):
+            blob = data.tobytes()
             out = []
-            for i in range(len(texts)):
-                lo, hi = edges[i], edges[i + 1]
-                if lo == hi:
+            for i, anchor, s, n, o in zip(text.tolist(), key.tolist(), start.tolist(), size.tolist(), offset.tolist(), strict=True):
+                if i != of:
+                    of, wanted, frequent, before = i, frozenset(np.asarray(keys[i], np.int64).tolist()), frozenset(np.asarray(hot[i], np.int64).tolist()), set()
+                if anchor not in wanted:
                     continue
-                wanted = np.asarray(keys[i], np.int64)
-                for j in lo + np.flatnonzero(np.isin(key[lo:hi], wanted)):
-                    s, n, o = int(start[j]), int(size[j]), int(offset[j])
-                    if len(hot[i]) and key[j] in hot[i]:
-                        at = np.arange(n)
-                        names = span_hashes(_BYTE[data[s : s + n + width - 1]], at, at + width).view(np.int64)
-                        made = [(int(names[k]), o + k, data[s + k : s + k + width].tobytes()) for k in range(n)]
+                if anchor in frequent:
+                    at = np.arange(n)
+                    names = span_hashes(_BYTE[data[s : s + n + width - 1]], at, at + width).view(np.int64).tolist()
+                    made = [(names[k], o + k, blob[s + k : s + k + width]) for k in range(n)]
+                else:
+                    made = ((anchor, o, blob[s : s + n + width - 1]),)
+                for name, place, piece in made:
+                    # a piece that this text had before is decided here; its row goes anywhere
+                    if piece in before:
+                        out.append((name ^ (place * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF), ids[i], place, len(piece), None))
                     else:
-                        made = [(int(key[j]), o, data[s : s + n + width - 1].tobytes())]
-                    for name, place, piece in made:
-                        # a piece that this text had before is decided here; its row goes anywhere
-                        again = (i, piece) in before
-                        before.add((i, piece))
-                        out.append((name ^ (place * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF), int(ids[i]), place, len(piece), None) if again else (name, int(ids[i]), place, len(piece), piece))
+                        before.add(piece)
+                        out.append((name, ids[i], place, len(piece), piece))
             if out:
-                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "size", "data"])
+                *numbers, pieces = zip(*out, strict=True)
+                made = {c: np.array(x, np.int64) for c, x in zip(["key", "doc_id", "start", "size"], numbers, strict=True)}
+                yield pd.DataFrame({**made, "data": pd.Series(pieces, dtype=object)})
 
 
 def column_wise_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,38 +151,57 @@ def column_wise_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     One round per column, from the right: the transform holds, for every
     suffix so far, the symbol before it (0 at the start of a piece, other
-    symbols one up).  A stable sort of the transform gives the place of each
-    suffix that a symbol and the suffix behind it make.
+    symbols from 1).  The place of the suffix that a symbol and the suffix behind it
+    make is the number of smaller symbols in the transform and of equal ones above;
+    these are counted by blocks.  The whole transform gives all places again, for the suffixes of a column at a time.
     """
     m = len(pieces)
     sizes = np.array([len(p) for p in pieces])
-    flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
-    if len(flat) and flat.max() < 256:
-        flat = flat.astype(np.uint8)
-    stops = np.cumsum(sizes)
-    active = np.arange(m)
-    bwt = np.where(sizes > 0, flat[np.maximum(stops - 1, 0)], 0).astype(flat.dtype) if len(flat) else np.zeros(m, np.uint8)
-    suffix = np.arange(m) << 32  # piece, and length of the suffix
-    place = np.arange(m)
-    for column in range(1, int(sizes.max(initial=0)) + 1):
-        going = sizes[active] >= column
-        active, place = active[going], place[going]
-        live = np.flatnonzero(bwt)
-        behind = live[np.argsort(bwt[live], kind="stable")]
-        to = np.empty(len(bwt), np.int32)
-        to[behind] = np.arange(m, m + len(behind), dtype=np.int32)
-        place = to[place]
-        before = np.where(sizes[active] > column, flat[np.maximum(stops[active] - column - 1, 0)], 0)
-        old = np.ones(len(bwt) + len(active), bool)
+    # longest first: the pieces that reach a column are the first ones
+    longest = np.argsort(-sizes, kind="stable")
+    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    stops = np.cumsum(sizes)[longest]
+    sizes = sizes[longest]
+    columns = int(sizes.max(initial=0))
+    reach = np.searchsorted(-sizes, -np.arange(columns + 2), side="right").tolist()
+    used = np.bincount(flat, minlength=256) > 0
+    count = int(used.sum()) + 1
+    flat = np.cumsum(used).astype(np.uint8 if count < 256 else np.uint16)[flat]
+    first = np.arange(len(flat) + m) // BLOCK * count
+    # whole blocks; what lies behind the first n symbols is never counted
+    n, bwt = m, np.zeros((m // BLOCK + 1) * BLOCK, flat.dtype)
+    if columns:
+        bwt[: reach[1]] = flat[stops[: reach[1]] - 1]
+    place, inside = np.arange(m), np.arange(BLOCK, dtype=np.uint8)
+    for column in range(1, columns + 1):
+        k, more = reach[column], reach[column + 1]
+        place = place[:k]
+        symbol = bwt[place]
+        blocks = len(bwt) // BLOCK
+        above = np.zeros((blocks + 1, count), np.int64)
+        np.cumsum(np.bincount(first[:n] + bwt[:n], minlength=blocks * count).reshape(blocks, count), axis=0, out=above[1:])
+        smaller = np.concatenate(([0], m - above[-1, 0] + np.cumsum(above[-1, :-1])))
+        block, rest = place // BLOCK, (place % BLOCK).astype(np.uint8)
+        equal = (bwt.reshape(-1, BLOCK)[block] == symbol[:, None]) & (inside < rest[:, None])
+        place = smaller[symbol] + above[block, symbol] + equal.sum(axis=1, dtype=np.uint16)
+        grown = np.empty(((n + k) // BLOCK + 1) * BLOCK, bwt.dtype)
+        old = np.ones(n + k, bool)
         old[place] = False
-        grown = []
-        for have, new in ((bwt, before), (suffix, (active << 32) + column)):
-            both = np.empty(len(old), have.dtype)
-            both[old] = have
-            both[place] = new
-            grown.append(both)
-        bwt, suffix = grown
-    return suffix >> 32, suffix & 0xFFFFFFFF
+        grown[: n + k][old] = bwt[:n]
+        grown[place[:more]] = flat[stops[:more] - column - 1]
+        grown[place[more:]] = 0
+        bwt, n = grown, n + k
+    bwt = bwt[:n]
+    behind = np.argsort(bwt, kind="stable")
+    to = np.empty(n, np.int64)
+    to[behind] = np.arange(n)  # as many symbols are 0 as suffixes are empty
+    piece, length = np.empty(n, np.int64), np.zeros(n, np.int64)
+    place = np.arange(m)
+    piece[:m] = longest
+    for column in range(1, columns + 1):
+        place = to[place[: reach[column]]]
+        piece[place], length[place] = longest[: reach[column]], column
+    return piece, length
 
 
 def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:

@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from revlens.llm.suffix_dedup import column_wise_order, dedup_suffixes
+from revlens.llm.suffix_dedup import FILED_BYTES, column_wise_order, dedup_suffixes
 
 
 def brute(rows, width=100):
@@ -55,3 +56,31 @@ def test_repeats_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_column_wise_order_of_bytes_of_all_values_over_several_blocks():
+    r = random.Random(9)
+    pieces = [bytes(r.choice((0, 65, 66, 255, r.randrange(256))) for _ in range(r.choice((0, 1, 30, 90)))) for _ in range(40)]
+    pieces += [pieces[-1], b"A" * 700, bytes(range(256)) * 2]
+    piece, length = column_wise_order(pieces)
+    got = [(pieces[p][len(pieces[p]) - n :]) for p, n in zip(piece, length)]
+    assert got == sorted(p[i:] for p in pieces for i in range(len(p) + 1))
+    assert sorted(zip(piece.tolist(), length.tolist())) == [(p, n) for p, x in enumerate(pieces) for n in range(len(x) + 1)]
+    for empty in ([], [b""], [b"", b""]):
+        assert column_wise_order(empty)[1].tolist() == [0] * len(empty)
+
+
+def test_a_column_sorts_nothing_of_the_transform(monkeypatch):
+    sorts = []
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sorts.append(len(a)) or real(a, *args, **kw))
+    column_wise_order([b"abracadabra" * 20] * 3)
+    assert sum(sorts) <= 2 * 3 * (220 + 1)
+
+
+def test_text_of_several_slices(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcd é\n") for _ in range(3 * FILED_BYTES))
+    rows = [(1, long[:90000]), (2, long[50000:300000] + long[:500]), (3, "x" * 250 + long[200000:210000]), (4, "é" * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in dedup_suffixes(df).collect()), key=str) == brute(rows)
