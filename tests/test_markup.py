@@ -1,8 +1,12 @@
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from revlens.functions import markup as M
+from revlens.functions import rendered
+from revlens.plans import queries as own
 
 
 def kinds(text):
@@ -86,3 +90,50 @@ def test_visible_words_are_those_of_the_pieces():
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         for disarm in (True, False):
             assert M._visible(text, disarm) == [M._WORDS[k](t) for k, t in M.wiki_pieces(text, disarm) if k in M._WORDS], text
+
+
+def test_long_pages_are_coloured_whole(spark, tmp_path):
+    words = [f"w{k}" for k in range(180_000)]
+    html = " ".join(words)
+    assert len(html) > M.MOST_CHARS
+    spark.createDataFrame([(1, html), (2, "short page")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    digest = {}
+    for page, ws in ((1, words), (2, ["short", "page"])):
+        marked = " ".join(f"{{{{#t:{i % 10},{i},u{i % 4}}}}}{w}" if i % 9 == 0 else w for i, w in enumerate(ws))
+        digest[page] = hashlib.md5(rendered.with_spans(marked, 6.0).encode()).hexdigest()
+    assert {r["page_id"]: r["digest"] for r in own.queries()["coloured_pages"](spark, str(tmp_path)).collect()} == digest
+
+
+def test_visible_words_of_long_texts():
+    part = "\n* Item ''one'', [[a|B]] &nbsp;\n== T ==\nlast <b>x</b> &lt;!-- no --&gt;word.\n| c || d\n\n"
+    assert M._visible(part * 20_000, True) == M._visible(part, True) * 20_000 and len(part) * 20_000 > M.MOST_CHARS
+    plain = "One, two: ''three''&amp; four;\n\tfive" + " x" * 7
+    words = ["one", "two", "three", "&amp;", "four", "five"] + ["x"] * 7
+    assert M._visible((plain + ". ") * 40_000, False) == words * 40_000
+    # one word, and markup that never closes: each opening looked through all the rest before
+    assert M._visible("Y" * 1_500_000, True) == ["y" * 1_500_000]
+    for opening in ("<!-- ", "<b> ", "!!", "[[", "="):
+        text = "x " + opening * 250_000 + "x </i"
+        assert "".join(M._visible(text, True)).replace(" ", "") == text.replace(" ", ""), opening
+
+
+def test_brackets_cells_and_comments_are_those_of_plain_searches():
+    r = random.Random(7)
+    cell = re.compile(r"(?:\n[|!]|\|\||!!)(?:[^|\n]+\|(?!\|))*")
+    comment = re.compile(r"<!--.*?--[ \n\t]*>", re.DOTALL)
+    title = re.compile(r"(\n=+)|(=+[ \t]*(?=\n|\Z))|(\n(?:----+)?[ \t]*(?=\n|\Z))")
+    for _ in range(2_000):
+        text = "".join(r.choice(["|", "!", "\n", "a", " ", "=", "--", "<!--", ">", "]", "[", "]]", "[[", "[http:"]) for _ in range(r.randint(0, 40)))
+        assert [(a, b) for _, a, b in M._cells(text)] == [m.span() for m in cell.finditer(text)], text
+        assert M._without_comments(text) == comment.sub("", text), text
+        assert [m.span() for m in M._TITLES.finditer(text)] == [m.span() for m in title.finditer(text)], text
+        for other, _ in M._CLOSES.values():
+            ahead, at = M._Ahead(other, text), 0
+            while at <= len(text):
+                found = list(ahead.looks(at))
+                want, place = [], at
+                while len(want) < M.MOST_LOOKS and (m := other.search(text, place)):
+                    want.append(m.span())
+                    place = m.end()
+                assert [m.span() for m in found] == want, (text, at)
+                at += r.randint(1, 5)
