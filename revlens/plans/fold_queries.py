@@ -173,7 +173,7 @@ def on_line_reputation_fold(spark, sf_dir):
 
 @query(None)
 def markup_words(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html"), most=None).alias("pieces"))
     return pages.select("page_id", F.size("pieces").alias("n_pieces"), F.size(markup.words_only(F.col("pieces"))).alias("n_words"), F.md5(F.array_join(markup.words_only(F.col("pieces")), "\x01")).alias("digest"))
 
 
@@ -190,13 +190,13 @@ def plain_markup_words(spark, sf_dir):
 
 @query(None)
 def markup_sections(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html"), most=None).alias("pieces"))
     return markup.sections(pages, "page_id").groupBy("page_id", "section").agg(F.count("*").alias("n_words"))
 
 
 @query(None)
 def marked_markup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html")).alias("pieces"))
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.wiki_words(F.col("html"), most=None).alias("pieces"))
     return pages.select("page_id", F.md5(markup.marked_text(F.col("pieces"))).alias("digest"))
 
 

@@ -137,3 +137,31 @@ def test_brackets_cells_and_comments_are_those_of_plain_searches():
                     place = m.end()
                 assert [m.span() for m in found] == want, (text, at)
                 at += r.randint(1, 5)
+
+
+def test_long_pages_have_all_their_sections(spark, tmp_path):
+    html = "w " * 300_000 + "\n* item" * 150_000
+    assert len(html) > M.MOST_CHARS
+    spark.createDataFrame([(1, html), (2, "short\n* page")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["page_id"], r["section"]): r["n_words"] for r in own.queries()["markup_sections"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 300_000, (2, 0): 1, (2, 1): 2} | {(1, k): 2 for k in range(1, 150_001)}
+    counted = {r["page_id"]: (r["n_pieces"], r["n_words"]) for r in own.queries()["markup_words"](spark, str(tmp_path)).collect()}
+    assert counted == {1: (900_000, 600_000), 2: (3, 3)}
+    marked = "{{#t:0,0,}}" + "w " * 300_000 + "\n* {{#t:0,0,}}item" * 150_000
+    assert own.queries()["marked_markup"](spark, str(tmp_path)).where("page_id = 1").first()["digest"] == hashlib.md5(marked.encode()).hexdigest()
+
+
+def test_pieces_of_long_texts_and_their_marks(spark):
+    text = "A b, [[c]] ''d''\n== T ==\n* e\n\n" * 40_000
+    told = M.wiki_pieces(text)
+    assert len(text) > M.MOST_CHARS and "".join(t for _, t in told) == text.replace("''", "")
+    words = [w for k, t in told if k in M._WORDS for w in [M._WORDS[k](t)]]
+    assert words == ["a", "b", "[[c]]", "d", "\n==", "t", "==\n", "\n*", "e"] * 40_000
+    n = len(words)
+    marked = M.annotated(text, [3.0] * n, [5] * n, [7] * n)
+    assert re.sub(r"\{\{#t:3,5,7\}\}", "", marked) == text.replace("''", "") and marked.count("{{#t:") > 40_000
+    rows = [(1, "{{#t:2.5,1,a}}x {{#t:3,1,a}}y\n* {{#t:0.4,1,}}z"), (2, None), (3, "word " * 250_000)]
+    pieces = spark.createDataFrame(rows, "k int, text string").select("k", M.wiki_words(F.col("text"), most=None).alias("pieces"))
+    got = {r["k"]: r["t"] for r in pieces.select("k", M.marked_text(F.when(F.col("k") != 2, F.col("pieces"))).alias("t")).collect()}
+    # marks that say the same once rounded are one
+    assert got == {1: "{{#t:3,1,a}}x y\n* {{#t:3,1,a}}{{#t:0,1,}}z", 2: None, 3: "{{#t:0,0,}}" + "word " * 250_000}
