@@ -179,11 +179,12 @@ def markup_words(spark, sf_dir):
 
 @query("""
 SELECT doc_id, len(w) AS n_words, md5(array_to_string(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), ' ')) AS digest FROM (
-  SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z0-9,;.: ]', 'x', 'g'), '[,;.: ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND length(text) < 1000000)""")
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z0-9,;.: ]', 'x', 'g'), '[,;.: ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)""")
 def plain_markup_words(spark, sf_dir):
-    # without markup the words are those of a plain split
-    docs = table(spark, sf_dir, "documents").where("text is not null and length(text) < 1000000")
-    words = markup.visible_words(F.regexp_replace("text", "[^A-Za-z0-9,;.: ]", "x"), disarm=False)
+    # without markup the words are those of a plain split; a first blank or colon would be that of a line
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    plain = F.ltrim(F.regexp_replace("text", "[^A-Za-z0-9,;.: ]", "x"), F.lit(",;.: "))
+    words = markup.visible_words(plain, disarm=False)
     visible = docs.select("doc_id", F.filter(words, lambda w: w != "").alias("w"))
     return visible.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"))
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from revlens.functions import markup as M
@@ -165,3 +166,14 @@ def test_pieces_of_long_texts_and_their_marks(spark):
     got = {r["k"]: r["t"] for r in pieces.select("k", M.marked_text(F.when(F.col("k") != 2, F.col("pieces"))).alias("t")).collect()}
     # marks that say the same once rounded are one
     assert got == {1: "{{#t:3,1,a}}x y\n* {{#t:3,1,a}}{{#t:0,1,}}z", 2: None, 3: "{{#t:0,0,}}" + "word " * 250_000}
+
+
+def test_plain_words_of_long_documents(spark, tmp_path):
+    texts = ["Word, two. " * 120_000, "y" * 1_500_000, "a " * 500_000, " first: blank", "::colon", " .", "", "one"]
+    spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    words = [[w.lower() for w in re.split("[,;.: ]+", t) if w] for t in texts]
+    want = {k: (len(w), hashlib.md5(" ".join(w).encode()).hexdigest()) for k, w in enumerate(words)}
+    got = {r["doc_id"]: (r["n_words"], r["digest"]) for r in own.queries()["plain_markup_words"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == want == {k: (n, digest) for k, n, digest in con.sql(own.oracle_sql()["plain_markup_words"]).fetchall()}
